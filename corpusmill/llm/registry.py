@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup
+
 
 def tokenizer_file(name: str) -> str:
     """Where the public vocabulary files are on this machine."""
@@ -26,9 +28,47 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op8_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_files
+    from .shared import Scratch
+
+    path = Scratch(spark).path("huffman")
+    token_files.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 2, path)
+    return token_files.read(spark, path).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, size=5)
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import piece_codec
+
+    done = piece_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_huffman_token_files": op8_huffman_token_files,
+    "op9_piece_codec": op9_piece_codec,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: By query, SQL for the same rows.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": line_dedup.SQL.format(docs="documents")
+    + """SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE f.kept_text END AS text, CAST(coalesce(f.n_lines, 0) AS BIGINT) AS n_lines,
+    CAST(coalesce(f.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(f.n_runs, 0) AS BIGINT) AS n_runs
+FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id""",
+}
