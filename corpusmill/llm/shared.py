@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -78,66 +79,103 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
 class WordCodes:
     """Ids of texts from the ids of their words.
 
-    Words repeat, so each worker keeps the ids of the first ``limit`` different words it meets; the words of a
-    batch that it does not have yet go to the library together.  A word is what stands between single blanks;
-    there the splitting pattern always ends a token, so the ids of a text are those of its words in order.
-    A text with any other blanks (two in a row, at an end, or another kind) goes to the library whole.
+    Words repeat, so each worker keeps the ids of the first ``limit`` different words it meets.  A word is what
+    stands between single blanks; there the splitting pattern always ends a token, so the ids of a text are
+    those of its words in order.  Of a new word, letters and the punctuation after them are tokens of their own
+    for the pattern as well, and a run of Latin letters goes straight to the library's model; any other word goes
+    through the whole library, and so does a text with other blanks (two in a row, at an end, or another kind).
     Codes are little-endian unsigned 16-bit numbers.
     """
 
-    def __init__(self, file: str, join: bool, limit: int = 300_000):
-        """join: the vocabulary's tokens start with the blank before them (else blanks are dropped)."""
+    TAIL = ".,;:!?|"
+
+    def __init__(self, file: str, join: bool, limit: int = 600_000):
+        """join: the vocabulary's tokens start with the blank before them and keep their case.
+
+        Otherwise blanks are dropped and letters are lower-cased."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids of 16 bits are too small for this vocabulary")
+        self.model = self.tokenizer.model
         self.join, self.limit = join, limit
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+        # the characters that stand for bytes in the vocabulary, for each letter of the Latin blocks
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0x250) if chr(c).isalpha() and (join or len(chr(c).lower()) == 1)]
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
+        self.latin = set(letters)
+        self.blank = as_bytes.pre_tokenize_str(" ")[0][0]
+        self.feed = self.whole(["\n"])[0] if join else b""
 
     def whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, text: str) -> list[str] | None:
-        """The keys of a text's words, or None if it must be encoded whole."""
+    def run(self, letters: str, blank: str = "") -> bytes:
+        """A run of letters, which is one word for the model."""
+        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(blank + letters.translate(self.letters))])
+
+    def tail(self, text: str) -> bytes:
+        if text not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[text] = self.whole([text])[0]
+        return self.tails[text]
+
+    def learn(self, new: list[str]) -> set[str]:
+        """Put the codes of these keys into known; the keys with which a text must be encoded whole."""
+        bad, hard, pieces = set(), [], []
+        for k in new:
+            lead, word = (k[:1], k[1:]) if self.join and k[:1] in "\r\n" else ("", k)
+            if self.is_bad(word):
+                bad.add(k)
+                continue
+            base = word.rstrip(self.TAIL)
+            if base and self.latin.issuperset(base):
+                code = None if lead else self.known.get(base)
+                if code is None:
+                    code = self.run(base, self.blank if self.join and not lead else "")
+                code += self.tail(word[len(base) :])
+                self.known[k] = self.feed + code if lead == "\n" else code
+            else:
+                hard.append(k)
+                pieces.append(word if lead == "\r" or not self.join else "\n" + word if lead else " " + word)
+        self.known.update(zip(hard, self.whole(pieces)))
+        return bad
+
+    def is_bad(self, word: str) -> bool:
+        return not word or word[0].isspace() or word[-1].isspace()
+
+    def keys(self, text: str) -> list[str]:
         if self.join:
             first, *rest = text.replace("\n", " \n").split(" ")
             return ["\r" + first, *rest]
-        return text.split()
-
-    def odd(self, key: str) -> bool:
-        if self.join:
-            word = key[1:] if key[:1] in "\r\n" else key
-            return not word or word[0].isspace() or word[-1].isspace()
-        return any("\x1c" <= c <= "\x1f" for c in key)
+        if ODD.search(text):  # lower-casing or splitting here could differ from the library's
+            return [""]
+        return text.lower().split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.join:  # these are blanks for Python alone
-            odd = [i for i, t in enumerate(texts) if not t.isascii() and "\x85" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t]
-        else:
-            odd = []
-        keys = [self.words(t) for t in texts]
+        keys = [self.keys(t) for t in texts]
         new = list(set().union(*keys).difference(self.known))
-        bad = {k for k in new if self.odd(k)} if self.join else set()
-        good = [k for k in new if k not in bad]
-        pieces = [k[1:] if k[0] == "\r" else k if k[0] == "\n" else " " + k for k in good] if self.join else good
-        known = self.known
-        known.update(zip(good, self.whole(pieces)))
-        if bad:
-            odd = [i for i, ks in enumerate(keys) if not bad.isdisjoint(ks)]
+        bad = self.learn(new)
+        odd = [i for i, ks in enumerate(keys) if not bad.isdisjoint(ks)] if bad else []
         skip = set(odd)
-        out = [b"" if i in skip else b"".join(map(known.__getitem__, ks)) for i, ks in enumerate(keys)]
+        out = [b"" if i in skip else b"".join(map(self.known.__getitem__, ks)) for i, ks in enumerate(keys)]
         for i, codes in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = codes
-        if len(known) > self.limit:
-            for k in good[len(good) - (len(known) - self.limit) :]:
-                del known[k]
+        over = len(self.known) - self.limit
+        for k in new[-over:] if over > 0 else ():
+            self.known.pop(k, None)
         return out
 
 
+#: Characters whose case or whose kind (a blank for Python alone) depends on more than themselves.
+ODD = re.compile("[\u03a3\u0130<\x1c-\x1f]")
 _CODES: dict[tuple, WordCodes] = {}
 
 
