@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import licenses, line_dedup, quality
 
 
 def tokenizer_file(name: str) -> str:
@@ -21,6 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of every text."""
+    from . import token_counts
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source/thousands/hundreds/id.txt; each hundredth is the licence file of its directory."""
+    path = F.concat_ws("/", "source", F.concat(F.lit("t"), F.floor(F.col("doc_id") / 1000)), F.concat(F.lit("h"), F.floor(F.col("doc_id") / 100)), F.concat(F.col("doc_id"), F.lit(".txt")))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    found = licenses.scan(files, F.col("doc_id") % 100 == 0)
+    return found.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "path", "own_license", "own_score", "license", "from_dir")
+
+
+OP3_FILES = """SELECT source || '/t' || (doc_id // 1000) || '/h' || (doc_id // 100) || '/' || doc_id || '.txt' AS path, text, doc_id % 100 = 0 AS is_file FROM documents"""
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -37,6 +61,38 @@ def op8_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like the marks of the format."""
+    from . import chat
+
+    odd = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema)
+    done = chat.format_branches(chat.tree_of_turns(rows.unionByName(extra)))
+    turns = chat.read_back(F.col("formatted"))
+    said = F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    read = done.select("conv_id", F.size(turns).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), chat.learned(F.col("formatted"), F.col("loss")).alias("learned"), "formatted")
+    return read.select("conv_id", "n_turns", "turns_sha256", F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP5_SQL = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, 13 + length(role) + length(text) + length(regexp_replace(role, '[^#<\n\\]', '', 'g')) + length(regexp_replace(text, '[^#<\\]', '', 'g')) AS n FROM rows
+), learned AS (
+  SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS t FROM rows GROUP BY conv_id
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(length(any_value(t)) AS BIGINT) AS loss_chars, sha256(any_value(t)) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized JOIN learned USING (conv_id) GROUP BY conv_id"""
+
+
+def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).drop("version")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
@@ -52,13 +108,18 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import line_dedup
+    from . import licenses, line_dedup, quality
 
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_projection_forest": op1_projection_forest,
+    "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_reply_trees": op5_reply_trees,
+    "op6_distribution_divergence": op6_distribution_divergence,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_huffman_token_files": op8_huffman_token_files,
     "op9_piece_codec": op9_piece_codec,
@@ -67,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: By query, SQL for the same rows.
 ORACLES: dict[str, str] = {
+    "op3_license_scan": f"SELECT CAST(regexp_extract(path, '([0-9]+)[.]txt$', 1) AS BIGINT) AS doc_id, * FROM ({licenses.sql(OP3_FILES)})",
+    "op5_reply_trees": OP5_SQL,
+    "op6_distribution_divergence": quality.sql(),
     "op10_line_dedup": line_dedup.SQL.format(docs="documents")
     + """SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE f.kept_text END AS text, CAST(coalesce(f.n_lines, 0) AS BIGINT) AS n_lines,
     CAST(coalesce(f.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(f.n_runs, 0) AS BIGINT) AS n_runs
