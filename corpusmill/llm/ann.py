@@ -33,7 +33,7 @@ class Forest:
     trees: int = 4
     leaf: int = 64
     sample: int = 16_384
-    fraction: float = 0.9
+    fraction: float = 1.2
     seed: int = 7
 
 

@@ -16,10 +16,10 @@ from .quality import let
 
 #: Statements by which files name their licence.
 TEMPLATES = {
-    "MIT": "Released under the MIT License. Permission is granted free of charge to deal in the software without restriction.",
+    "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0. Creative Commons Attribution NonCommercial International.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }

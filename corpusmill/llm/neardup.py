@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import Scratch, components, long_texts, map_arrow, texts_of
 
@@ -33,6 +34,7 @@ HASHES, BANDS, ROWS = 256, 36, 7
 BATCH = 32
 MISS = 1e-7
 BLOCK = 512
+BITS = 25
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _rng = np.random.default_rng(20240)
 _A = (_rng.integers(0, 1 << 31, HASHES, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -245,34 +247,61 @@ def clusters(members: DataFrame, percent: int) -> DataFrame:
     return in_order.mapInArrow(bucket, "sub binary, cls binary, rep long").distinct()
 
 
-def links(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: a spanning tree of each part of a cluster that true links connect.  members: sub, cls, rep, grams."""
+def links(members: DataFrame, percent: int, size: int) -> DataFrame:
+    """a, b: a spanning tree of each part of a cluster that true links connect.  members: sub, cls, rep, text."""
 
     def verify(batches):
+        import xxhash
+
         for table in groups(batches, ["sub"], 256):
             again = sizes_of(table, ["sub", "cls"])  # rows of one class, from repeated rows of the input, count once
             table = table.take(pa.array(np.cumsum(again) - again))
-            sizes = sizes_of(table, ["sub"])
-            rep, raw = table.column("rep").to_numpy(), table.column("grams").to_pylist()
-            out_a, out_b, at = [], [], 0
-            for m in sizes.tolist():
-                sets = [np.frombuffer(x, "<u8") for x in raw[at : at + m]]
-                if m == 2:
+            words = [words_of(t) for t in texts_of(table, "text")]
+            cls = table.column("cls").to_pylist()
+            # another text under the same id is no member
+            same = np.array([xxhash.xxh3_128_digest(b" ".join(w)) == c for w, c in zip(words, cls)])
+            grams = [shingles(h, size) for h in word_hashes(words)]
+            rep, out_a, out_b, at = table.column("rep").to_numpy(), [], [], 0
+            for m in sizes_of(table, ["sub"]).tolist():
+                own = at + np.flatnonzero(same[at : at + m])
+                sets = [grams[k] for k in own]
+                if len(sets) == 2:
                     x, y = sets
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * common >= percent * (len(x) + len(y) - common):
-                        out_a.append(rep[at]), out_b.append(rep[at + 1])
-                else:
+                        out_a.append(rep[own[0]]), out_b.append(rep[own[1]])
+                elif len(sets) > 2:
                     a, b = linked(sets, percent)
-                    root = roots(m, a, b)
-                    ok = np.flatnonzero(root != np.arange(m))
-                    out_a.extend(rep[at + root[ok]].tolist()), out_b.extend(rep[at + ok].tolist())
+                    root = roots(len(sets), a, b)
+                    ok = np.flatnonzero(root != np.arange(len(sets)))
+                    out_a.extend(rep[own[root[ok]]].tolist()), out_b.extend(rep[own[ok]].tolist())
                 at += m
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return members.repartition("sub").sortWithinPartitions("sub", "cls").mapInArrow(verify, "a long, b long")
 
 
+def marked_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, ...) without most rows whose id is not among ids: a filter before a join.
+
+    The ids set bits in a map of 2 ** BITS bits, of which at most 2 ** BITS / 64 words reach the driver whatever the
+    number of ids; a row stays if its bit is set, so no wanted row is lost.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITS))
+    words = ids.withColumn("b", bit).select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b % 64 AS int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x"))
+    bits = np.zeros(1 << (BITS - 6), np.int64)
+    for row in words.collect():
+        bits[row["w"]] = row["x"]
+    bits = bits.view(np.uint64)
+
+    def keep(batch: pa.RecordBatch):
+        b = batch.column("_b").to_numpy()
+        ok = (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
+        yield batch.filter(pa.array(ok.astype(bool)))
+
+    return map_arrow(docs.where("doc_id IS NOT NULL").withColumn("_b", bit), keep, StructType([*docs.schema.fields, StructField("_b", LongType())])).drop("_b")
+
+
 def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of sets that are similar enough: common members counted by products of 0/1 matrices."""
     n = np.array([len(x) for x in sets])
@@ -315,25 +344,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     reps = seen.join(classes.withColumnRenamed("rep", "doc_id"), ["cls", "doc_id"], "left_semi").dropDuplicates(["cls", "doc_id"])
     reps = scratch.keep(reps.withColumnRenamed("doc_id", "rep"), "reps")
 
-    bands = reps.select(F.explode("keys").alias("key"), "cls")
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("size > 1")
-    buckets = buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-    members = bands.join(buckets, "key").join(reps.select("cls", "rep", "n", "sig"), "cls")
+    # a class goes by a short hash here; where two share one, both are candidates, which verification settles
+    short = F.xxhash64("cls").alias("h")
+    bands = reps.select(F.explode("keys").alias("key"), short)
+    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor("h").alias("x")).where("size > 1")
+    buckets = buckets.groupBy("size", "x").agg(F.min("key").alias("key")).select("key", "size")
+    # merge joins at every size: what is small on one input is not on the next
+    members = bands.join(buckets.hint("merge"), "key").join(reps.select(short, "cls", "rep", "n", "sig").hint("merge"), "h").drop("h")
     found = scratch.keep(clusters(members, percent), "clusters")
 
-    wanted = found.select(F.col("rep").alias("doc_id"), F.col("cls").alias("_cls")).distinct()
-
-    def sets(batch: pa.RecordBatch):
-        import xxhash
-
-        words = [words_of(t) for t in texts_of(batch, "text")]
-        cls = batch.column("_cls").to_pylist()
-        keep = [k for k, w in enumerate(words) if xxhash.xxh3_128_digest(b" ".join(w)) == cls[k]]
-        grams = [shingles(h, size).tobytes() for h in word_hashes([words[k] for k in keep])] if keep else []
-        yield pa.RecordBatch.from_arrays([pa.array([cls[k] for k in keep], pa.binary()), pa.array(grams, pa.binary())], ["cls", "grams"])
-
-    grams = map_arrow(plain.join(wanted, "doc_id"), sets, "cls binary, grams binary")
-    true = links(found.join(grams, "cls"), percent)
+    wanted = found.select(F.col("rep").alias("doc_id")).distinct()
+    texts = marked_only(plain, wanted).join(found.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id")
+    true = links(texts.withColumnRenamed("doc_id", "rep"), percent, size)
     copies = seen.join(classes, "cls").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     linked_ids = components(true.union(copies), scratch).withColumnRenamed("node", "doc_id")
     out = seen.select("doc_id", F.col("n").alias("n_shingles")).join(linked_ids, "doc_id", "left")

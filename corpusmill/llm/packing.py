@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import Scratch, long_texts, map_arrow, texts_of, word_codes
 
@@ -128,7 +129,7 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), length_col: str = "length
     input are replaced.  An empty table gives an empty table.
     """
     scratch = Scratch(pieces.sparkSession)
-    rows = scratch.keep(pieces.drop("sequence_id", "offset").withColumn("_n", F.col(length_col).cast("long")), "pieces")
+    rows = scratch.keep(pieces.drop("sequence_id", "offset").withColumn("_n", F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0))), "pieces")
     counts = {r["_n"]: r["k"] for r in rows.where("_n > 0").groupBy("_n").agg(F.count("*").alias("k")).collect()}
     runs = plan(counts, limits)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
@@ -141,7 +142,7 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), length_col: str = "length
     numbered = salted.withColumn("_item", F.row_number().over(Window.partitionBy("_n", "_salt").orderBy(*order))).join(base, ["_n", "_salt"])
     names = [c for c in rows.columns if c != "_n"]
     numbered = numbered.select(*names, "_n", (F.col("_base") + F.col("_item") - 1).alias("_item"))
-    schema = pieces.drop("sequence_id", "offset").schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.drop("sequence_id", "offset").schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def place(batch: pa.RecordBatch):
         n, item = (batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_n", "_item"))

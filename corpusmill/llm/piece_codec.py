@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .shared import long_texts, map_arrow, texts_of
 
@@ -195,7 +196,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str =
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
     rows = encoded.drop(out_col)
-    return map_arrow(rows, each, rows.schema.add(out_col, "string"))
+    return map_arrow(rows, each, StructType([*rows.schema.fields, StructField(out_col, StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -169,8 +170,8 @@ class WordCodes:
         for i, codes in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = codes
         over = len(self.known) - self.limit
-        for k in new[-over:] if over > 0 else ():
-            self.known.pop(k, None)
+        for k in list(islice(reversed(self.known), over)) if over > 0 else ():
+            del self.known[k]
         return out
 
 
