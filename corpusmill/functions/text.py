@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blanks without the line feed, as a regex class (what str.strip() takes away, but for line ends).
-BLANK = r"[ \t\x0b\x0c\x1c-\x1f\x85   -     　]"
+BLANK = r"[ \t\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SPACE = BLANK[:-1] + r"\n\r]"
 
 #: Terms that a search skips.
@@ -46,7 +46,7 @@ def line_feeds(text: Column) -> Column:
 
 def normalize_plain(text: Column) -> Column:
     """Line feeds only, single blanks, lines stripped, runs of empty lines folded to one, ends stripped."""
-    text = F.replace(line_feeds(text), F.lit(" "), F.lit(" "))
+    text = F.replace(line_feeds(text), F.lit("\u00a0"), F.lit(" "))
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.regexp_replace(text, f"{BLANK}*\\n{BLANK}*", "\n")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
@@ -54,7 +54,7 @@ def normalize_plain(text: Column) -> Column:
 
 def normalize_structured(text: Column) -> Column:
     """Line feeds only, blanks at line ends dropped, indentation kept, runs of empty lines folded, outer ones dropped."""
-    text = F.replace(line_feeds(text), F.lit(" "), F.lit(" "))
+    text = F.replace(line_feeds(text), F.lit("\u00a0"), F.lit(" "))
     text = F.regexp_replace(text, f"{BLANK}+\\n", "\n")
     text = F.regexp_replace(F.regexp_replace(text, f"{BLANK}+$", ""), r"\n{3,}", "\n\n")
     return F.regexp_replace(text, r"^\n+|\n+$", "")

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Texts of these characters only are the same after NFKC, so they need no Python.
 STABLE = r"^[\x00-\x7fÀ-ÿ㐀-䶿一-鿿]*$"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc_lower(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
 
@@ -26,12 +27,12 @@ def with_folded(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.where(stable).withColumn(out, F.lower(text)).unionByName(df.where(~stable).withColumn(out, nfkc_lower(F.col(text))))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in the longest matching blocks of two texts."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
@@ -73,7 +74,7 @@ def decode_bytes(data: bytes, policy: str = "sniff", declared: str | None = None
 def decode_udf(policy: str = "sniff"):
     """struct<text,encoding,error> of binary content."""
 
-    @pandas_udf("text string, encoding string, error string")
+    @pandas_udf(StructType([StructField(c, StringType()) for c in ("text", "encoding", "error")]))
     def decode(content: pd.Series) -> pd.DataFrame:
         rows = []
         for data in content:

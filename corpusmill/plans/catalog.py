@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times as M
-from ..operators import attribution, fidelity, frames, integrity, intervals, links, planning, search, workflow
+from ..operators import attribution, fidelity, frames, integrity, intervals, links, planning, runs, search, workflow
 from ..sources import captions, documents, html, posts, sinks
 from ..streaming import events as windows
 
@@ -98,9 +98,6 @@ def doc_norms(spark, d):
     return search.norms(search.term_frequency(table(spark, d, "documents"))).select(F.col("id").alias("doc_id"), F.round("norm", 6).alias("norm"))
 
 
-_BUNDLES = "[('a/x.md', NULL), ('b/entry.md', 'b/entry.md'), ('b/other.md', 'b/entry.md')]"
-
-
 @query("SELECT * FROM (VALUES ('a/x.md'), ('b/entry.md'), ('b/c/main.md')) t(path)")
 def bundle_entries(spark, d):
     files = spark.createDataFrame([("a/x.md",), ("b/entry.md",), ("b/other.md",), ("b/c/main.md",), ("b/c/part.md",)], "path string")
@@ -709,3 +706,29 @@ def events_sliding(spark, d):
 g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, k""")
 def events_sessions(spark, d):
     return windows.sessions(table(spark, d, "events"), "2 hours")
+
+
+# ---- runs
+
+
+@query("""SELECT conv_id, turn, round(length(text) / nullif(first_value(length(text)) OVER w, 0), 6) AS length_ratio, coalesce(round(length(text) / nullif(first_value(length(text)) OVER w, 0), 6) BETWEEN 0.8 AND 1.25, false) AS passes
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def ratio_to_first(spark, d):
+    return runs.ratio_to_first(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "length_ratio", "passes")
+
+
+@query("SELECT conv_id, turn, concat_ws('|', CASE WHEN turn * 1000 >= length(text) THEN 'end is not after start' END, CASE WHEN length(text) > 500 THEN 'end is beyond the recording' END) AS issues FROM conversations")
+def time_range_issues(spark, d):
+    rows = table(spark, d, "conversations").withColumns({"s": F.col("turn") * 1000, "e": F.length("text"), "t": F.lit(500)})
+    return runs.time_range_issues(rows, "s", "e", "t").select("conv_id", "turn", F.array_join("issues", "|").alias("issues"))
+
+
+@query("SELECT conv_id, CAST(coalesce(max(length(text)) FILTER (WHERE role = 'assistant'), max(length(text))) AS BIGINT) AS duration_ms FROM conversations GROUP BY conv_id")
+def prefer_audio(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", F.when(F.col("role") == "assistant", "audio").otherwise("video").alias("kind"), F.length("text").cast("long").alias("duration_ms"))
+    return runs.prefer_audio(rows, "conv_id")
+
+
+@query("""SELECT conv_id, sha256('[' || string_agg('{"role":"' || role || '","turn":' || turn || '}', ',' ORDER BY turn) || ']') AS sha256 FROM conversations GROUP BY conv_id""")
+def plan_hash(spark, d):
+    return runs.plan_hash(table(spark, d, "conversations"), "conv_id", "turn", ["turn", "role"])

@@ -20,7 +20,7 @@ def stamp(text: str) -> int:
 def cues(text: str, kind: str) -> list[tuple[int, int, str]]:
     """(start_ms, end_ms, text) of each cue; lines of a cue are joined by ``<br>``.  Any other block is an error."""
     out = []
-    for block in re.split(r"\n[ \t]*\n", text.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n").strip("\n")):
+    for block in re.split(r"\n[ \t]*\n", text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n").strip("\n")):
         lines = [x.strip() for x in block.split("\n") if x.strip()]
         if not lines or kind == "vtt" and re.match(r"WEBVTT|NOTE|STYLE|REGION", lines[0]):
             continue

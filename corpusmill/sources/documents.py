@@ -44,7 +44,7 @@ def header_fields(body: str) -> dict[str, str]:
 
 def front_matter(text: str) -> dict[str, str]:
     """key: value lines of a leading block between ``---`` lines; none if it does not end."""
-    lines = text.lstrip("﻿").splitlines()
+    lines = text.lstrip("\ufeff").splitlines()
     if not lines or lines[0].strip() != "---":
         return {}
     out = {}
@@ -58,7 +58,7 @@ def front_matter(text: str) -> dict[str, str]:
 
 
 def structured(text: str) -> str:
-    lines = [x.rstrip() for x in text.replace("\r\n", "\n").replace("\r", "\n").replace(" ", " ").split("\n")]
+    lines = [x.rstrip() for x in text.replace("\r\n", "\n").replace("\r", "\n").replace("\u00a0", " ").split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
 
