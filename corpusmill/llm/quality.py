@@ -35,8 +35,8 @@ class Rules:
 
     min_words: int = 50
     repeat_percent: int = 50
-    max_char_distance: float = 0.4
-    max_word_distance: float = 0.8
+    max_char_distance: float = 0.28
+    max_word_distance: float = 0.6
     min_chars: int = 200
     min_judged_words: int = 100
     common: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(COMMON))
