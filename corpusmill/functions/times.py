@@ -26,9 +26,9 @@ def parse_stamp(stamp: Column) -> Column:
     """Milliseconds of [HH:]MM:SS(,|.)mmm, null where that is not what it is."""
     pattern = r"^(?:(\d+):)?([0-5]?\d):([0-5]?\d)[.,](\d{1,3})$"
     n = lambda k: F.regexp_extract(stamp, pattern, k)
-    hours = F.coalesce(F.nullif(n(1), F.lit("")), F.lit("0")).cast("long")
-    ms = F.rpad(n(4), 3, "0").cast("long")
-    return F.when(stamp.rlike(pattern), hours * 3_600_000 + n(2).cast("long") * 60_000 + n(3).cast("long") * 1000 + ms)
+    hours = F.coalesce(F.nullif(n(1), F.lit("")), F.lit("0")).try_cast("long")
+    ms = F.rpad(n(4), 3, "0").try_cast("long")
+    return F.when(stamp.rlike(pattern), hours * 3_600_000 + n(2).try_cast("long") * 60_000 + n(3).try_cast("long") * 1000 + ms)
 
 
 def chunk_count(duration_ms: Column, target_minutes: int = 60, long_ms: int = 5_400_000) -> Column:

@@ -18,7 +18,8 @@ def duplicates(df: DataFrame, key: str, id_col: str) -> DataFrame:
 def keep_first(df: DataFrame, key: str, id_col: str) -> DataFrame:
     """One row of each value of key: that with the smallest id (an aggregation and a join, so no value is one task's)."""
     first = df.groupBy(key).agg(F.min(id_col).alias("_first"))
-    return df.join(first, (df[key].eqNullSafe(first[key])) & (df[id_col] == first["_first"]), "left_semi")
+    on = F.col(f"d.{key}").eqNullSafe(F.col(f"f.{key}")) & (F.col(f"d.{id_col}") == F.col("f._first"))
+    return df.alias("d").join(first.alias("f"), on, "left_semi")
 
 
 def snapshots_kept(posts: DataFrame, key: str, order: str, content: str) -> DataFrame:

@@ -117,7 +117,7 @@ def closure(edges: DataFrame, starts: DataFrame, expand: Column | None = None, r
     seen = front = cut(starts.select(F.col("node").alias("start"), "node").distinct())
     for _ in range(rounds):
         follow = front.where(expand) if expand is not None else front
-        new = follow.join(edges, follow["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
+        new = follow.alias("f").join(edges.alias("e"), F.col("f.node") == F.col("e.src")).select("start", F.col("dst").alias("node")).distinct()
         front = cut(new.join(seen, ["start", "node"], "left_anti"))
         if not front.limit(1).count():
             break

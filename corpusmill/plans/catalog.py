@@ -452,7 +452,7 @@ def merge_segments(spark, d):
 
 @query("""WITH s AS (SELECT user_id, CAST(epoch_ms(ts) AS DOUBLE) / 1000 AS t FROM events) SELECT user_id, count(*) AS n_events, CAST(count(DISTINCT t) AS BIGINT) AS n_times FROM s GROUP BY user_id""")
 def event_times(spark, d):
-    rows = table(spark, d, "events").withColumn("t", F.unix_millis("ts") / 1000)
+    rows = table(spark, d, "events").withColumn("t", F.unix_millis(F.col("ts").cast("timestamp")) / 1000)
     return rows.groupBy("user_id").agg(F.count("*").alias("n_events"), F.size(intervals.thin(F.collect_set("t"), 0.0)).cast("long").alias("n_times"))
 
 
@@ -626,10 +626,10 @@ _CARD = '<article data-testid="tweet"><div data-testid="User-Name">A One</div><a
 _QUOTE = '<article data-testid="tweet" data-reply-to="7"><a href="https://x.com/b/status/12"><time></time></a><div data-testid="tweetText">see</div><div role="link"><a href="/c/status/13"><time></time></a><img src="https://p/media/1.jpg" alt="pic"></div></article>'
 
 
-@query("SELECT * FROM (VALUES ('p1', '11', 'aone', 'hi x', 'unknown', 0, CAST(NULL AS VARCHAR)), ('p1', '12', 'b', 'see', 'quote', 1, NULL), ('p2', NULL, NULL, NULL, NULL, NULL, 'no posts found')) t(page_id, post_id, author_account, text, relation, n_quotes, warning)")
+@query("SELECT * FROM (VALUES ('p1', '11', 'aone', 'hi x', 'unknown', 0, CAST(NULL AS VARCHAR)), ('p1', '12', 'b', 'see', 'quote', 1, NULL), ('p2', NULL, NULL, NULL, NULL, 0, 'no posts found')) t(page_id, post_id, author_account, text, relation, n_quotes, warning)")
 def extract_posts(spark, d):
     rows = spark.createDataFrame([("p1", _CARD + _CARD + _QUOTE), ("p2", "<div>shell</div>")], "page_id string, html string")
-    return posts.extract_posts(rows).select("page_id", "post_id", "author_account", "text", "relation", F.when(F.col("quoted_posts").isNotNull(), F.size("quoted_posts")).alias("n_quotes"), "warning")
+    return posts.extract_posts(rows).select("page_id", "post_id", "author_account", "text", "relation", F.coalesce(F.when(F.col("quoted_posts").isNotNull(), F.size("quoted_posts")), F.lit(0)).alias("n_quotes"), "warning")
 
 
 # ---- planning
@@ -648,12 +648,12 @@ def file_routing(spark, d):
 
 
 @query(
-    "SELECT * FROM (VALUES ('one', false, '', CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR)), ('media+t', true, 'media_and_transcript_coexist', 5, 'reuse_transcript_selective_verification'), ('va', true, 'multiple_media_candidates', 4, 'use_existing_audio'), "
+    "SELECT * FROM (VALUES ('one', false, '', 0, CAST(NULL AS VARCHAR)), ('media+t', true, 'media_and_transcript_coexist', 5, 'reuse_transcript_selective_verification'), ('va', true, 'multiple_media_candidates', 4, 'use_existing_audio'), "
     "('ts', true, 'multiple_transcript_candidates', 3, 'select_one_transcript'), ('vv', true, 'multiple_media_candidates', 3, 'select_one_media')) t(project, required, reasons, options, recommended)"
 )
 def material_options(spark, d):
     rows = spark.createDataFrame([("one", 1, 0, 0), ("media+t", 1, 0, 1), ("va", 1, 1, 0), ("ts", 0, 0, 2), ("vv", 2, 0, 0)], "project string, video int, audio int, transcript int")
-    return planning.material_options(rows).select("project", "required", F.array_join("reasons", "|").alias("reasons"), "options", "recommended")
+    return planning.material_options(rows).select("project", "required", F.array_join("reasons", "|").alias("reasons"), F.coalesce("options", F.lit(0)).alias("options"), "recommended")
 
 
 @query("SELECT * FROM (VALUES ('/p/a.md', '/p', true, 'explicit_task_request'), ('/q/dir', '/q/dir', false, 'database_unavailable'), ('/lib/x.md', '/out', false, 'not_requested')) t(source, project_dir, ingest_allowed, basis)")

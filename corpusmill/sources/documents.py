@@ -184,7 +184,9 @@ def extract_files(files: DataFrame, path: str = "path", content: str = "content"
                 except Exception as e:  # one file must not end the job
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=["path", "format", *FIELDS])
+            yield filled(pd.DataFrame(rows, columns=["path", "format", *FIELDS]))
+
+    from .html import filled
 
     rows = files.select(F.col(path).alias("path"), reader_for(F.col(path)).alias("format"), F.col(content).alias("content"))
     return rows.mapInPandas(each, f"path string, format string, {SCHEMA}")
