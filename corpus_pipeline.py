@@ -13,9 +13,14 @@ from corpusmill.llm.registry import tokenizer_file
 from corpusmill.llm.shared import Scratch
 
 
+#: On sf0.1, of the labelled texts that the other rules keep, all 118 bad ones lie at 0.250 to 0.324 from the common
+#: words of their language, as do texts in a wrong one (0.29 to 0.42); of 2,931 good ones two lie above 0.24.
+STAGE_RULES = quality.Rules(max_word_distance=0.24)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, STAGE_RULES)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
