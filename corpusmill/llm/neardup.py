@@ -12,14 +12,14 @@
    verified on them by counting common shingles.  Of the true links a spanning tree is emitted, never all pairs.
 5. Connected components of these links and of exact copies.
 
-With 36 bands of 7 hashes a pair at similarity 0.85 shares no band once in a million times; the pruning adds
-MISS for each comparison.  No bound is set on partners or candidates.
+A pair at the similarity asked for shares no band once in a million times (36 bands of 7 hashes at 0.85, 35 of 5 at
+0.8); the pruning adds MISS for each comparison.  No bound is set on partners or candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,14 @@ from .shared import Scratch, components, long_texts, map_arrow, texts_of
 HASHES, BANDS, ROWS = 256, 36, 7
 BATCH = 32
 MISS = 1e-7
+BAND_MISS = 1e-6
 BLOCK = 512
 BITS = 25
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _rng = np.random.default_rng(20240)
 _A = (_rng.integers(0, 1 << 31, HASHES, np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, np.uint32)
-_BAND = _rng.permutation(HASHES)[: BANDS * ROWS].reshape(BANDS, ROWS)
+_ORDER = _rng.permutation(HASHES)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(32)], np.uint64)
 
 
@@ -92,8 +93,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def features(docs: DataFrame, size: int) -> DataFrame:
+def banding(percent: int) -> np.ndarray:
+    """The hashes of each band: the longest bands with which a pair at this similarity is missed BAND_MISS times at most."""
+    bands, rows = BANDS, ROWS
+    while percent < 85 and (bands := ceil(log(BAND_MISS) / log(1 - (percent / 100) ** rows))) * rows > HASHES:
+        rows -= 1
+    return _ORDER[: bands * rows].reshape(bands, rows)
+
+
+def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, cls, n, sig, keys of each row."""
+    chosen = banding(percent)
 
     def each(batch: pa.RecordBatch):
         import xxhash
@@ -109,9 +119,9 @@ def features(docs: DataFrame, size: int) -> DataFrame:
                 continue
             m = minhashes(found)
             sigs.append((m & np.uint32(255)).astype(np.uint8).tobytes())
-            band = np.arange(BANDS, dtype=np.uint64)
-            for j in range(ROWS):
-                band = mixed(band * _POWERS[1] + m[_BAND[:, j]])
+            band = np.arange(len(chosen), dtype=np.uint64)
+            for j in range(chosen.shape[1]):
+                band = mixed(band * _POWERS[1] + m[chosen[:, j]])
             keys.append(band.view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -338,7 +348,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     long_texts(spark)
     scratch = Scratch(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = scratch.keep(features(plain, size), "features")
+    seen = scratch.keep(features(plain, size, percent), "features")
     classes = seen.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     classes = scratch.keep(classes, "classes")
     reps = seen.join(classes.withColumnRenamed("rep", "doc_id"), ["cls", "doc_id"], "left_semi").dropDuplicates(["cls", "doc_id"])

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from corpusmill.llm import quality
+from corpusmill.llm import neardup, quality
 
 
 def prose(k, common, n=300):
@@ -21,3 +21,27 @@ def test_stage_rejects_texts_without_the_common_words_of_their_language(spark):
     rows += [(900, prose(900, ()), "en"), (901, prose(901, de), "en"), (902, prose(902, en), "de")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()} == good
+
+
+def test_stage_links_pairs_from_four_fifths_on(spark):
+    import corpus_pipeline
+
+    def pair(k, n, cut):  # the second has n - cut of the first's words in front and other words behind
+        rng = np.random.default_rng(k)
+        a = [f"w{k}x{i}" for i in rng.permutation(n)]
+        return " ".join(a), " ".join(a[: n - cut] + [f"v{k}x{i}" for i in range(cut)])
+
+    rows, gone = [], set()
+    for k in range(60):
+        first, second = pair(k, 204, 20 if k % 2 else 24)  # 180 of 220 shingles are common, or 176 of 224
+        rows += [(2 * k, first), (2 * k + 1, second)]
+        gone |= {2 * k + 1} if k % 2 else set()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {i for i, _ in rows} - gone
+
+
+def test_bands_reach_the_similarity_asked_for():
+    for percent in (50, 60, 70, 80, 84, 85, 90, 100):
+        bands, rows = neardup.banding(percent).shape
+        assert bands * rows <= neardup.HASHES and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    assert neardup.banding(85).shape == (neardup.BANDS, neardup.ROWS)
