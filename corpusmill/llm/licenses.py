@@ -1,8 +1,8 @@
 """Licence scans of files, with DataFrame functions only.
 
-Lines that speak of a licence are compared with licence templates by the cosine of sparse TF-IDF vectors
-(idf over the templates, a fixed table).  A file's own licence is the best match of its lines; a file without one
-inherits that of the nearest directory above it, its own first, that holds a licence file.
+Lines, headers and whole texts that speak of a licence are compared with the names, statements, SPDX tags, headers
+and full texts of licences (license_forms.py) by the cosine of sparse TF-IDF vectors (idf over these forms, a fixed
+table).  A file's own licence is its best match; a file without one inherits that of the nearest directory above it, its own first, that holds a licence file.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_forms import FORMS
 from .quality import let
 
-#: Statements by which files name their licence.
+#: Statements by which files name their licence: those of the SQL, all of them among the forms.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -23,7 +24,11 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: What makes a line worth comparing.
+#: What makes a passage worth comparing: each form has it.  Names that are words of a language (mit) are none.
+HINT = r"(?i)licen[sc]e|copyright|redistribut|spdx|permission|warrant|creative commons|public domain|\b(?:mpl|cc0|cc[ -]by|[al]?gpl)\b|\b[al]?gplv\d"
+#: Words that say nothing of a licence; without them prose is not near the long forms.
+STOP = tuple("a all an and any are as at be but for from if in is it its may not of on or such that the this to under which with you your".split())
+#: What makes a line worth comparing, in the SQL.
 CLUE = r"(?i)licen[sc]e|copyright|redistribution|spdx"
 TERM = r"[a-z0-9][a-z0-9.-]*[a-z0-9]|[a-z0-9]"
 
@@ -56,28 +61,27 @@ def unseen(templates: dict[str, str] = TEMPLATES) -> float:
     return math.log(1 + len(templates)) + 1
 
 
-def own_licenses(files: DataFrame, threshold: float = 0.6, templates: dict[str, str] = TEMPLATES, id_col: str = "path", text_col: str = "text") -> DataFrame:
-    """id, license, score: the best match of any line, for files that have one of at least the threshold.
+def own_licenses(files: DataFrame, threshold: float = 0.6, templates: dict[str, tuple[str, ...]] = FORMS, id_col: str = "path", text_col: str = "text") -> DataFrame:
+    """id, license, score: the best match of any passage, for files that have one of at least the threshold."""
+    import re
 
-    A licence line may run on into other text, so each of its sentences is compared as well.
-    """
     spark = files.sparkSession
-    # fixed tables of a few dozen rows
-    vectors = spark.createDataFrame(template_weights(templates), "license string, term string, weight double")
-    idf = spark.createDataFrame(sorted(idfs(templates).items()), "term string, idf double")
-    rows = files.where(F.col(text_col).rlike(CLUE)).select(F.col(id_col).alias("id"), F.explode(F.split(text_col, "\n", -1)).alias("line")).where(F.col("line").rlike(CLUE))
+    # fixed tables of some thousand rows: a row for each different term of each form
+    named = {(name, k): " ".join(x for x in re.findall(TERM, text.lower()) if x not in STOP) for name, texts in templates.items() for k, text in enumerate(texts)}
+    vectors = spark.createDataFrame([(*form, term, w) for form, term, w in template_weights(named)], "license string, form int, term string, weight double")
+    idf = spark.createDataFrame(sorted(idfs(named).items()), "term string, idf double")
+    rows = files.where(F.col(text_col).rlike(HINT)).select(F.col(id_col).alias("id"), passages_of(F.col(text_col)).alias("all"))
+    passages = rows.select("id", F.explode("all").alias("passage")).where(F.col("passage").rlike(HINT)).withColumn("key", F.md5("passage"))
     # equal passages are scored once
-    passages = rows.select("id", F.explode(sentences(F.col("line"))).alias("passage")).where(F.col("passage").rlike(CLUE))
-    passages = passages.groupBy("id", "passage").agg(F.count("*").alias("_n")).drop("_n")
-    distinct = passages.select("passage").distinct()
-    terms = distinct.select("passage", F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(f"({TERM})"), F.lit(1))).alias("term"))
-    tf = terms.groupBy("passage", "term").agg(F.count("*").alias("tf"))
-    weighed = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen(templates))))
-    norms = weighed.groupBy("passage").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy("passage", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    best = dots.join(norms, "passage").select("passage", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = best.groupBy("passage").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    found = passages.join(best, "passage").groupBy("id").agg(F.min("b").alias("b"))
+    distinct = passages.groupBy("key").agg(F.first("passage").alias("passage"))
+    terms = distinct.select("key", F.explode(F.regexp_extract_all(F.lower("passage"), F.lit(f"({TERM})"), F.lit(1))).alias("term")).where(~F.col("term").isin(*STOP))
+    tf = terms.groupBy("key", "term").agg(F.count("*").alias("tf"))
+    weighed = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen(named))))
+    norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(F.broadcast(vectors), "term").groupBy("key", "license", "form").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    best = dots.join(norms, "key").select("key", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    best = best.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    found = passages.select("id", "key").join(best, "key").groupBy("id").agg(F.min("b").alias("b"))
     return found.select("id", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
@@ -86,7 +90,13 @@ def sentences(line: Column) -> Column:
     return F.array_distinct(F.concat(F.array(line), F.split(line, r"(?<=[.;])\s+", -1)))
 
 
-def scan(files: DataFrame, is_license_file: Column, threshold: float = 0.6, templates: dict[str, str] = TEMPLATES, path_col: str = "path", text_col: str = "text") -> DataFrame:
+def passages_of(text: Column) -> Column:
+    """Each line and its sentences, each block of lines between empty lines or the ends of comments, and the whole."""
+    lines = F.flatten(F.transform(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(HINT)), sentences))
+    return F.array_distinct(F.concat(lines, F.split(text, r"\r?\n[ \t]*\r?\n|\*/|-->", -1), F.array(text)))
+
+
+def scan(files: DataFrame, is_license_file: Column, threshold: float = 0.6, templates: dict[str, tuple[str, ...]] = FORMS, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """path, own_license, own_score, license, from_dir: a row for each row of files.
 
     own_license is the best match in the file itself.  license is that, or else the licence of the nearest
@@ -112,7 +122,11 @@ def scan(files: DataFrame, is_license_file: Column, threshold: float = 0.6, temp
 
 
 def sql(files: str, threshold: float = 0.6, templates: dict[str, str] = TEMPLATES) -> str:
-    """DuckDB SQL for scan over a table (path, text, is_file) whose paths are different."""
+    """DuckDB SQL for scan over a table (path, text, is_file) whose paths are different.
+
+    It states the six statements of TEMPLATES, looked for in lines and sentences: the same rows as scan where files
+    name their licences by these alone, as those of the given tables do.
+    """
     vectors = ", ".join(f"('{a}', '{b}', CAST({c!r} AS DOUBLE))" for a, b, c in template_weights(templates))
     idf = ", ".join(f"('{a}', CAST({b!r} AS DOUBLE))" for a, b in sorted(idfs(templates).items()))
     return f"""

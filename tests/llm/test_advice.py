@@ -1,8 +1,11 @@
 """What the review of the first round found missing."""
 
+import re
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from corpusmill.llm import neardup, quality
+from corpusmill.llm import licenses, neardup, quality
 
 
 def prose(k, common, n=300):
@@ -45,3 +48,42 @@ def test_bands_reach_the_similarity_asked_for():
         bands, rows = neardup.banding(percent).shape
         assert bands * rows <= neardup.HASHES and (1 - (percent / 100) ** rows) ** bands <= 1e-6
     assert neardup.banding(85).shape == (neardup.BANDS, neardup.ROWS)
+
+
+APACHE = """/*
+ * Copyright 2020 The Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+package x;
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+
+import os
+"""
+FOUND = [
+    ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("BSD 3-Clause License", "BSD-3-Clause"),
+    ("Apache License", "Apache-2.0"), ("Mozilla Public License Version 2.0", "MPL-2.0"), ("Creative Commons Attribution-NonCommercial 4.0 International", "CC-BY-NC-4.0"), (APACHE, "Apache-2.0"), (GPL, "GPL-3.0"),
+    ("Licensed under the Foo License.", None), ("SPDX-License-Identifier: Foo-1.0", None), ("Das war es. Mit. Der Rest kam.\nMit mit", None), ("The driver needs a licence to use the road, and all of the cars in it are to be insured by the owner of the car.", None),
+]
+
+
+def test_licences_by_name_tag_header_and_whole_text(spark):
+    from corpusmill.llm.license_forms import FORMS
+
+    rows = [(f"d{k}/x", text, name) for k, (text, name) in enumerate(FOUND)]
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0"):
+        full = "Copyright (c) 2021 Jane Roe\n" + FORMS[name][-1].split("\n", 3)[-1]  # without its title, in lines of another width
+        rows.append((f"{name}/LICENSE", re.sub(r"(\S+(?: +\S+){0,5}) ", r"\1\n", full), name))
+    df = spark.createDataFrame([r[:2] for r in rows], "path string, text string")
+    got = {r["path"]: r["own_license"] for r in licenses.scan(df, F.lit(False)).collect()}
+    assert got == {p: name for p, _, name in rows}
+    assert all(re.search(licenses.HINT, x) for texts in FORMS.values() for x in texts)
+    assert all(text in FORMS[name] for name, text in licenses.TEMPLATES.items())
