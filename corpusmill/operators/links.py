@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import posixpath
 import re
 from collections.abc import Iterator
@@ -105,24 +106,26 @@ def resolve(links: DataFrame, files: DataFrame, roots: list[str] | None = None)
     return links.join(there, "resolved", "left").withColumn("status", status).drop("_there")
 
 
-def closure(edges: DataFrame, starts: DataFrame, expand: Column | None = None, rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, expand: Column | None = None, rounds: int | None = None) -> DataFrame:
     """start, node: all that can be reached from each start (node) over edges (src, dst), itself included.
 
     Only nodes for which ``expand`` (a condition on ``node``) holds are followed.  Each round follows what the last one
     reached for the first time, so circles end; rounds are written to the checkpoint folder where there is one.
+    ``rounds`` bounds them: if the last one still reaches new nodes, that is an error.
     """
     spark = edges.sparkSession
     cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
     edges = edges.select("src", "dst").distinct()
     seen = front = cut(starts.select(F.col("node").alias("start"), "node").distinct())
-    for _ in range(rounds):
+    for n in itertools.count(1):
         follow = front.where(expand) if expand is not None else front
         new = follow.alias("f").join(edges.alias("e"), F.col("f.node") == F.col("e.src")).select("start", F.col("dst").alias("node")).distinct()
         front = cut(new.join(seen, ["start", "node"], "left_anti"))
         if not front.limit(1).count():
-            break
+            return seen
+        if rounds is not None and n > rounds:
+            raise ValueError(f"nodes more than {rounds} links away from a start")
         seen = cut(seen.union(front))
-    return seen
 
 
 def rebase(files: DataFrame, moves: DataFrame, links: DataFrame) -> DataFrame:
