@@ -7,8 +7,8 @@ an id.  Documents lie in ascending order of their ids, in shards that are ranges
 A shard is a run of pages, rows (shard, page, ids before it in the shard, ids, data) of a Parquet folder; the
 Parquet files are only the carrier, so that any store that Spark can write will do.  A page is, little-endian:
 
-    "CMHF", documents u32, blocks u32, payload bytes u32
-    document ids i64 each (the least i64 stands for null), ids of each document u32
+    "CMHF", documents u32, blocks u32, payload bytes u32, documents without an id u32 (they come first)
+    document ids i64 each (0 for none), ids of each document u32
     bits of each block u32
     payload: the blocks, each from a byte boundary, codes from the highest bit down
 
@@ -29,8 +29,8 @@ from .shared import Scratch, long_texts, map_arrow, texts_of, word_codes
 LIMIT = 20
 BLOCK = 512
 PAGE_BYTES = 1 << 18
-NULL = -(1 << 63)
-MOST_SHARDS = 10_000
+#: Shards are tasks of one job, and a row for each is broadcast; beyond this many they grow, page by page, not in memory.
+MOST_SHARDS = 20_000
 PAGES = "shard int, page int, before long, n long, data binary"
 
 
@@ -163,25 +163,30 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def page(docs: list[int], n: list[int], bits: list[np.ndarray], payload: list[bytes]) -> bytes:
+def page(docs: list[int | None], n: list[int], bits: list[np.ndarray], payload: list[bytes]) -> bytes:
     flat, body = np.concatenate(bits), b"".join(payload)
-    head = np.array([len(docs), len(flat), len(body)], "<u4").tobytes()
-    return b"CMHF" + head + np.array(docs, "<i8").tobytes() + np.array(n, "<u4").tobytes() + flat.astype("<u4").tobytes() + body
+    head = np.array([len(docs), len(flat), len(body), docs.count(None)], "<u4").tobytes()
+    return b"CMHF" + head + np.array([d or 0 for d in docs], "<i8").tobytes() + np.array(n, "<u4").tobytes() + flat.astype("<u4").tobytes() + body
 
 
-def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """Document ids, which of them are none, ids of each document, bits of each block, payload."""
     if data[:4] != b"CMHF":
         raise ValueError("not a page")
-    d, b, size = np.frombuffer(data, "<u4", 3, 4).tolist()
-    at = 16 + 12 * d
-    docs, n, bits = np.frombuffer(data, "<i8", d, 16), np.frombuffer(data, "<u4", d, 16 + 8 * d), np.frombuffer(data, "<u4", b, at)
+    d, b, size, nulls = np.frombuffer(data, "<u4", 4, 4).tolist()
+    at = 20 + 12 * d
+    docs, n, bits = np.frombuffer(data, "<i8", d, 20), np.frombuffer(data, "<u4", d, 20 + 8 * d), np.frombuffer(data, "<u4", b, at)
     if len(data) != at + 4 * b + size:
         raise ValueError("a page of another length than it says")
-    return docs, n.astype(np.int64), bits.astype(np.int64), data[at + 4 * b :]
+    return docs, np.arange(d) < nulls, n.astype(np.int64), bits.astype(np.int64), data[at + 4 * b :]
 
 
-def write(tokens: DataFrame, path: str, ids_per_shard: int = 4_000_000) -> None:
-    """Write the files of tokens (doc_id, ids) to the new folder ``path``; tokens is read three times."""
+def write(tokens: DataFrame, path: str, ids_per_shard: int = 2_000_000) -> None:
+    """Write the files of tokens (doc_id, ids) to the new folder ``path``; tokens is read three times.
+
+    Documents without an id come first.  Documents of one id follow each other by their numbers of ids, then by their
+    codes; equal rows are all written.  An empty table gives files without a page.
+    """
     spark = tokens.sparkSession
     counts = count_ids(tokens)
     lengths = code_lengths(counts)
@@ -198,8 +203,8 @@ def write(tokens: DataFrame, path: str, ids_per_shard: int = 4_000_000) -> None:
         parts, sizes = [], []
         for b, e in zip((last_block - blocks).tolist(), last_block.tolist()):
             parts.append(payload[last_byte[b] : last_byte[e]]), sizes.append(bits[b:e].astype("<u4").tobytes())
-        doc = batch.column("doc_id").fill_null(NULL)
-        shard = np.searchsorted(bounds, doc.to_numpy(zero_copy_only=False), "left").astype(np.int32)
+        doc = batch.column("doc_id")
+        shard = np.searchsorted(bounds, doc.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "left").astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(shard), doc, pa.array(n), pa.array(sizes, pa.binary()), pa.array(parts, pa.binary())], ["shard", "doc_id", "n", "bits", "payload"])
 
     def paged(batches):
@@ -225,13 +230,14 @@ def write(tokens: DataFrame, path: str, ids_per_shard: int = 4_000_000) -> None:
             yield out()
 
     packed = map_arrow(tokens, squeeze, "shard int, doc_id long, n long, bits binary, payload binary")
-    in_order = packed.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id")
+    # a task for each shard; null ids sort first
+    in_order = packed.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("doc_id", "n", "payload")
     in_order.mapInArrow(paged, PAGES).write.option("compression", "none").parquet(f"{path}/pages.parquet")
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/lengths.parquet")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start long (ids of all documents before it), ids binary (little-endian unsigned 32-bit)."""
+    """From the files alone: doc_id, start long (ids of all documents before it), ids binary (little-endian unsigned 32-bit)."""
     lengths = np.frombuffer(spark.read.parquet(f"{path}/lengths.parquet").first()["lengths"], np.uint8)
     pages = spark.read.schema(PAGES).parquet(f"{path}/pages.parquet")
     table: list[np.ndarray] = []
@@ -245,14 +251,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         if not table:
             table.append(decode_table(lengths))
         found = [parse(x) for x in batch.column("data").to_pylist()]
-        n = np.concatenate([x[1] for x in found])
-        ids = decode(b"".join(x[3] for x in found), np.concatenate([x[2] for x in found]), block_ends(n)[1], table[0])
+        n = np.concatenate([x[2] for x in found])
+        ids = decode(b"".join(x[4] for x in found), np.concatenate([x[3] for x in found]), block_ends(n)[1], table[0])
         wide = ids.astype("<u4").tobytes()
         docs = np.concatenate([x[0] for x in found])
         ends = np.cumsum(n)
-        first = np.concatenate([np.cumsum(x[1]) - x[1] + at for x, at in zip(found, batch.column("at").to_pylist())])
+        first = np.concatenate([np.cumsum(x[2]) - x[2] + at for x, at in zip(found, batch.column("at").to_pylist())])
         each = [wide[4 * a : 4 * b] for a, b in zip((ends - n).tolist(), ends.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NULL), pa.array(first), pa.array(each, pa.binary())], ["doc_id", "start", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.concatenate([x[1] for x in found])), pa.array(first), pa.array(each, pa.binary())], ["doc_id", "start", "ids"])
 
     return map_arrow_small(placed, unpack, "doc_id long, start long, ids binary")
 
@@ -268,7 +274,11 @@ def map_arrow_small(df: DataFrame, f, schema: str, rows: int = 24) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end: int, path: str) -> None:
-    """Tokenize docs and write the files; the ids are kept in the shared folder until the files are written."""
+    """Tokenize docs and write the files; the ids are kept in the shared folder until the files are written.
+
+    A null or empty text has the one id ``end``; a null id is written as none; repeated rows are all written, in the
+    order that write() states; other columns are dropped.
+    """
     scratch = Scratch(docs.sparkSession)
     where = scratch.path("ids")
     tokenize(docs, tokenizer, end).write.option("compression", "zstd").parquet(where)

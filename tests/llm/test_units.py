@@ -11,7 +11,7 @@ from corpusmill.llm import ann, neardup, packing, piece_codec, token_counts, tok
 from corpusmill.llm.registry import tokenizer_file
 from corpusmill.llm.shared import WordCodes
 
-PARTS = ["a", "the", " ", " ", " ", "  ", "\n", "é", "É", "𝔘", "'s", "İ", "Σ", "Ti", "\t", "0", "12", ".", ",", "...", "!?", " of", " ", "\x1c", "é", "<|endoftext|>", "ß", "中", " \n", "▁"]
+PARTS = ["a", "the", " ", " ", " ", "  ", "\n", "é", "É", "𝔘", "'s", "İ", "Σ", "Ti", "\t", "0", "12", ".", ",", "...", "!?", " of", " ", "\x1c", "é", "<|endoftext|>", "ß", "中", " \n", "▁", "\r", " \r", "\x0b", "\x0c", "$$$", ".%%%"]
 
 
 def texts(n, seed=1):
@@ -26,7 +26,7 @@ def test_word_codes_equal_the_library(name, join):
     want = [e.ids for e in coder.tokenizer.encode_batch(found, add_special_tokens=False)]
     for _ in range(2):  # cold, then with what is known
         assert [np.frombuffer(c, "<u2").tolist() for c in coder.encode(found)] == want
-    assert len(coder.known) <= 500
+    assert len(coder.words) <= 500 and len(coder.codes) == len(coder.words)
 
 
 def test_pieces_equal_the_library():
