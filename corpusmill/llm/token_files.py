@@ -93,10 +93,22 @@ def block_ends(counts: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     return start, np.minimum(block, np.repeat(counts, blocks) - k * block)
 
 
-def encode(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Bits of each block, and the payload, for documents of ``counts`` ids one after the other in ``ids``."""
-    if not len(ids):
-        return np.zeros(0, np.int64), b""
+def encode(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray, most: int = 1 << 15) -> tuple[np.ndarray, bytes]:
+    """Bits of each block, and the payload, for documents of ``counts`` ids one after the other in ``ids``.
+
+    About ``most`` ids at a time, or one document, so that the arrays stay in the processor's cache.
+    """
+    ends, bits, payload, doc, at = np.cumsum(counts), [np.zeros(0, np.int64)], [], 0, 0
+    while doc < len(counts):
+        to = max(doc + 1, int(np.searchsorted(ends, at + most, "right")))
+        if ends[to - 1] > at:
+            b, p = encode_some(ids[at : ends[to - 1]], counts[doc:to], lengths, codes)
+            bits.append(b), payload.append(p)
+        doc, at = to, int(ends[to - 1])
+    return np.concatenate(bits), b"".join(payload)
+
+
+def encode_some(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, bytes]:
     size = lengths[ids].astype(np.int64)
     start, n = block_ends(counts)
     ends = np.cumsum(size)
