@@ -2,18 +2,21 @@
 
 A document is a sequence of line ids (128-bit hashes of whole lines).  Prefix doubling names the suffixes of all
 documents by their first 1, 2, 4, ... lines: the name at twice the depth is the pair of the names of a place
-and of the place one depth further on.  Places whose name nothing else has leave the table at once, so only
-repeated runs are carried on.  Places of one name are an interval of the suffix array whose longest common
-prefix has at least that depth.
-
-A line goes if it lies in a run of at least ``min_lines`` lines that has begun to occur before, in an earlier document
-or further up in the same one; or if it has at least ``min_words`` words and has occurred before.  Every such
-run is covered by its windows of exactly ``min_lines`` lines, each of which has occurred before as well, so naming
-stops at that depth; removed windows that touch are one maximal run.  The first copy always stays.
+and of the place one depth further on.  It goes on until no name repeats; places whose name nothing else has leave
+the table at once, so only repeated runs are carried on.
+
+Places of one name at a depth are the interval of the suffix array whose longest common prefix has at least that
+depth, and the least of them is its first copy.  The array itself is not put in order: an interval is known by
+its name, and what is asked of it is its first copy alone.  A place keeps the deepest interval in which a copy
+that it does not overlap comes before it; the lines of that depth from there on go.  A repeated run of any other
+length is covered by the intervals of its places.  So a line goes if it lies in a run of at least ``min_lines``
+lines that has occurred before without overlap, in an earlier document or further up in the same one; or if it has
+at least ``min_words`` words and has occurred before.  The first copy stays.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +35,14 @@ def line_ids(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     return rows.select(*PLACE, F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(1), "_text").alias("b"), wordy.alias("wordy"))
 
 
-def repeated(named: DataFrame) -> DataFrame:
+def repeated(named: DataFrame, scratch: Scratch) -> DataFrame:
     """named with the first place of its name, without the places whose name nothing else has.
 
-    The counts are combined before the shuffle; the join on the name is one that Spark splits where a name is
-    very frequent.
+    The counts are combined before the shuffle; they are a table of their own, so that Spark can split the join at a
+    name that is very frequent.
     """
     firsts = named.groupBy("a", "b").agg(F.count("*").alias("_n"), F.min(F.struct(*PLACE)).alias("first")).where("_n > 1").drop("_n")
-    return named.join(firsts, ["a", "b"])
+    return scratch.keep(named.join(scratch.keep(firsts, "firsts").hint("merge"), ["a", "b"]), "repeated")
 
 
 def further(named: DataFrame, distance: int, a: str, b: str) -> DataFrame:
@@ -55,27 +58,26 @@ def doubled(named: DataFrame, distance: int) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, min_lines: int, min_words: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_doc, _version, lines array<int>: the lines to remove, in order, for each document that has any."""
-    lines = scratch.keep(line_ids(docs, id_col, text_col, min_words), "lines")
-    now = scratch.keep(repeated(lines), "repeated")
-    place = F.struct(*PLACE)
-    later = place != F.col("first")
-    single = now.where(later & ((F.col("wordy")) | F.lit(min_lines == 1))).select(*PLACE)
-    parts = [single]
+    """_doc, _version, copies array<struct<line, depth>>: the copied runs of each document that has any."""
+    now = repeated(scratch.keep(line_ids(docs, id_col, text_col, min_words), "lines"), scratch)
+    later = F.struct(*PLACE) != F.col("first")
+    found = [now.where(later & (F.col("wordy") | F.lit(min_lines == 1))).select(*PLACE, F.lit(1).alias("depth"))]
     depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        old, now = now, scratch.keep(repeated(doubled(now.select(*PLACE, "a", "b"), step)), "repeated")
-        if depth > 1:
-            scratch.drop(old)
+    while True:
+        step = depth if depth >= min_lines else min(depth, min_lines - depth)
+        now = repeated(doubled(now.select(*PLACE, "a", "b"), step), scratch)
         depth += step
-    if min_lines > 1:
-        begins = now.where(later)
-        parts.append(begins.select("_doc", "_version", F.explode(F.sequence(F.col("_line"), F.col("_line") + min_lines - 1)).alias("_line")))
-    gone = parts[0]
-    for x in parts[1:]:
-        gone = gone.union(x)
-    return gone.groupBy("_doc", "_version").agg(F.array_sort(F.collect_set("_line")).alias("lines"))
+        if now.isEmpty():
+            break
+        if depth >= min_lines:
+            same = F.col("first._doc").eqNullSafe(F.col("_doc")) & (F.col("first._version") == F.col("_version"))
+            apart = ~same | (F.col("_line") >= F.col("first._line") + depth)
+            found.append(now.where(apart).select(*PLACE, F.lit(depth).alias("depth")))
+    copies = found[0]
+    for x in found[1:]:
+        copies = copies.union(x)
+    deepest = copies.groupBy(*PLACE).agg(F.max("depth").alias("depth"))
+    return deepest.groupBy("_doc", "_version").agg(F.array_sort(F.collect_list(F.struct(F.col("_line").alias("line"), "depth"))).alias("copies"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,29 +86,41 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, id_col
     Lines are what stands between line feeds; they are equal if all their characters are.  Copies are ordered by
     document id (null first), then by line.  Rows with the same id and text are one document and treated alike;
     rows with the same id and another text follow each other in the order of a hash.  A null text stays null and
-    has no lines; an empty text has one empty line.  n_runs counts the maximal runs that were removed.  Columns of the
-    input named n_lines, n_removed or n_runs are replaced; all others stay.
+    has no lines; an empty text has one empty line.  n_runs counts the copied runs: a run ends before a line at which
+    no copy of ``min_lines`` lines begins, and a long line that is copied alone is one.  Columns of the
+    input named n_lines, n_removed or n_runs are replaced; all others stay.  An empty table gives an empty table.
     """
     if min_lines < 1 or min_words < 1:
         raise ValueError("min_lines and min_words are 1 or more")
     long_texts(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed", "n_runs")
-    gone = removed_lines(docs, min_lines, min_words, scratch, id_col, text_col).withColumnRenamed("lines", "_gone")
+    gone = removed_lines(docs, min_lines, min_words, scratch, id_col, text_col).withColumnRenamed("copies", "_gone")
     on: Column = F.col(f"d.{id_col}").eqNullSafe(F.col("g._doc")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("g._version"))
     both = docs.alias("d").join(gone.alias("g"), on, "left").select("d.*", "g._gone")
     names = docs.columns
     schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("n_lines", "n_removed", "n_runs"))])
 
     def rebuild(batch: pa.RecordBatch):
-        texts, gone = batch.column(text_col).to_pylist(), batch.column("_gone").to_pylist()
+        texts, found = batch.column(text_col).to_pylist(), batch.column("_gone")
         n, removed, runs = [], [], []
-        for k, (t, g) in enumerate(zip(texts, gone)):
+        for k, t in enumerate(texts):
             n.append(0 if t is None else t.count("\n") + 1)
-            removed.append(len(g or ())), runs.append(sum(y - x != 1 for x, y in zip([-2, *(g or ())], g or ())))
-            if g:
-                out = set(g)
-                texts[k] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out)
+            removed.append(0), runs.append(0)
+            if t is None or not (copies := found[k].as_py()):
+                continue
+            line, depth = (np.array([x[c] for x in copies]) for c in ("line", "depth"))
+            change = np.zeros(n[-1] + 1, np.int64)
+            np.add.at(change, line, 1), np.add.at(change, line + depth, -1)
+            gone = np.cumsum(change)[:-1] > 0
+            # a run begins where a copied run begins right after a line where none does
+            begins = line[depth >= min_lines]
+            inside = np.zeros(n[-1] + 1, np.int64)
+            np.add.at(inside, begins, 1), np.add.at(inside, np.minimum(begins + min_lines, n[-1]), -1)
+            covered = np.cumsum(inside)[:-1] > 0
+            runs[-1] = int((np.diff(begins, prepend=-2) > 1).sum()) + int((gone & ~covered).sum())
+            removed[-1] = int(gone.sum())
+            texts[k] = "\n".join(x for x, out in zip(t.split("\n"), gone.tolist()) if not out)
         columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
         yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in (n, removed, runs))], [*names, "n_lines", "n_removed", "n_runs"])
 
@@ -121,15 +135,14 @@ WITH lines AS (
 ), marked AS (
   SELECT doc_id, line, txt,
     row_number() OVER (PARTITION BY txt ORDER BY doc_id, line) > 1 AND len(regexp_extract_all(txt, '[^\\x20\\x09-\\x0D]+')) >= 50 AS single,
-    more AND row_number() OVER (PARTITION BY txt, nxt, more ORDER BY doc_id, line) > 1 AS twin
-  FROM lines
+    more AND (first_value(doc_id) OVER w <> doc_id OR first_value(line) OVER w + 2 <= line) AS twin
+  FROM lines WINDOW w AS (PARTITION BY txt, nxt, more ORDER BY doc_id, line)
 ), flagged AS (
-  SELECT doc_id, line, txt, single OR twin OR coalesce(lag(twin) OVER (PARTITION BY doc_id ORDER BY line), false) AS gone FROM marked
-), begun AS (
-  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY line), false) AS begins FROM flagged
+  SELECT doc_id, line, txt, twin OR coalesce(lag(twin) OVER o, false) AS covered, single, twin AND NOT coalesce(lag(twin) OVER o, false) AS begins
+  FROM marked WINDOW o AS (PARTITION BY doc_id ORDER BY line)
 ), found AS (
-  SELECT doc_id, coalesce(string_agg(txt, chr(10) ORDER BY line) FILTER (WHERE NOT gone), '') AS kept_text, count(*) AS n_lines,
-    count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_runs
-  FROM begun GROUP BY doc_id
+  SELECT doc_id, coalesce(string_agg(txt, chr(10) ORDER BY line) FILTER (WHERE NOT (single OR covered)), '') AS kept_text, count(*) AS n_lines,
+    count(*) FILTER (WHERE single OR covered) AS n_removed, count(*) FILTER (WHERE begins OR single AND NOT covered) AS n_runs
+  FROM flagged GROUP BY doc_id
 )
 """
