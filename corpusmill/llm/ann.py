@@ -113,17 +113,22 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, forest: Forest = Forest()
 
     Candidates are all rows but the query's own id; score is the Euclidean distance of the vectors as given, ties go to
     the smaller id.  Vectors that are null, zero or hold null or non-finite components, and rows with a null
-    id, take no part.  Equal rows count once; an id with several vectors is searched and found with each.  Only vectors
-    of the most frequent length (the smaller at a tie) take part.  An empty table gives an empty table.
+    id, take no part.  Equal rows count once; an id with several vectors is searched and found with each.  There is no
+    distance between vectors of different lengths: each length has a forest of its own, and a query is searched
+    among the vectors of its length.  Other columns are dropped; an empty table gives an empty table.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = scratch.keep(usable(vectors, id_col, vec_col), "vectors")
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == lengths[0]["d"])
+    asked = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for row in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
+        out = out.union(nearest_of_length(rows.where(F.size("v") == row["d"]), row["d"], asked, k, forest, scratch))
+    return out
+
+
+def nearest_of_length(rows: DataFrame, length: int, asked: DataFrame, k: int, forest: Forest, scratch: Scratch) -> DataFrame:
+    """nearest for rows (id, v) of one length; asked: the ids of queries."""
     # the k + 1 smallest ids of each vector; salted, then together
     need = k + 1
     first = Window.partitionBy("v", "_s").orderBy("id")
@@ -134,10 +139,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, forest: Forest = Forest()
     n = entries.count()
     # a bounded sample, the same on every run: the vectors with the smallest hashes of about twice as many as wanted
     share = min(1.0, 2.0 * forest.sample / n)
-    picked = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").limit(forest.sample)
-    sample = np.array([r["v"] for r in picked.collect()]).reshape(-1, lengths[0]["d"])
-    if not len(sample):
-        sample = np.array([r["v"] for r in entries.select("v").limit(forest.sample).collect()])
+    hashed = entries.select("v", F.xxhash64("v").alias("h"))
+    picked = hashed.where(F.pmod(F.col("h"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h", "v").limit(forest.sample)
+    sample = np.array([r["v"] for r in picked.collect()]).reshape(-1, length)
     trees = fit(sample, n, forest)
     base = np.concatenate([[0], np.cumsum([t.leaves for t in trees])])
 
@@ -175,8 +179,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, forest: Forest = Forest()
         salt = np.array([int.from_bytes(x[:8], "little") % 1_000_003 for x in batch.column("v").to_pylist()]) % blocks[slot]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt.astype(np.int32))], ["slot", "v", "ids", "salt"])
 
-    asked = rows.withColumnRenamed(id_col, "id") if "id" not in rows.columns else rows
-    chosen = asked.join(vectors.where(is_query).select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
+    chosen = rows.join(asked, "id", "left_semi")
     queries = map_arrow(chosen.groupBy("v").agg(F.count("*").alias("_n")).select("v"), aim, "slot long, salt int, v binary")
     dealt = map_arrow(items, salted, "slot long, v binary, ids array<long>, salt int").select("slot", "salt", F.lit(0).alias("kind"), "v", "ids")
     dealt = dealt.union(queries.select("slot", "salt", F.lit(1).alias("kind"), "v", F.lit(None).cast("array<long>").alias("ids")))

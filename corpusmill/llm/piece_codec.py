@@ -5,10 +5,12 @@ follow the last token of the prefix before it is the last token here.  A pair ma
 the characters of both never joins across their border, which is remembered for each pair.  The ids are
 then read from the table backwards, in time proportional to the text.
 
-Words are what stands after single blanks: no piece holds a blank after another character, so they are encoded
-apart, and each worker keeps the ids of the first ``LIMIT`` different words it meets.  Runs of blanks are pieces that
-tie in their scores, where a prefix can have two last tokens; texts with such runs are merged by score instead.
-Characters without a piece become their UTF-8 bytes.
+A word is what stands after blanks: no piece holds a blank after another character, so words are encoded apart,
+and each worker keeps the ids of the first ``LIMIT`` different words it meets.  Pieces of blanks alone are merged
+after all others, so of a run of blanks the last one goes with the word if it can, and the rest have a table of their
+own, of as many rows as the longest such piece is long: longer runs start with that piece.  The constructor checks
+all this of the vocabulary and refuses others.
+Characters without a piece become their UTF-8 bytes; a text's own "▁" is a blank, as for the library.
 """
 
 from __future__ import annotations
@@ -56,6 +58,21 @@ class Pieces:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.run_table()
+
+    def run_table(self) -> None:
+        """runs: the ids of 0, 1, 2, ... blanks, up to the longest piece of blanks."""
+        blanks = [x for x in self.ids if x == BLANK * len(x)]
+        self.longest = longest = max(map(len, blanks))
+        self.alone = np.array([self.ids[BLANK]], "<u2").tobytes()
+        self.runs = [np.array([self.ids[x] for x in self.merged(BLANK * n)], "<u2").tobytes() if n else b"" for n in range(longest + 1)]
+        last = {r for x, r in self.rank.items() if len(x) > 1 and x in blanks}
+        ok = len(last) <= 1 and all(r < min(last, default=np.inf) for x, r in self.rank.items() if x not in blanks) and not any(x.startswith(BLANK * 2) and x not in blanks for x in self.ids)
+        if not ok or any(self.merged(BLANK * n) != [BLANK * longest] * (n // longest) + (self.merged(BLANK * (n % longest)) if n % longest else []) for n in range(1, 6 * longest + 2)):
+            raise ValueError("not a vocabulary whose runs of blanks have a table")
+
+    def blanks(self, n: int) -> bytes:
+        return self.runs[self.longest] * (n // self.longest) + self.runs[n % self.longest]
 
     def merged(self, text: str, border: int = -1) -> list[str] | None:
         """What merging the best-scored neighbours, the left first, makes of the characters.
@@ -120,30 +137,45 @@ class Pieces:
                 at -= self.length[token]
         return out[::-1]
 
-    def whole(self, text: str) -> list[int]:
-        """Ids of a text with runs of blanks, by merging."""
-        out: list[int] = []
-        for x in self.merged(BLANK + text.replace(" ", BLANK)):
-            out.extend([self.ids[x]] if x in self.ids else [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")])
-        return out
+    def codes(self, key: str) -> bytes:
+        """Ids of a word after a blank, or of one after a line feed."""
+        ids = [self.bytes[10], *self.word(key[1:])] if key[0] == "\n" else self.word(BLANK + key)
+        return np.array(ids, "<u2").tobytes()
+
+    def spaced(self, keys: list[str]) -> bytes:
+        """Ids of a text in which blanks stand together, at an end or before a line feed; keys: its parts between blanks."""
+        out, run = [], 1  # the library puts a blank in front
+        for k in keys:
+            if not k:
+                run += 1
+                continue
+            code = self.known[k]
+            if k[0] == "\n":  # the blank before it was put there
+                out.append(self.blanks(run - 1))
+            elif code[:2] == self.alone:  # the word's blank is a piece by itself, so it is one of the run
+                out.append(self.blanks(run))
+                code = code[2:]
+            else:
+                out.append(self.blanks(run - 1))
+            out.append(code)
+            run = 1
+        out.append(self.blanks(run - 1))
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 16-bit numbers."""
-        keys = [t.replace("\n", " \n").split(" ") for t in texts]
+        keys = [t.replace(BLANK, " ").replace("\n", " \n").split(" ") for t in texts]
         known, fresh = self.known, []
         for k in set().union(*keys).difference(known):
-            if not k:
-                continue
-            ids = [self.bytes[10], *self.word(k[1:])] if k[0] == "\n" else self.word(BLANK + k)
-            known[k] = np.array(ids, "<u2").tobytes()
-            fresh.append(k)
-        known.pop("", None)
+            if k:
+                known[k] = self.codes(k)
+                fresh.append(k)
         out = []
         for t, ks in zip(texts, keys):
             if not t:
                 out.append(b"")
-            elif "" in ks or BLANK in t:
-                out.append(np.array(self.whole(t), "<u2").tobytes())
+            elif "" in ks or ks[0][0] == "\n":
+                out.append(self.spaced(ks))
             else:
                 out.append(b"".join(map(known.__getitem__, ks)))
         for k in fresh[: max(0, len(known) - LIMIT)] if len(known) > LIMIT else ():
@@ -200,7 +232,11 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str =
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids, decoded in one pass, without handing the ids to Spark and back between the two."""
+    """doc_id, ids, decoded in one pass, without handing the ids to Spark and back between the two.
+
+    A null or empty text gives no ids and an empty text; repeated rows and null ids stay; other columns are dropped; an
+    empty table gives an empty table.
+    """
     long_texts(docs.sparkSession)
 
     def each(batch: pa.RecordBatch):
