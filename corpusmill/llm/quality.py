@@ -2,48 +2,44 @@
 
 Base rules: too few words, or too many words inside repeated three-word windows.  Beyond them a document is held
 against its language: the Jensen-Shannon distances between its histograms of character classes and of
-common words and those of all documents of that language.  A histogram of a short text says little, so each
-distance counts only from a least length on, and a language without a word list is not judged by them.
+common words and those of all documents of that language.  The common words are the ``n_common`` most frequent of
+the language's own documents.  A histogram of a short text says little, so each distance counts only from a
+least length on.  A document without a language, or of none of the ``languages`` with the most words, is held
+against all documents.
 
-The histograms are made in one pass over the texts and kept (about a hundred numbers a document); the references
-are their sums, a row for each language that has a word list.
+One pass counts the words of each language (combined before the shuffle), one makes the histograms (some forty
+numbers a document, which are kept); a row of reference for each language is all that is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: Common words of each language (fixed values).
-COMMON = {
-    "en": ("the", "of", "and", "to", "in", "is", "that", "was", "for", "on", "are", "as", "with", "be", "by", "at"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "dans", "que", "est", "pour", "au", "qui"),
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "con", "una", "su"),
-}
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """min_words and repeat_percent are the base rules; the others bound the distances (0 to 1) and guard them."""
+    """min_words and repeat_percent are the base rules; the others bound the distances (0 to 1) and guard them.
+
+    The bounds come from the labelled documents of sf0.1 that pass the base rules: README has how they part good
+    ones from bad ones there and on other tables.
+    """
 
     min_words: int = 50
     repeat_percent: int = 50
     max_char_distance: float = 0.28
-    max_word_distance: float = 0.6
+    max_word_distance: float = 0.4
     min_chars: int = 200
     min_judged_words: int = 100
-    common: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(COMMON))
-
-    @property
-    def words(self) -> list[str]:
-        return sorted({w for ws in self.common.values() for w in ws})
+    n_common: int = 32
+    languages: int = 256
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -80,30 +76,55 @@ def repeat_words(words: Column) -> Column:
     return let(grams, count)
 
 
-def measures(docs: DataFrame, rules: Rules, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """doc_id, version, lang, the base counts, and the histograms chars and commons."""
+def words_in(text: Column) -> Column:
+    return F.array_remove(F.split(without(text, "\t\n\x0b\x0c\r", " "), " "), "")
+
+
+def common_words(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, scratch: Scratch) -> DataFrame:
+    """lang, words, all_commons: the most frequent words of each language with their counts, last that of all others.
+
+    A row for each of the ``languages`` with the most words, and one with a null language for all documents.
+    """
+    words = docs.select(F.col(lang_col).alias("lang"), F.explode(words_in(F.col(text_col).cast("string"))).alias("word"))
+    counts = scratch.keep(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    most = counts.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(rules.languages)
+    by_lang = counts.join(F.broadcast(most.drop("total")), "lang", "left_semi")
+    pooled = counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+    def top(rows: DataFrame, keys: list[str]) -> DataFrame:
+        first = Window.partitionBy(*keys).orderBy(F.desc("n"), "word") if keys else None
+        few = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rules.n_common).drop("k") if keys else rows.orderBy(F.desc("n"), "word").limit(rules.n_common)
+        return few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))).alias("w"))
+
+    listed = top(by_lang, ["lang"]).join(F.broadcast(most), "lang")
+    every = top(pooled, []).crossJoin(pooled.agg(F.sum("n").alias("total"))).select(F.lit(None).cast("string").alias("lang"), "w", "total")  # one row each
+    known = F.transform("w", lambda x: -x["m"])
+    other = F.col("total") - F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x)
+    return listed.select("lang", "w", "total").union(every).select("lang", F.col("w.word").alias("words"), F.concat(known, F.array(F.coalesce(other, F.lit(0)))).alias("all_commons"))
+
+
+def measures(docs: DataFrame, refs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, version, lang, the base counts, and the histograms chars and commons (by the words of the reference)."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    vocabulary = rules.words
 
     def of_words(w: Column) -> Column:
-        known = F.concat(F.lit("|"), F.array_join(F.filter(w, lambda x: x.isin(vocabulary)), "||"), F.lit("|"))
-        one = lambda j, x: ((F.length(j) - F.length(F.replace(j, F.lit(f"|{x}|"), F.lit("")))) / (len(x) + 2)).cast("long")
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            repeat_words(w).alias("n_repeat_words"),
-            let(known, lambda j: F.array(*[one(j, x) for x in vocabulary])).alias("commons"),
-        )
-
-    words = F.array_remove(F.split(without(text, "\t\n\x0b\x0c\r", " "), " "), "")
+        joined = F.concat(F.lit("|"), F.array_join(w, "||"), F.lit("|"))
+        count = lambda j: F.transform("words", lambda x: ((F.length(j) - F.length(F.replace(j, F.concat(F.lit("|"), x, F.lit("|")), F.lit("")))) / (F.length(x) + 2)).cast("long"))
+        return F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), let(joined, count).alias("commons"))
+
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.length(text).cast("long")
     counts = [F.regexp_count(text, F.lit(p)).cast("long") for p in (r"[A-Z]", r"[0-9]", r"[!-/:-@\[-`{-~]")]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("lang"))
+    listed = refs.where("lang IS NOT NULL").select("lang", F.col("words").alias("_own"))
+    every = refs.where("lang IS NULL").select(F.col("words").alias("_all"))
+    # at most a row for each of the languages of the rules, and one row
+    rows = rows.join(F.broadcast(listed), "lang", "left").crossJoin(F.broadcast(every)).withColumn("words", F.coalesce("_own", "_all", F.array().cast("array<string>")))
     return rows.select(
         "doc_id",
         F.xxhash64("_text").alias("version"),
-        "lang",
-        let(words, of_words).alias("w"),
+        F.when(F.col("_own").isNotNull(), F.col("lang")).alias("lang"),
+        let(words_in(text), of_words).alias("w"),
         n.alias("n_chars"),
         F.length(without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
         (n - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
@@ -131,17 +152,21 @@ def distance(p: Column, q: Column, p_total: Column, q_total: Column) -> Column:
 def assess(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, version (a hash of the text), the counts, base_failed, js_chars, js_words and kept of each row.
 
-    A null text has no words and fails; a null or unlisted language, or a text under a guard, has no distance
-    (null) and is kept if it passes the base rules.  Repeated rows are judged alike; other columns are dropped.
+    A null text has no words and fails; a text under a guard has no distance (null) and is kept if it passes the
+    base rules; a null or rare language is held against all documents.  Repeated rows are judged alike; other
+    columns are dropped; an empty table gives an empty table.  Windows and equal texts are told by 64-bit hashes.
+    A word that holds "|" counts with what lies beside its bars.
     """
     scratch = Scratch(docs.sparkSession)
-    seen = scratch.keep(measures(docs, rules, id_col, text_col, lang_col), "measures")
-    sums = lambda c, k: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(k)])
-    reference = seen.where(F.col("lang").isin(list(rules.common))).groupBy("lang").agg(sums("chars", 6).alias("all_chars"), sums("commons", len(rules.words) + 1).alias("all_commons"))
+    refs = scratch.keep(common_words(docs, rules, text_col, lang_col, scratch), "references")
+    seen = scratch.keep(measures(docs, refs, id_col, text_col, lang_col), "measures")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
-    reference = reference.withColumns({"chars_total": total("all_chars"), "commons_total": total("all_commons")})
-    # at most a row for each word list of the rules
-    both = seen.join(F.broadcast(reference), "lang", "left").withColumns({"c_total": total("chars"), "w_total": F.col("n_words").cast("double")})
+    of_lang = seen.groupBy("lang").agg(*[F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(6)])
+    of_all = of_lang.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(6)]).select(F.lit(None).cast("string").alias("lang"), "*")
+    chars = of_lang.where("lang IS NOT NULL").union(of_all).select("lang", F.array(*[f"c{i}" for i in range(6)]).alias("all_chars"))
+    reference = refs.join(chars, refs["lang"].eqNullSafe(chars["lang"])).select(refs["lang"].alias("_lang"), "all_chars", "all_commons", total("all_chars").alias("chars_total"), total("all_commons").alias("commons_total"))
+    # at most a row for each of the languages of the rules, and one
+    both = seen.join(F.broadcast(reference), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumns({"c_total": total("chars"), "w_total": F.col("n_words").cast("double")})
     chars = F.when(F.col("n_chars") >= rules.min_chars, F.round(distance(F.col("chars"), F.col("all_chars"), F.col("c_total"), F.col("chars_total")), 6))
     words = F.when(F.col("n_words") >= rules.min_judged_words, F.round(distance(F.col("commons"), F.col("all_commons"), F.col("w_total"), F.col("commons_total")), 6))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
@@ -158,46 +183,55 @@ def keep_good(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", t
 
 def sql(docs: str = "documents", rules: Rules = Rules()) -> str:
     """DuckDB SQL for assess without the column version; for small tables."""
-    vocabulary = rules.words
     blanks = r"[\x20\x09-\x0D]"
     word = r"[^\x20\x09-\x0D]+"
-    commons = ", ".join(f"count(*) FILTER (WHERE w = '{x}')" for x in vocabulary)
-    n = len(vocabulary) + 1
-    langs = ", ".join(f"'{x}'" for x in rules.common)
     js = "sqrt(greatest(list_sum([CASE WHEN {p}[i] > 0 THEN {p}[i] / {a} * log2(({p}[i] / {a}) / (({p}[i] / {a} + {q}[i] / {b}) / 2)) ELSE 0.0 END + CASE WHEN {q}[i] > 0 THEN {q}[i] / {b} * log2(({q}[i] / {b}) / (({p}[i] / {a} + {q}[i] / {b}) / 2)) ELSE 0.0 END FOR i IN range(1, {k})]) / 2, 0.0))"
     chars = js.format(p="chars", q="all_chars", a="list_sum(chars)", b="list_sum(all_chars)", k=7)
-    words = js.format(p="commons", q="all_commons", a="n_words", b="list_sum(all_commons)", k=n + 1)
+    words = js.format(p="commons", q="all_commons", a="n_words", b="list_sum(all_commons)", k="len(commons) + 1")
+    sums = ", ".join(f"sum(chars[{i}])" for i in range(1, 7))
     return f"""
 WITH base AS (
-  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM {docs}
+  SELECT doc_id, lang AS own_lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM {docs}
 ), tokens AS (
-  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM base
+  SELECT doc_id, own_lang, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM base
+), spoken AS (
+  SELECT own_lang FROM tokens WHERE own_lang IS NOT NULL GROUP BY own_lang ORDER BY count(*) DESC, own_lang LIMIT {rules.languages}
+), by_lang AS (
+  SELECT own_lang AS lang, w, count(*) AS n FROM tokens WHERE own_lang IN (SELECT own_lang FROM spoken) GROUP BY own_lang, w
+  UNION ALL SELECT NULL, w, count(*) FROM tokens GROUP BY w
+), ranked AS (
+  SELECT lang, w, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS k, sum(n) OVER (PARTITION BY lang) AS total FROM by_lang
+), top AS (
+  SELECT lang, w, n, k FROM ranked WHERE k <= {rules.n_common}
+), refs AS (
+  SELECT lang, list_append(list(n ORDER BY k), CAST(max(total) - sum(n) AS BIGINT)) AS all_commons FROM ranked WHERE k <= {rules.n_common} GROUP BY lang
 ), windows AS (
   SELECT doc_id, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM tokens WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), twice AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w2, w3) > 1 AS hit FROM windows WHERE w3 IS NOT NULL
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest(range(0, 3)) AS k) WHERE hit GROUP BY doc_id
-), common AS (
-  SELECT doc_id, [{commons}] AS c FROM tokens GROUP BY doc_id
 ), lines AS (
   SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM base) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), placed AS (
+  SELECT b.*, s.own_lang AS lang FROM base b LEFT JOIN spoken s ON b.own_lang = s.own_lang
+), found AS (
+  SELECT doc_id, lang, w, count(*) AS n FROM (SELECT t.doc_id, s.own_lang AS lang, t.w FROM tokens t LEFT JOIN spoken s ON t.own_lang = s.own_lang) GROUP BY doc_id, lang, w
+), common AS (
+  SELECT p.doc_id, list(coalesce(f.n, 0) ORDER BY top.k) AS c FROM placed p JOIN top ON top.lang IS NOT DISTINCT FROM p.lang LEFT JOIN found f ON f.doc_id = p.doc_id AND f.w = top.w GROUP BY p.doc_id
 ), counted AS (
   SELECT b.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) AS BIGINT) AS n_chars, CAST(length(regexp_replace(t, '{blanks}', '', 'g')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-    len(regexp_extract_all(t, '[A-Z]')) AS u, len(regexp_extract_all(t, '[0-9]')) AS d, len(regexp_extract_all(t, '[!-/:-@\\[-`{{-~]')) AS p, strlen(t) - length(t) AS x,
-    coalesce(c, [0 FOR z IN range(1, {n})]) AS c
-  FROM base b LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN common USING (doc_id)
+    len(regexp_extract_all(t, '[A-Z]')) AS u, len(regexp_extract_all(t, '[0-9]')) AS d, len(regexp_extract_all(t, '[!-/:-@\\[-`{{-~]')) AS p, strlen(t) - length(t) AS x, c
+  FROM placed b LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN common USING (doc_id)
 ), shaped AS (
   SELECT *, [u, d, p, x, n_chars - word_chars, word_chars - u - d - p] AS chars, list_append(c, n_words - coalesce(list_sum(c), 0)) AS commons FROM counted
-), refs AS (
-  SELECT lang, [{", ".join(f"sum(chars[{i}])" for i in range(1, 7))}] AS all_chars, [{", ".join(f"sum(commons[{i}])" for i in range(1, n + 1))}] AS all_commons
-  FROM shaped WHERE lang IN ({langs}) GROUP BY lang
+), char_refs AS (
+  SELECT lang, [{sums}] AS all_chars FROM shaped WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT NULL, [{sums}] FROM shaped
 ), judged AS (
-  SELECT s.*, CASE WHEN n_chars >= {rules.min_chars} AND all_chars IS NOT NULL THEN round({chars}, 6) END AS js_chars,
-    CASE WHEN n_words >= {rules.min_judged_words} AND all_commons IS NOT NULL THEN round({words}, 6) END AS js_words,
+  SELECT s.*, CASE WHEN n_chars >= {rules.min_chars} THEN round({chars}, 6) END AS js_chars, CASE WHEN n_words >= {rules.min_judged_words} THEN round({words}, 6) END AS js_words,
     n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words AS base_failed
-  FROM shaped s LEFT JOIN refs r ON s.lang = r.lang
+  FROM shaped s LEFT JOIN refs r ON s.lang IS NOT DISTINCT FROM r.lang LEFT JOIN char_refs h ON s.lang IS NOT DISTINCT FROM h.lang
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words,
   NOT base_failed AND NOT coalesce(js_chars > {rules.max_char_distance}, false) AND NOT coalesce(js_words > {rules.max_word_distance}, false) AS kept
