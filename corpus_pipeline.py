@@ -1,6 +1,10 @@
 """Documents through quality rules, line dedup, near-duplicate removal and packing, in this order.
 
 Each stage takes all that the stage before it kept; all but the last return the columns of documents.
+
+In every stage rows that repeat an id and text are treated alike, further columns are carried on (packing drops
+them), and an empty table gives an empty one.  A null or empty text goes in the first stage, having too few words; a
+row with a null id stays until packing, which gives it a null doc_id.  Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -13,14 +17,9 @@ from corpusmill.llm.registry import tokenizer_file
 from corpusmill.llm.shared import Scratch
 
 
-#: On sf0.1, of the labelled texts that the other rules keep, all 118 bad ones lie at 0.250 to 0.324 from the common
-#: words of their language, as do texts in a wrong one (0.29 to 0.42); of 2,931 good ones two lie above 0.24.
-STAGE_RULES = quality.Rules(max_word_distance=0.24)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.keep_good(docs, STAGE_RULES)
+    return quality.keep_good(docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
