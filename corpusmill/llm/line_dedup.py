@@ -53,7 +53,7 @@ def doubled(named: DataFrame, distance: int) -> DataFrame:
     """Names of the runs twice as long, or longer by ``distance`` lines."""
     n, o = named.alias("n"), further(named, distance, "a2", "b2").alias("o")
     key = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in PLACE]
-    pair = n.join(o, key).select(*[f"n.{c}" for c in (*PLACE, "a", "b")], "a2", "b2")
+    pair = n.join(o.hint("merge"), key).select(*[f"n.{c}" for c in (*PLACE, "a", "b")], "a2", "b2")
     return pair.select(*PLACE, F.xxhash64("a", "b", "a2", "b2").alias("a"), F.xxhash64(F.lit(1), "b", "a", "b2", "a2").alias("b"))
 
 

@@ -8,7 +8,8 @@ least length on.  A document without a language, or of none of the ``languages``
 against all documents.
 
 One pass counts the words of each language (combined before the shuffle), one makes the histograms (some forty
-numbers a document, which are kept); a row of reference for each language is all that is broadcast.
+numbers a document, which are kept); a row of reference for each language is all that reaches the driver or is
+broadcast.
 """
 
 from __future__ import annotations
@@ -106,9 +107,11 @@ def common_words(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, sc
 def measures(docs: DataFrame, refs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """doc_id, version, lang, the base counts, and the histograms chars and commons (by the words of the reference)."""
     text = F.coalesce(F.col("_text"), F.lit(""))
+    # the words of all references, looked up by hash: n_common for each of the languages at most
+    known = sorted({x for r in refs.select("words").collect() for x in r["words"]})
 
     def of_words(w: Column) -> Column:
-        joined = F.concat(F.lit("|"), F.array_join(w, "||"), F.lit("|"))
+        joined = F.concat(F.lit("|"), F.array_join(F.filter(w, lambda x: x.isin(known)), "||"), F.lit("|"))
         count = lambda j: F.transform("words", lambda x: ((F.length(j) - F.length(F.replace(j, F.concat(F.lit("|"), x, F.lit("|")), F.lit("")))) / (F.length(x) + 2)).cast("long"))
         return F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), let(joined, count).alias("commons"))
 
