@@ -224,27 +224,49 @@ def page_records(spark, d):
 
 @query()
 def page_attribution(spark, d):
-    body = html.pages(table(spark, d, "pages")).select("page_id", attribution.attribution(F.col("body")).alias("a"))
-    return body.select("page_id", "a.source_type", "a.reposter_comment", F.size("a.attribution_markers").alias("n_markers"))
+    found = attribution.attribute(html.pages(table(spark, d, "pages")), "page_id", "body")
+    return found.select(F.col("id").alias("page_id"), "source_type", "reposter_comment", F.size("attribution_markers").alias("n_markers"))
 
 
-_MARKS = [(-1, "原创\n正文"), (-2, "编者按：很好\n以下为原文\n内容"), (-3, "plain"), (-4, "> 转载正文：\n评论 好"), (-5, "转自 某处\nbody")]
+_MARKS = [
+    (-1, "原创\n正文"), (-2, "编者按：很好\n以下为原文\n内容"), (-3, "plain"), (-4, "> 转载正文：\n评论 好"), (-5, "转自 某处\nbody"), (-6, "附言：一\n二\n\n三\n评论：四\n五\n转载自：某报\n正文\n我的评论：六\n七"),
+    (-7, "导语 a\nno mark\n  kept"), (-8, "原创\n作者原创：甲\n附言：乙\n丙"), (-9, "# 标题\n转发\n甲说\n乙说\n以下是原文：\n正文一\n以下为原文\n正文二"), (-10, "\n".join("abcdefghi") + "\n原文如下\nbody"),
+    (-11, "来源：原创\nx"), (-12, "来源： 原创\nx"), (-13, "来源：原创者\nx"), (-14, "转发：某人\n编者按\n独行\n"), (-15, "以下为原文"),
+]
 _MARKS_SQL = " UNION ALL ".join(f"SELECT {i}, {t!r}".replace("\\n", "' || chr(10) || '") for i, t in _MARKS)
-_HAS = "len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '(?i){}'))) > 0"
+_MARKED = f"FROM (SELECT doc_id, text FROM documents UNION ALL {_MARKS_SQL})"
+_IS_REPOST = r"(regexp_matches({0}, '(?i)" + attribution.REPOST.replace(r"(?!原创\b|本号\b)", "") + r"') AND NOT regexp_matches({0}, '^[>*#\-\s\[【]*来源\s*[:：](原创|本号)([^\w一-鿿]|$)'))"
+_IS = {"original": f"regexp_matches({{0}}, '(?i){attribution.ORIGINAL}')", "boundary": f"regexp_matches({{0}}, '(?i){attribution.BORDER}')", "comment": f"regexp_matches({{0}}, '(?i){attribution.COMMENT}')", "repost": _IS_REPOST}
 
 
-@query(
-    f"SELECT doc_id, {_HAS.format(attribution.ORIGINAL.pattern)} AS original, {_HAS.format(attribution.BORDER.pattern)} AS boundary, {_HAS.format(attribution.COMMENT.pattern)} AS comment FROM (SELECT doc_id, text FROM documents UNION ALL {_MARKS_SQL})"
-)
+@query("SELECT doc_id, " + ", ".join(f"len(list_filter(string_split(text, chr(10)), lambda x: {p.format('trim(x)')})) > 0 AS {k}" for k, p in _IS.items()) + f" {_MARKED}")
 def attribution_flags(spark, d):
     rows = _with_rows(table(spark, d, "documents"), _MARKS, spark).withColumn("f", attribution.attribution_flags(F.col("text")))
-    return rows.select("doc_id", "f.original", "f.boundary", "f.comment")
+    return rows.select("doc_id", "f.original", "f.boundary", "f.comment", "f.repost")
 
 
-@query()
+# The SQL states the spans by themselves: a label's span ends at the next label or mark, and needs a mark behind it.
+@query(rf"""WITH rows AS (SELECT doc_id, text {_MARKED}),
+l AS (SELECT doc_id, i, parts[i] AS line, trim(parts[i]) AS p FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM rows))),
+m AS (SELECT *, {_IS["comment"].format("p")} AS lab, {_IS["boundary"].format("p")} AS bor, {_IS["repost"].format("p")} AS rep, {_IS["original"].format("p")} AS ori FROM l),
+few AS (SELECT * FROM m WHERE doc_id IN (SELECT doc_id FROM m WHERE lab OR bor OR rep OR ori)),
+spans AS (
+  SELECT a.doc_id, a.i AS lo, least(min(s.i), coalesce((SELECT min(b.i) FROM few b WHERE b.doc_id = a.doc_id AND b.i > a.i AND b.lab), 1000000000)) AS hi
+  FROM few a JOIN few s ON s.doc_id = a.doc_id AND s.i > a.i AND (s.bor OR s.rep) WHERE a.lab GROUP BY a.doc_id, a.i
+),
+t AS (SELECT doc_id, bool_or(bor OR rep) AS is_repost, bool_or(ori) AS is_original, bool_or(lab) AS has_label, min(i) FILTER (WHERE bor) AS first_border FROM few GROUP BY doc_id),
+e AS (SELECT few.*, is_repost, first_border, EXISTS (SELECT 1 FROM spans x WHERE x.doc_id = few.doc_id AND few.i > x.lo AND few.i < x.hi) AS inside,
+  NOT has_label AND first_border IS NOT NULL AND i < first_border AND p <> '' AND NOT rep AND NOT regexp_matches(p, '^#{{1,6}}\s+') AS early FROM few JOIN t USING (doc_id)),
+c AS (SELECT *, sum(CASE WHEN early THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS n_early FROM e),
+said AS (SELECT *, CASE WHEN is_repost AND lab THEN trim(regexp_replace(p, '(?i){attribution.LABEL}', '')) WHEN inside OR (early AND n_early <= 8) THEN p END AS s FROM c),
+j AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY i) FILTER (WHERE s <> '') AS note, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE CASE WHEN first_border IS NOT NULL THEN i > first_border ELSE NOT inside AND NOT rep AND NOT lab END) AS body,
+  string_agg(p, '|' ORDER BY i) FILTER (WHERE (bor OR rep OR ori) AND p <> '') AS marks FROM said GROUP BY doc_id),
+f AS (SELECT r.doc_id, text, note, body, coalesce(marks, '') AS markers, CASE WHEN is_repost AND note IS NOT NULL THEN 'repost_with_comment' WHEN is_repost THEN 'repost' WHEN is_original THEN 'original' ELSE 'unknown' END AS source_type
+  FROM rows r LEFT JOIN j USING (doc_id) LEFT JOIN t USING (doc_id))
+SELECT doc_id, source_type, note AS reposter_comment, markers, sha256(coalesce(nullif({_TRIM.replace("(text,", "(body,")}, ''), {_TRIM})) AS body_sha256 FROM f""")
 def document_attribution(spark, d):
-    rows = _with_rows(table(spark, d, "documents"), _MARKS, spark).select("doc_id", attribution.attribution(F.col("text")).alias("a"))
-    return rows.select("doc_id", "a.source_type", "a.reposter_comment", F.sha2("a.original_body", 256).alias("body_sha256"))
+    rows = attribution.attribute(_with_rows(table(spark, d, "documents"), _MARKS, spark))
+    return rows.select(F.col("id").alias("doc_id"), "source_type", "reposter_comment", F.array_join("attribution_markers", "|").alias("markers"), F.sha2("original_body", 256).alias("body_sha256"))
 
 
 # ---- integrity
@@ -618,18 +640,32 @@ def missing_parents(spark, d):
 @query("SELECT conv_id, turn, CASE WHEN contains(text, chr(10)) THEN 'quote' WHEN role = 'system' THEN 'unknown' WHEN turn > 0 THEN 'reply' ELSE 'unknown' END AS relation FROM conversations")
 def post_relations(spark, d):
     rows = table(spark, d, "conversations")
-    parent = F.when((F.col("role") != "system") & (F.col("turn") > 0), F.col("turn"))
+    parent = F.when((F.col("role") != "system") & (F.col("turn") > 0), F.col("turn").cast("string"))
     return rows.select("conv_id", "turn", posts.relation(F.instr("text", "\n"), F.lit(None).cast("string"), parent).alias("relation"))
 
 
-_CARD = '<article data-testid="tweet"><div data-testid="User-Name">A One</div><a href="/aone/status/11"><time datetime="2024-01-01"></time></a><div data-testid="tweetText">hi <a href="/evil/status/99">x</a></div></article>'
-_QUOTE = '<article data-testid="tweet" data-reply-to="7"><a href="https://x.com/b/status/12"><time></time></a><div data-testid="tweetText">see</div><div role="link"><a href="/c/status/13"><time></time></a><img src="https://p/media/1.jpg" alt="pic"></div></article>'
+_CARD = '<article data-testid="tweet"><div data-testid="User-Name">A One</div><a href="/aone/status/11"><span><time datetime="2024-01-01"></time></span></a><div data-testid="tweetText">hi <a href="/evil/status/99">x</a></div></article>'
+_QUOTE = '<article data-testid="tweet" data-in-reply-to-status-id="7"><a href="https://x.com/b/status/12/photo/1"><time></time></a><div data-testid="tweetText">see<br>it</div><div role="link"><div data-testid="User-Name">C</div><a href="/c/status/13"><time></time></a><div data-testid="tweetPhoto"><img src="https://p/1.jpg" alt="pic"></div></div></article>'
+_LOOSE = '<article data-testid="tweet" data-tweet-id="77" data-in-reply-to-status-id="11"><div data-testid="tweetText">see <a href="/somebody/status/444">this</a></div></article>'
+_AGAIN = '<article data-testid="tweet"><div data-testid="User-Name">E</div><a href="https://mobile.twitter.com/e/status/5"><time></time></a><div data-testid="tweetText">no id</div><div data-testid="socialContext">E reposted</div></article>'
 
 
-@query("SELECT * FROM (VALUES ('p1', '11', 'aone', 'hi x', 'unknown', 0, CAST(NULL AS VARCHAR)), ('p1', '12', 'b', 'see', 'quote', 1, NULL), ('p2', NULL, NULL, NULL, NULL, 0, 'no posts found')) t(page_id, post_id, author_account, text, relation, n_quotes, warning)")
+@query("""SELECT * FROM (VALUES
+  ('p1', '11', 'aone', 'hi x', 'unknown', 0, CAST(NULL AS VARCHAR), 1, 'https://x.com/aone/status/11', CAST(NULL AS VARCHAR), '2024-01-01', 0),
+  ('p1', '12', 'b', 'see' || chr(10) || 'it', 'quote', 1, NULL, 2, 'https://x.com/b/status/12', '7', NULL, 0),
+  ('p1', '77', NULL, 'see this', 'reply', 0, NULL, 3, NULL, '11', NULL, 0),
+  ('p1', NULL, NULL, 'no id', 'repost', 0, 'a card without a post id or permalink', 4, NULL, NULL, NULL, 0),
+  ('p1', '11', 'aone', 'hi y', 'unknown', 0, 'another snapshot of the same post', 5, 'https://x.com/aone/status/11', NULL, '2024-01-01', 0),
+  ('p2', NULL, NULL, NULL, NULL, 0, 'no posts found', NULL, NULL, NULL, NULL, 0),
+  ('p3', NULL, NULL, NULL, NULL, 0, 'a card without text or photo', NULL, NULL, NULL, NULL, 0),
+  ('p4', '13', 'c', '', 'unknown', 0, NULL, 1, 'https://x.com/c/status/13', NULL, NULL, 1)
+) t(page_id, post_id, author_account, text, relation, n_quotes, warning, page_order, permalink, reply_to_id, published_at, n_media)""")
 def extract_posts(spark, d):
-    rows = spark.createDataFrame([("p1", _CARD + _CARD + _QUOTE), ("p2", "<div>shell</div>")], "page_id string, html string")
-    return posts.extract_posts(rows).select("page_id", "post_id", "author_account", "text", "relation", F.coalesce(F.when(F.col("quoted_posts").isNotNull(), F.size("quoted_posts")), F.lit(0)).alias("n_quotes"), "warning")
+    photo = '<article data-testid="tweet"><a href="/c/status/13"><time></time></a><img src="avatar.png"><div data-testid="tweetPhoto"><img src="a.png"></div></article>'
+    rows = [("p1", _CARD + _CARD + _QUOTE + _LOOSE + _AGAIN + _CARD.replace(">x<", ">y<")), ("p2", "<div>shell</div>"), ("p3", _CARD + '<article data-testid="tweet"><p>x</p></article>'), ("p4", photo)]
+    found = posts.extract_posts(spark.createDataFrame(rows, "page_id string, html string"))
+    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
+    return found.select("page_id", "post_id", "author_account", "text", "relation", size("quoted_posts").alias("n_quotes"), "warning", "page_order", "permalink", "reply_to_id", "published_at", size("media").alias("n_media"))
 
 
 # ---- planning

@@ -42,19 +42,19 @@ def header_fields(body: str) -> dict[str, str]:
     return out
 
 
-def front_matter(text: str) -> dict[str, str]:
-    """key: value lines of a leading block between ``---`` lines; none if it does not end."""
-    lines = text.lstrip("\ufeff").splitlines()
-    if not lines or lines[0].strip() != "---":
-        return {}
-    out = {}
-    for line in lines[1:]:
-        if line.strip() == "---":
-            return out
-        key, colon, value = line.partition(":")
-        if colon and key.strip():
-            out[key.strip().lower()] = value.strip().strip("'\"")
-    return {}
+FRONT = re.compile(r"\A[ \t]*---[ \t]*\n(.*?)(?:(?<=\n)|\A)[ \t]*---[ \t]*(?:\n|\Z)", re.S)
+ENTRY = re.compile(r"^([^:\n]+):(.*)$", re.M)
+
+
+def front_matter(text: str) -> tuple[dict[str, str], str]:
+    """The key: value lines of a leading block between ``---`` lines, and the text after it; a block that does not end
+    is text.  Keys in lower case; entries without a key or a value do not count, the last of a key does."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    block = FRONT.match(text)
+    if not block:
+        return {}, text
+    entries = ((k.strip().lower(), v.strip().strip("'\"")) for k, v in ENTRY.findall(block[1]))
+    return {k: v for k, v in entries if k and v}, text[block.end() :]
 
 
 def structured(text: str) -> str:
@@ -62,17 +62,28 @@ def structured(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
 
+#: Keys of front matter and header lines for each field, in order of preference.
+SOURCES = {
+    "title": (("title",), "title"),
+    "author_or_account": (("author", "account"), "author"),
+    "current_publisher": (("publisher", "account"), "current_publisher"),
+    "original_author": (("original_author",), "original_author"),
+    "published_at": (("date", "published_at"), "published_at"),
+    "original_url": (("url", "source_url"), "url"),
+}
+
+
 def from_text(data: bytes, markdown: bool) -> dict:
+    """A text, or Markdown, which keeps its indentation and whose front matter is taken off; a blank one is an error."""
     from .html import first, tidy
 
     text, encoding = decode_bytes(data)
-    body = structured(text) if markdown else tidy(text)
-    front, head = front_matter(text), header_fields(body)
-    return {
-        "title": first(front.get("title"), head.get("title")), "author_or_account": first(front.get("author"), head.get("author")),
-        "current_publisher": first(front.get("publisher"), head.get("current_publisher")), "original_author": first(front.get("original_author"), head.get("original_author")),
-        "published_at": first(front.get("date"), front.get("published_at"), head.get("published_at")), "original_url": first(front.get("url"), head.get("url")), "body": body, "detected_encoding": encoding,
-    }
+    front, rest = front_matter(text) if markdown else ({}, text)
+    body = structured(rest) if markdown else tidy(rest)
+    if not body:
+        raise ValueError("the file has no text")
+    head = header_fields(body)
+    return {field: first(*(front.get(k) for k in keys), head.get(line)) for field, (keys, line) in SOURCES.items()} | {"body": body, "detected_encoding": encoding}
 
 
 def from_html(data: bytes, url: str | None = None, title: str | None = None, declared: str | None = None) -> dict:

@@ -156,11 +156,14 @@ def test_page_and_attribution(spark):
     r = html.extract(PAGE, "https://other")
     assert (r["title"], r["author_or_account"], r["current_publisher"], r["original_author"], r["published_at"], r["original_url"]) == ("T & U", "Ann", "Pub", "Bob", "2024-01-02", "https://e.org/1")
     assert "menu" not in r["body"] and "foot" not in r["body"] and r["body"].startswith("Head") and r["resource_references"] == ["https://e.org/1", "x_files/i.png"]
-    kind, comment, body, _ = attribution.classify(r["body"])
-    assert kind == "repost_with_comment" and comment == "值得一读" and body.startswith("原作者")
-    assert attribution.classify("转载自：某报\n编者按：好\n正文一\n正文二")[:3] == ("repost_with_comment", "好", "正文一\n正文二")
-    assert attribution.classify("本文原创")[0] == "original" and attribution.classify("plain text")[0] == "unknown"
-    assert attribution.classify("来源：原创\n正文")[0] == "unknown"
+    texts = [r["body"], "转载自：某报\n编者按：好\n正文一\n正文二", "本文原创", "plain text", "来源：原创\n正文", "编者按：好\n正文", None, "转载\n原创\n正文"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1, texts[1])], "doc_id long, text string")
+    got = {x["id"]: tuple(x)[1:] for x in attribution.attribute(rows).collect()}
+    assert got[0][:2] == ("repost_with_comment", "值得一读") and got[0][2].startswith("原作者")
+    assert got[1] == ("repost_with_comment", "好", "正文一\n正文二", ["转载自：某报"])
+    assert got[2][0] == "original" and got[3] == ("unknown", None, "plain text", []) and got[4][0] == "unknown"
+    assert got[5] == ("unknown", None, "正文", []) and got[6] == ("unknown", None, None, []) and got[7] == ("repost", None, "原创\n正文", ["转载", "原创"])
+    assert attribution.attribute(rows).count() == len(texts) + 1
     assert html.extract("<main>short</main><p>outside the main part</p>")["body"].split() == ["short", "outside", "the", "main", "part"]
 
 
@@ -283,3 +286,29 @@ def test_small_ones(spark):
     plan = workflow.delete_plan(spark.createDataFrame([("a",), ("a/b/c",), ("a/b",)], "path string"), spark.createDataFrame([("a/b",)], "path string"))
     assert [(r["path"], r["allowed"]) for r in plan.collect()] == [("a/b/c", False), ("a/b", True), ("a", False)]
     assert integrity.cardinalities_agree(spark.createDataFrame([(1, 1), (1, 2)], "a int, b int"), ["a", "b"]).select("agree").collect() == [(True,), (False,)]
+
+
+def test_text_files():
+    read = documents.from_text
+    md = read("\ufeff---\r\nTitle: T\naccount: \"Acc\"\nsource_url: https://e.org/a\nauthor:\n---\r\n# H\n\n  kept".encode(), True)
+    assert (md["title"], md["author_or_account"], md["current_publisher"], md["original_url"], md["body"]) == ("T", "Acc", "Acc", "https://e.org/a", "# H\n\n  kept")
+    txt = read(b"---\ntitle: T\n---\n  body", False)
+    assert txt["title"] is None and txt["body"] == "---\ntitle: T\n---\nbody"
+    open_block = read(b"---\ntitle: T\nbody", True)
+    assert open_block["title"] is None and open_block["body"] == "---\ntitle: T\nbody"
+    assert read(b"---\n---\nx", True)["body"] == "x"
+    for blank in (b"", b" \n ", b"---\ntitle: T\n---\n"):
+        with pytest.raises(ValueError):
+            read(blank, True)
+
+
+def test_posts_on_saved_pages(spark):
+    loose = '<article data-testid="tweet"><div data-testid="tweetText">参考 <a href="/somebody/status/444">这条推文</a></div></article>'
+    (card,) = posts.cards_of(loose)
+    assert card["post_id"] is None and card["author_account"] is None and card["text"] == "参考 这条推文"
+    assert posts.cards_of("<html><title>X</title></html>") == [{"problem": "no posts found"}]
+    inner = '<div data-testid="tweet"><a href="/q/status/2"><time datetime="d2"></time></a><div data-testid="tweetText">inner</div></div>'
+    (card,) = posts.cards_of(f'<div data-testid="tweet" data-tweet-id="9"><div data-testid="tweetText">outer</div>{inner}<p>not closed')
+    assert (card["post_id"], card["text"], [q["post_id"] for q in card["quoted_posts"]], card["published_at"]) == ("9", "outer", ["2"], None)
+    rows = spark.createDataFrame([("a", '<x data-testid="tweet">'), ("b", "<p>tweet"), ("c", '<meta property="og:url" content="https://x.com/u">')], "id string, html string")
+    assert [r[0] for r in rows.select(posts.is_post_page(F.col("html"))).collect()] == [True, False, True]
