@@ -90,9 +90,16 @@ def numeric_anchors(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(clean, F.lit(pattern), F.lit(1)))
 
 
+#: What ends a sentence, and the ends of a question.
+ENDS, ASKS = "。！？!?", "？?"
+
+
 def question_anchors(text: Column) -> Column:
-    """Questions of at least two characters, the last 180 characters of each."""
-    found = F.regexp_extract_all(text, F.lit(r"([^。！？!?\n]{2,}[？?])"), F.lit(1))
+    """Questions of at least two characters, the last 180 characters of each.
+
+    The text is taken in runs up to the next end of a sentence, so that no place is looked at twice."""
+    runs = F.regexp_extract_all(text, F.lit(rf"([^{ENDS}\n]+[{ENDS}\n]?)"), F.lit(1))
+    found = F.filter(runs, lambda x: (F.length(x) >= 3) & x.rlike(f"[{ASKS}]$"))
     return F.array_distinct(F.transform(found, lambda x: F.right(strip(x), F.lit(180))))
 
 

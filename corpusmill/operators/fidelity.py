@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_vague, least_units, nonspace_length, numeric_anchors, question_anchors, without_space
@@ -14,6 +14,7 @@ from ..functions.text import is_vague, least_units, nonspace_length, numeric_anc
 KINDS = ("claim", "reasoning", "example", "anecdote", "comparison", "number_or_date", "person_or_entity", "question_answer", "prediction", "correction", "qualification", "other")
 OMISSIONS = ("exact_repetition", "filler", "transcription_noise", "navigation_noise")
 NUMBER_STATES = ("covered", "corrected", "excluded")
+DENSITY = 450
 QUESTION_STATES = ("covered", "partial", "unanswered", "rhetorical", "noise")
 
 
@@ -59,60 +60,81 @@ def coverage_units(cut: DataFrame) -> DataFrame:
     )
 
 
+def _long(x: Column, n: int) -> Column:
+    return F.coalesce(nonspace_length(x) >= n, F.lit(False))
+
+
 def _evidence(evidence: Column, final: Column) -> Column:
     """Long enough and in the final text, white space aside."""
     return F.coalesce((nonspace_length(evidence) >= 8) & F.contains(final, without_space(evidence)), F.lit(False))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once for all its uses inside f."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _list(value: Column) -> Column:
+    return F.coalesce(value, F.array())
+
+
+def _unit_issues(u: Column, k: Column, units: Column, source: Column, final: Column) -> Column:
+    """What is wrong with the k-th unit, as an array."""
+    info, start, end = _list(u["information_units"]), u["source_start_char"], u["source_end_char"]
+    before = F.when(k > 0, F.get(units, k - 1)["source_end_char"]).otherwise(0)
+
+    def checks(body: Column) -> Column:  # body: the unit's text without white space
+        least = F.greatest(F.lit(1), F.ceil(F.length(body) / DENSITY)).cast("long")
+        number = lambda x: F.coalesce(
+            ((x["status"] == "covered") & _evidence(x["final_evidence"], final) & F.contains(x["final_evidence"], x["source_value"]))
+            | ((x["status"] == "corrected") & _evidence(x["final_evidence"], final) & _long(x["reason"], 6))
+            | ((x["status"] == "excluded") & _long(x["reason"], 6)), F.lit(False))
+        question = lambda x: F.coalesce(
+            (x["status"].isin("covered", "partial", "unanswered", "rhetorical") & _evidence(x["final_evidence"], final)) | ((x["status"] == "noise") & _long(x["reason"], 6)), F.lit(False)
+        )
+        named = {
+            "unit ids are not consecutive": u["id"] != F.format_string("U%03d", (k + 1).cast("int")),
+            "ranges do not touch": start != before,
+            "text differs from the source": u["source_text"] != F.substring(source, start.cast("int") + 1, (end - start).cast("int")),
+            "hash differs from the text": u["source_sha256"] != F.sha2(u["source_text"], 256),
+            "minimum differs from the rule": u["minimum_information_units"] != least,
+            "too few information units": F.size(info) < u["minimum_information_units"],
+            "unknown kind": F.exists(info, lambda x: F.coalesce(~x["kind"].isin(*KINDS), F.lit(True))),
+            "vague or short detail": F.exists(info, lambda x: ~_long(x["source_detail"], 8) | F.coalesce(is_vague(x["source_detail"]), F.lit(True))),
+            "detail is not in its chunk": F.exists(info, lambda x: ~F.coalesce(F.contains(body, without_space(x["source_detail"])), F.lit(False))),
+            "evidence is not in the final text": F.exists(info, lambda x: ~_evidence(x["final_evidence"], final)),
+            "number not accounted for": F.exists(_list(u["numeric_anchors"]), lambda x: ~number(x)),
+            "question not accounted for": F.exists(_list(u["question_anchors"]), lambda x: ~question(x)),
+            "unknown omission": F.exists(_list(u["omissions"]), lambda x: ~F.coalesce(x["reason"].isin(*OMISSIONS) & _long(x["source_detail"], 4), F.lit(False))),
+        }
+        return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.concat_ws(": ", u["id"], F.lit(name))) for name, c in named.items()]))
+
+    return _let(F.coalesce(without_space(u["source_text"]), F.lit("")), checks)
+
+
 def audit(ledger: DataFrame) -> DataFrame:
     """id, issues, and the totals of a ledger.
 
-    ledger: id, source_text, final_text, units array<struct<...>> as in FIXTURES A4.  Every violation is reported:
-    the rules are columns, evaluated side by side.
+    ledger: id, source_text, final_text, units array<struct<...>> as in FIXTURES A4.  Every violation is reported.  A
+    ledger is one row and is judged where it lies: nothing is shuffled, the final text is normalised once, and no
+    text is copied for a unit.
     """
-    final = without_space(F.col("final_text"))
-    u = ledger.select("id", F.col("source_text").alias("source"), final.alias("final"), F.posexplode_outer("units").alias("k", "u")).withColumn("body", without_space(F.col("u.source_text")))
-    order = Window.partitionBy("id").orderBy("k")
-    info = F.coalesce(F.col("u.information_units"), F.array())
-    length = F.col("u.source_end_char") - F.col("u.source_start_char")
-    long_detail = lambda x, n: F.coalesce(nonspace_length(x) >= n, F.lit(False))
-    checks = {
-        "unit ids are not consecutive": F.col("u.id") != F.format_string("U%03d", (F.col("k") + 1).cast("int")),
-        "ranges do not touch": F.col("u.source_start_char") != F.coalesce(F.lag("u.source_end_char").over(order), F.lit(0)),
-        "text differs from the source": F.col("u.source_text") != F.substring("source", F.col("u.source_start_char").cast("int") + 1, length.cast("int")),
-        "hash differs from the text": F.col("u.source_sha256") != F.sha2("u.source_text", 256),
-        "minimum differs from the rule": F.col("u.minimum_information_units") != least_units(F.col("u.source_text")),
-        "too few information units": F.size(info) < F.col("u.minimum_information_units"),
-        "unknown kind": F.exists(info, lambda x: F.coalesce(~x["kind"].isin(*KINDS), F.lit(True))),
-        "vague or short detail": F.exists(info, lambda x: ~long_detail(x["source_detail"], 8) | F.coalesce(is_vague(x["source_detail"]), F.lit(True))),
-        "detail is not in its chunk": F.exists(info, lambda x: ~F.coalesce(F.contains(F.col("body"), without_space(x["source_detail"])), F.lit(False))),
-        "evidence is not in the final text": F.exists(info, lambda x: ~_evidence(x["final_evidence"], F.col("final"))),
-        "number not accounted for": F.exists(F.coalesce(F.col("u.numeric_anchors"), F.array()), lambda x: ~F.coalesce(
-            ((x["status"] == "covered") & _evidence(x["final_evidence"], F.col("final")) & F.contains(x["final_evidence"], x["source_value"]))
-            | ((x["status"] == "corrected") & _evidence(x["final_evidence"], F.col("final")) & long_detail(x["reason"], 6))
-            | ((x["status"] == "excluded") & long_detail(x["reason"], 6)), F.lit(False))),
-        "question not accounted for": F.exists(F.coalesce(F.col("u.question_anchors"), F.array()), lambda x: ~F.coalesce(
-            (x["status"].isin("covered", "partial", "unanswered", "rhetorical") & _evidence(x["final_evidence"], F.col("final"))) | ((x["status"] == "noise") & long_detail(x["reason"], 6)), F.lit(False))),
-        "unknown omission": F.exists(F.coalesce(F.col("u.omissions"), F.array()), lambda x: ~F.coalesce(x["reason"].isin(*OMISSIONS) & long_detail(x["source_detail"], 4), F.lit(False))),
-    }
-    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.concat_ws(": ", F.col("u.id"), F.lit(name))) for name, c in checks.items()]))
-    per_unit = u.select("id", "source", "k", "u", found.alias("issues"))
-    size = lambda c: F.sum(F.size(F.coalesce(F.col(c), F.array())))
-    totals = per_unit.groupBy("id").agg(
-        F.flatten(F.collect_list("issues")).alias("issues"), F.count("u").alias("units"), F.max("u.source_end_char").alias("_end"), F.max(F.length("source")).alias("_len"),
-        size("u.information_units").alias("information_units"), size("u.numeric_anchors").alias("numbers"), size("u.question_anchors").alias("questions"), size("u.omissions").alias("omissions"),
+    units = F.col("units")
+    all_info = F.flatten(F.transform(units, lambda u: _list(u["information_units"])))
+    per_unit = _let(F.coalesce(without_space(F.col("final_text")), F.lit("")), lambda final: F.flatten(F.transform(units, lambda u, k: _unit_issues(u, k, units, F.col("source_text"), final))))
+
+    def repeated(field: str, name: str) -> Column:
+        """Details and evidence are unique over the ledger."""
+        return _let(F.transform(all_info, lambda x: without_space(x[field])), lambda v: F.when(F.size(F.array_distinct(v)) < F.size(v), f"repeated {name}"))
+
+    end = F.coalesce(F.array_max(F.transform(units, lambda u: u["source_end_char"])), F.lit(0))
+    ends = F.when(end != F.coalesce(F.length("source_text"), F.lit(0)), "the source is not covered to its end")
+    issues = F.concat(_list(per_unit), F.array_compact(F.array(repeated("source_detail", "detail"), repeated("final_evidence", "evidence"), ends)))
+    size = lambda c: F.coalesce(F.aggregate(F.transform(units, lambda u: F.size(_list(u[c]))), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
+    return ledger.select(
+        "id", issues.alias("issues"), F.coalesce(F.when(units.isNotNull(), F.size(units)), F.lit(0)).cast("long").alias("units"), size("information_units").alias("information_units"),
+        size("numeric_anchors").alias("numbers"), size("question_anchors").alias("questions"), size("omissions").alias("omissions"),
     )
-    # details and evidence are unique over the ledger
-    one = per_unit.select("id", F.explode(F.col("u.information_units")).alias("x"))
-    repeated = [
-        one.groupBy("id", without_space(F.col(f"x.{c}")).alias("v")).count().where("count > 1").groupBy("id").agg(F.lit(f"repeated {name}").alias("r"))
-        for c, name in (("source_detail", "detail"), ("final_evidence", "evidence"))
-    ]
-    again = repeated[0].union(repeated[1]).groupBy("id").agg(F.sort_array(F.collect_set("r")).alias("_again"))
-    out = totals.join(again, "id", "left")
-    ends = F.when(F.coalesce("_end", F.lit(0)) != F.coalesce("_len", F.lit(0)), F.lit("the source is not covered to its end"))
-    issues = F.concat("issues", F.coalesce("_again", F.array().cast("array<string>")), F.array_compact(F.array(ends)))
-    return out.select("id", issues.alias("issues"), "units", "information_units", "numbers", "questions", "omissions")
 
 
 def assemble(docs: DataFrame, begin: str, end: str, head: str = "head", body: str = "body", full: str = "full_text") -> DataFrame:

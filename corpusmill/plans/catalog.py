@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -481,38 +481,80 @@ def event_times(spark, d):
 # ---- fidelity
 
 
-@query()
+#: Chunks one after the other: each ends after the last line feed or full stop of its last two fifths, if there is any.
+_CUT = r"""RECURSIVE step AS (
+  SELECT doc_id, text, 0 AS idx, CAST(0 AS BIGINT) AS "start", CAST(0 AS BIGINT) AS "end" FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, text, idx + 1, "end", CASE WHEN "end" + 1200 >= length(text) THEN length(text) WHEN tail = 0 THEN "end" + 1200
+    ELSE "end" + 720 + tail + CASE WHEN substr(text, "end" + 720 + tail, 2) = chr(10) || chr(10) THEN 1 ELSE 0 END END
+  FROM (SELECT *, length(regexp_extract(substr(text, "end" + 721, 480), '(?s)^.*[\n。！？]')) AS tail FROM step) WHERE "end" < length(text)
+), cut AS (SELECT doc_id, idx, "start", "end", substr(text, "start" + 1, "end" - "start") AS chunk FROM step WHERE idx > 0)"""
+
+
+@query(f'WITH {_CUT} SELECT doc_id, idx, "start", "end", sha256(chunk) AS sha256 FROM cut')
 def chunk_text(spark, d):
     return fidelity.chunks(table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "idx", "start", "end", F.sha2("chunk", 256).alias("sha256"))
 
 
-@query("SELECT doc_id, true AS whole FROM documents WHERE length(text) > 0")
+@query(f"WITH {_CUT} SELECT doc_id, string_agg(chunk, '' ORDER BY idx) = any_value(text) AS whole, count(*) AS n FROM cut JOIN documents USING (doc_id) GROUP BY doc_id")
 def chunks_cover_text(spark, d):
     docs = table(spark, d, "documents")
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "chunk"))), lambda x: x["chunk"]), "")
-    joined = fidelity.chunks(docs).groupBy(F.col("id").alias("doc_id")).agg(F.sha2(parts, 256).alias("sha"))
-    return joined.join(docs.select("doc_id", F.sha2("text", 256).alias("want")), "doc_id").select("doc_id", (F.col("sha") == F.col("want")).alias("whole"))
+    joined = fidelity.chunks(docs).groupBy(F.col("id").alias("doc_id")).agg(F.sha2(parts, 256).alias("sha"), F.count("*").alias("n"))
+    return joined.join(docs.select("doc_id", F.sha2("text", 256).alias("want")), "doc_id").select("doc_id", (F.col("sha") == F.col("want")).alias("whole"), "n")
 
 
-@query()
+_NUMBER = r"(?:^|[^0-9:])((?:19|20)[0-9]{2}年?|[0-9]+(?:\.[0-9]+)?(?:" + T.NUMBER_UNITS + r"))"
+_NUMBERS = r"len(list_distinct(regexp_extract_all(chunk, '" + _NUMBER + "', 1)))"
+_QUESTIONS = "len(regexp_extract_all(chunk, '[^。！？!?\n]{2,}[？?]'))"
+_LEAST = "CAST(greatest(1, ceil(length(regexp_replace(chunk, '\\s+', '', 'g')) / 450)) AS BIGINT)"
+
+
+@query(f"""WITH {_CUT} SELECT doc_id, printf('U%03d', idx) AS unit, "start" AS source_start_char, "end" AS source_end_char, sha256(chunk) AS source_sha256,
+  CASE WHEN NOT regexp_matches(chunk, '[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}') THEN 'chars ' || "start" || '–' || "end" END AS source_locator, {_LEAST} AS minimum_information_units,
+  {_NUMBERS} AS n_numbers, {_QUESTIONS} AS n_questions FROM cut""")
 def coverage_units(spark, d):
     out = fidelity.coverage_units(fidelity.chunks(table(spark, d, "documents")))
     return out.select(F.col("id").alias("doc_id"), "unit", "source_start_char", "source_end_char", "source_sha256", "source_locator", "minimum_information_units", F.size("numeric_anchors").alias("n_numbers"), F.size("question_anchors").alias("n_questions"))
 
 
-@query()
+# Ledgers that take each chunk in as many parts as it needs; of every third document the first unit's id and the last
+# unit's kind are spoilt, and the final text of every fifth lacks its end.
+@query(f"""WITH {_CUT}, units AS (SELECT doc_id, idx, chunk, {_LEAST} AS least, {_NUMBERS} AS numbers, {_QUESTIONS} AS questions FROM cut),
+parts AS (
+  SELECT doc_id, idx, k, least, regexp_replace(substr(chunk, CAST(k * ceil(length(chunk) / least) AS BIGINT) + 1, CAST(ceil(length(chunk) / least) AS BIGINT)), '\s+', '', 'g') AS part
+  FROM (SELECT *, unnest(range(0, least)) AS k FROM units)
+),
+finals AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, greatest(0, length(text) - 300)) ELSE text END, '\s+', '', 'g') AS final FROM documents),
+bad AS (SELECT doc_id, idx, bool_or(length(part) < 8) AS short, bool_or(length(part) < 8 OR NOT contains(final, part)) AS lost FROM parts JOIN finals USING (doc_id) GROUP BY doc_id, idx),
+again AS (SELECT doc_id, count(DISTINCT part) < count(*) AS twice FROM parts GROUP BY doc_id),
+marked AS (SELECT *, max(idx) OVER (PARTITION BY doc_id) AS last FROM units JOIN bad USING (doc_id, idx)),
+said AS (
+  SELECT doc_id, string_agg(array_to_string(list_filter([
+    CASE WHEN doc_id % 3 = 0 AND idx = 1 THEN name || ': unit ids are not consecutive' END, CASE WHEN doc_id % 3 = 0 AND idx = last THEN name || ': unknown kind' END,
+    CASE WHEN short THEN name || ': vague or short detail' END, CASE WHEN lost THEN name || ': evidence is not in the final text' END], lambda x: x IS NOT NULL), '|'), '|' ORDER BY idx)
+    FILTER (WHERE doc_id % 3 = 0 AND idx IN (1, last) OR short OR lost) AS issues, count(*) AS units, CAST(sum(least) AS BIGINT) AS information_units, CAST(sum(numbers) AS BIGINT) AS numbers, CAST(sum(questions) AS BIGINT) AS questions
+  FROM (SELECT *, CASE WHEN doc_id % 3 = 0 AND idx = 1 THEN 'U999' ELSE printf('U%03d', idx) END AS name FROM marked) GROUP BY doc_id
+)
+SELECT doc_id, units, information_units, numbers, questions, CAST(0 AS BIGINT) AS omissions,
+  concat_ws('|', issues, CASE WHEN twice THEN 'repeated detail' END, CASE WHEN twice THEN 'repeated evidence' END) AS issues FROM said JOIN again USING (doc_id)""")
 def coverage_audit(spark, d):
-    cut = fidelity.chunks(table(spark, d, "documents"))
-    units = fidelity.coverage_units(cut).withColumn("detail", F.substring("source_text", 1, 200))
-    info = F.struct(F.lit("claim").alias("kind"), F.col("detail").alias("source_detail"), F.col("detail").alias("final_evidence"))
+    units = fidelity.coverage_units(fidelity.chunks(table(spark, d, "documents")))
+    least = F.col("minimum_information_units").cast("int")
+    wide = F.ceil(F.length("source_text") / least).cast("int")
+    part = F.transform(F.sequence(F.lit(0), least - 1), lambda k: F.substring("source_text", k * wide + 1, wide))
+    last = F.col("source_end_char") == F.max("source_end_char").over(Window.partitionBy("id"))
+    spoilt = F.col("id") % 3 == 0
+    info = F.transform(part, lambda x: F.struct(F.when(spoilt & F.col("last"), "nonsense").otherwise("claim").alias("kind"), x.alias("source_detail"), x.alias("final_evidence")))
     anchors = lambda c, v: F.transform(c, lambda x: F.struct(x.alias(v), F.lit("excluded" if v == "source_value" else "noise").alias("status"), F.lit("").alias("final_evidence"), F.lit("not a claim").alias("reason")))
     unit = F.struct(
-        F.col("unit").alias("id"), "source_start_char", "source_end_char", "source_sha256", "source_text", "minimum_information_units", F.array(info).alias("information_units"),
+        F.when(spoilt & (F.col("source_start_char") == 0), "U999").otherwise(F.col("unit")).alias("id"), "source_start_char", "source_end_char", "source_sha256", "source_text", "minimum_information_units", info.alias("information_units"),
         anchors(F.col("numeric_anchors"), "source_value").alias("numeric_anchors"), anchors(F.col("question_anchors"), "source_question").alias("question_anchors"),
         F.array().cast("array<struct<source_detail:string,reason:string>>").alias("omissions"),
     )
-    ledgers = units.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("source_start_char").alias("at"), unit.alias("u")))), lambda x: x["u"]).alias("units"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source_text"), F.col("text").alias("final_text"))
+    ledgers = units.withColumn("last", last).groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("source_start_char").alias("at"), unit.alias("u")))), lambda x: x["u"]).alias("units"))
+    final = F.when(F.col("doc_id") % 5 == 0, F.substring("text", F.lit(1), F.greatest(F.lit(0), F.length("text") - 300))).otherwise(F.col("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source_text"), final.alias("final_text"))
     out = fidelity.audit(ledgers.join(docs, "id"))
     return out.select(F.col("id").alias("doc_id"), "units", "information_units", "numbers", "questions", "omissions", F.array_join("issues", "|").alias("issues"))
 
