@@ -22,9 +22,9 @@ def nfkc_lower(texts: pd.Series) -> pd.Series:
 
 
 def with_folded(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with lower(NFKC(text)); only rows that NFKC could change go through Python."""
-    stable = F.coalesce(F.col(text).rlike(STABLE), F.lit(True))
-    return df.where(stable).withColumn(out, F.lower(text)).unionByName(df.where(~stable).withColumn(out, nfkc_lower(F.col(text))))
+    """df with lower(NFKC(text)), in one pass; only texts that NFKC could change are sent to Python, nulls for all others."""
+    changes = ~F.coalesce(F.col(text).rlike(STABLE), F.lit(True))
+    return df.withColumn(out, F.coalesce(nfkc_lower(F.when(changes, F.col(text))), F.lower(text)))
 
 
 @pandas_udf(StringType())

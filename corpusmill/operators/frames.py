@@ -26,6 +26,33 @@ def information_score(contrast: Column, entropy: Column, edge: Column) -> Column
     return F.round(0.35 * unit(contrast) + 0.35 * unit(entropy) + 0.30 * unit(edge), 6)
 
 
+def informative(items: DataFrame, least: float = 0.015, score: str = "score") -> DataFrame:
+    """items with status: null, or low_information where the score is under ``least`` or missing."""
+    return items.withColumn("status", F.when(F.coalesce(F.col(score) < least, F.lit(True)), "low_information"))
+
+
+def with_references(items: DataFrame, names: list[str]) -> DataFrame:
+    """items with references: the names of a project's reference files, a list given by the caller, on every item."""
+    return items.withColumn("references", F.array(*map(F.lit, names)).cast("array<string>"))
+
+
+def signature(parameters: dict[str, Column | float | int | str]) -> Column:
+    """The parameters of an extraction as canonical JSON: keys in order, numbers of 6 places at most."""
+    value = lambda v: F.round(F.lit(v), 6) if isinstance(v, float) else v if isinstance(v, Column) else F.lit(v)
+    return F.to_json(F.struct(*[value(parameters[k]).alias(k) for k in sorted(parameters)]))
+
+
+def resume(candidates: DataFrame, manifest: DataFrame, key: str = "id") -> DataFrame:
+    """candidates with action: done, pending, or refused where what was done had another source or other parameters.
+
+    candidates: key, source_sha256, signature; manifest: the same of what is finished.
+    """
+    old = manifest.select(F.col(key).alias("_key"), F.col("source_sha256").alias("_sha"), F.col("signature").alias("_sig"))
+    both = candidates.join(old, F.col(key) == F.col("_key"), "left")
+    same = (F.col("_sha") == F.col("source_sha256")) & (F.col("_sig") == F.col("signature"))
+    return both.withColumn("action", F.when(F.col("_key").isNull(), "pending").when(same, "done").otherwise("refused")).drop("_key", "_sha", "_sig")
+
+
 def near_pairs(hashes: DataFrame, distance: int = 5, id_col: str = "id", hash_col: str = "hash", bits: int = 64) -> DataFrame:
     """a, b (a < b), hamming: pairs of hashes within a distance.
 
@@ -54,7 +81,8 @@ def greedy_keep(items: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataF
     """
     spark = items.sparkSession
     ids = items.select(F.col(id_col).alias("id")).distinct()
-    edges = pairs.select("a", "b").distinct().checkpoint() if spark.sparkContext.getCheckpointDir() else pairs.select("a", "b").distinct().persist()
+    edges = pairs.select("a", "b").where("a < b").distinct()
+    edges = edges.checkpoint() if spark.sparkContext.getCheckpointDir() else edges.persist()
     state = edges.select(F.col("b").alias("id")).union(edges.select(F.col("a").alias("id"))).distinct().withColumn("s", F.lit(0))
     while True:
         # s: 0 open, 1 kept, 2 rejected

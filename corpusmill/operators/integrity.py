@@ -94,14 +94,19 @@ def companion_dirs(files: DataFrame) -> DataFrame:
 def register(registry: DataFrame, new: DataFrame) -> DataFrame:
     """registry (id Rnnn, sha256, url, title) with those of new (sha256, url, title) that it lacks, numbered on.
 
-    Ids are given by position over (url, sha256, title) of the new rows after the greatest id; a registry is a list kept by hand, and
-    the numbering is one ordered window over what is added to it.
+    New rows are numbered after the greatest id in the order of (sha256, url); of rows that share both the least title
+    stays.  The number is a count of the rows in lesser ranges of hashes (4096 of them) plus the place within its
+    range, so ranges are numbered side by side.
     """
-    key = ["sha256", "url"]
-    fresh = new.dropDuplicates(key).alias("n").join(registry.alias("r"), (F.col("n.sha256").eqNullSafe(F.col("r.sha256"))) & (F.col("n.url").eqNullSafe(F.col("r.url"))), "left_anti")
-    last = registry.agg(F.coalesce(F.max(F.regexp_extract("id", r"^R(\d+)$", 1).cast("int")), F.lit(0)).alias("_last"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy("url", "sha256", "title"))).crossJoin(F.broadcast(last))
-    return registry.unionByName(numbered.select(F.format_string("R%03d", F.col("_last") + F.col("_n")).alias("id"), "sha256", "url", "title"))
+    one = new.groupBy("sha256", "url").agg(F.min("title").alias("title")).alias("n")
+    fresh = one.join(registry.alias("r"), (F.col("n.sha256").eqNullSafe(F.col("r.sha256"))) & (F.col("n.url").eqNullSafe(F.col("r.url"))), "left_anti")
+    fresh = fresh.withColumn("_range", F.coalesce(F.substring("sha256", 1, 3), F.lit("")))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = fresh.groupBy("_range").agg(F.count("*").alias("_k")).select("_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_base"))
+    last = registry.agg(F.coalesce(F.max(F.regexp_extract("id", r"^R(\d+)$", 1).cast("long")), F.lit(0)).alias("_last"))
+    placed = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy("sha256", "url")))
+    numbered = placed.join(F.broadcast(base), "_range").crossJoin(F.broadcast(last))
+    return registry.unionByName(numbered.select(F.format_string("R%03d", F.col("_last") + F.col("_base") + F.col("_n")).alias("id"), "sha256", "url", "title"))
 
 
 def validate_sequence(rows: DataFrame, key: str, order: str, start: str) -> DataFrame:

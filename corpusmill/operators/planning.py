@@ -96,3 +96,67 @@ def ranked_candidates(found: DataFrame, weights: dict[str, float]) -> DataFrame:
     scored = found.withColumn("score", score)
     top = scored.groupBy("score").count().orderBy(F.desc("score")).limit(1).select(F.col("score").alias("_top"), (F.col("count") > 1).alias("tied"))
     return scored.crossJoin(F.broadcast(top)).withColumn("best", F.col("score") == F.col("_top")).drop("_top")
+
+
+def material_counts(files: DataFrame, project: str = "project", path: str = "path", transcript: str = "transcript") -> DataFrame:
+    """project, videos, audios, transcripts, independent_audios: an audio file beside a video of the same name is its
+    sound track; where there is no video every audio file is independent.  files: project, path, transcript boolean."""
+    stem = F.lower(F.regexp_replace(path, r"\.[^./]*$", ""))
+    rows = files.select(F.col(project).alias("project"), material_kind(F.col(path)).alias("kind"), stem.alias("stem"), F.coalesce(F.col(transcript), F.lit(False)).alias("t"))
+    by_stem = rows.groupBy("project", "stem").agg(F.count_if(F.col("kind") == "video").alias("v"), F.count_if(F.col("kind") == "audio").alias("a"), F.count_if("t").alias("t"))
+    sums = by_stem.groupBy("project").agg(F.sum("v").alias("videos"), F.sum("a").alias("audios"), F.sum("t").alias("transcripts"), F.sum(F.when(F.col("v") == 0, F.col("a")).otherwise(0)).alias("independent_audios"))
+    return sums
+
+
+def tree_totals(files: DataFrame, root: Column, path: str = "path", size: str = "size") -> DataFrame:
+    """root, files, bytes below each root."""
+    return files.groupBy(root.alias("root")).agg(F.count(path).alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+def nearest_root(paths: DataFrame, markers: DataFrame, path: str = "path", folder: str = "dir") -> DataFrame:
+    """path, root: the nearest folder at or above a path's own that is among the markers; null if none is.
+
+    An equi-join of each folder above a path with the markers; folders are joined once, whatever they hold.
+    """
+    own = F.regexp_replace(path, "/?[^/]*$", "")
+    dirs = paths.select(own.alias("d")).distinct()
+    steps = F.split("d", "/", -1)
+    above = dirs.select("d", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, F.lit(1), k), "/").alias("up")))).alias("a"))
+    near = above.select("d", "a.depth", "a.up").join(markers.select(F.col(folder).alias("up")).distinct(), "up").groupBy("d").agg(F.max_by("up", "depth").alias("root"))
+    return paths.select(path, own.alias("d")).join(near, "d", "left").select(path, "root")
+
+
+def missing_outputs(expected: DataFrame, registered: DataFrame, commit: Column, path: str = "path") -> DataFrame:
+    """path: outputs that are expected, are not the commit record itself, and are not registered."""
+    return expected.where(~commit).join(registered.select(F.col(path).alias("_p")), F.col(path) == F.col("_p"), "left_anti").select(path)
+
+
+def path_order(path: Column) -> list[Column]:
+    """Sort keys: the path without regard to case, then as it is."""
+    return [F.lower(path), path]
+
+
+def findings_gate(findings: DataFrame, files: DataFrame, allowed: list[str], path: str = "path", text: str = "text") -> DataFrame:
+    """path, size, sha256, status of the files of an export: allowed ones are exported, but none of them while any has a
+    finding; status is export, blocked (the gate is closed) or left_out."""
+    listed = F.lit(False)
+    for prefix in allowed:
+        listed = listed | (F.col(path) == prefix) | F.col(path).startswith(prefix.rstrip("/") + "/")
+    closed = findings.join(files.where(listed).select(F.col(path).alias("_p")), F.col("path") == F.col("_p"), "left_semi").agg((F.count("*") > 0).alias("_closed"))
+    status = F.when(~listed, "left_out").when(F.col("_closed"), "blocked").otherwise("export")
+    return files.crossJoin(F.broadcast(closed)).select(F.col(path).alias("path"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha256"), status.alias("status"))
+
+
+def bounded_prompt(rows: DataFrame, terms: str, context: str, budget: int) -> DataFrame:
+    """rows (terms and context as arrays of tokens) with what of them goes into a prompt of ``budget`` tokens.
+
+    Two fifths are the context's, if there is any, the rest the terms': of too many terms the head and the tail stay,
+    of too long a context its end.
+    """
+    n_terms, n_context = F.size(terms), F.coalesce(F.size(context), F.lit(0))
+    for_context = F.when(n_context > 0, F.bround(F.lit(budget * 0.4), 0)).otherwise(0).cast("int")
+    for_terms = F.lit(budget) - for_context
+    head, tail = F.floor((for_terms + 1) / 2).cast("int"), F.floor(for_terms / 2).cast("int")
+    cut = F.concat(F.slice(terms, F.lit(1), head), F.slice(terms, n_terms - tail + 1, tail))
+    last = F.slice(context, F.greatest(F.lit(1), n_context - for_context + 1), F.greatest(for_context, F.lit(0)))
+    return rows.withColumns({"terms_used": F.when(n_terms > for_terms, cut).otherwise(F.col(terms)), "context_used": F.when(n_context > for_context, last).otherwise(F.col(context))})

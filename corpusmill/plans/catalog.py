@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import times as M
 from ..operators import attribution, fidelity, frames, integrity, intervals, links, planning, runs, search, workflow
-from ..sources import captions, documents, html, posts, sinks
+from ..sources import captions, documents, html, posts, records, sinks
 from ..streaming import events as windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,7 @@ scored AS (
 
 
 def _scored(spark: SparkSession, d: str, docs: DataFrame) -> tuple:
+    """A search has one query; here it is the first text of ``benchmark``, asked of all documents."""
     asked = table(spark, d, "benchmark").orderBy("item_id").limit(1).select("text")
     return docs, asked
 
@@ -310,9 +311,12 @@ def manifest_compare(spark, d):
     return integrity.compare_manifests(_then(spark, d), _now(spark, d))
 
 
-@query("SELECT false AS equal")
+@query(f"""WITH {_NOW} SELECT 'then, now' AS pair, (SELECT count(*) FROM (SELECT path FROM then_ EXCEPT SELECT path FROM now_)) + (SELECT count(*) FROM (SELECT path FROM now_ EXCEPT SELECT path FROM then_)) = 0 AS equal
+UNION ALL SELECT 'now, now', (SELECT count(*) FROM (SELECT path FROM now_ EXCEPT SELECT path FROM now_)) = 0""")
 def manifest_same_set(spark, d):
-    return integrity.same_set(_then(spark, d), _now(spark, d))
+    pairs = {"then, now": (_then(spark, d), _now(spark, d)), "now, now": (_now(spark, d), _now(spark, d))}
+    out = [integrity.same_set(a, b).select(F.lit(k).alias("pair"), "equal") for k, (a, b) in pairs.items()]
+    return out[0].union(out[1])
 
 
 @query(f"WITH {_NOW} SELECT e.path, CASE WHEN a.path IS NULL THEN 'created' WHEN a.sha256 <> e.sha256 AND a.size > e.size THEN 'conflict' WHEN a.sha256 = e.sha256 THEN 'reused' ELSE 'stale' END AS status FROM then_ e LEFT JOIN now_ a ON e.path = a.path")
@@ -368,7 +372,7 @@ def snapshots_kept(spark, d):
 @query("""WITH old AS (SELECT 'R' || lpad(CAST(row_number() OVER (ORDER BY item_id) AS VARCHAR), 3, '0') AS id, sha256(text) AS sha256, 'item' AS url, CAST(item_id AS VARCHAR) AS title, row_number() OVER (ORDER BY item_id) AS n FROM benchmark),
 new AS (SELECT sha256(text) AS sha256, source AS url, min(lang) AS title FROM documents GROUP BY text, source)
 SELECT id, sha256, url, title FROM old UNION ALL SELECT 'R' || CASE WHEN k < 1000 THEN lpad(CAST(k AS VARCHAR), 3, '0') ELSE CAST(k AS VARCHAR) END, sha256, url, title
-FROM (SELECT *, (SELECT max(n) FROM old) + row_number() OVER (ORDER BY url, sha256, title) AS k FROM new)""")
+FROM (SELECT *, (SELECT max(n) FROM old) + row_number() OVER (ORDER BY sha256, url) AS k FROM new)""")
 def registry_dedup(spark, d):
     from pyspark.sql import Window
 
@@ -377,9 +381,13 @@ def registry_dedup(spark, d):
     return integrity.register(old, new)
 
 
-@query("SELECT conv_id, '' AS issues FROM conversations GROUP BY conv_id")
+# Of every third conversation the second turn is missing, of every fourth the third starts too early.
+@query("""WITH r AS (SELECT conv_id, turn + 1 AS id, turn * 1000 - CASE WHEN conv_id % 4 = 0 AND turn = 2 THEN 1500 ELSE 0 END AS start_ms FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 1)),
+n AS (SELECT *, row_number() OVER w AS k, lag(start_ms) OVER w AS before FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY id))
+SELECT conv_id, concat_ws('|', CASE WHEN bool_or(id <> k) THEN 'ids do not follow each other' END, CASE WHEN bool_or(start_ms < before) THEN 'a start goes back' END) AS issues FROM n GROUP BY conv_id""")
 def sequence_issues(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("id"), (F.col("turn") * 1000).alias("start_ms"))
+    early = F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") == 2), 1500).otherwise(0)
+    rows = table(spark, d, "conversations").where(~((F.col("conv_id") % 3 == 0) & (F.col("turn") == 1))).select("conv_id", (F.col("turn") + 1).alias("id"), (F.col("turn") * 1000 - early).alias("start_ms"))
     return integrity.validate_sequence(rows, "conv_id", "id", "start_ms").withColumn("issues", F.array_join("issues", "|"))
 
 
@@ -409,9 +417,13 @@ def chunk_plan(spark, d):
     return _plan(spark, d)
 
 
-@query("SELECT DISTINCT conv_id, true AS ok FROM conversations")
+# Plans of which every third lacks its second chunk and every fifth begins late.
+@query(_PLAN + """, spoilt AS (SELECT conv_id, duration_ms, idx, core_start_ms + CASE WHEN conv_id % 5 = 0 AND idx = 1 THEN 1 ELSE 0 END AS core_start_ms, core_end_ms FROM plan WHERE NOT (conv_id % 3 = 0 AND idx = 2))
+SELECT conv_id, min(core_start_ms) = 0 AND max(core_end_ms) = max(duration_ms) AND sum(core_end_ms - core_start_ms) = max(duration_ms) AS ok FROM spoilt GROUP BY conv_id""")
 def chunk_contiguity(spark, d):
-    return intervals.contiguous(_plan(spark, d), "conv_id", total="duration_ms")
+    late = F.when((F.col("conv_id") % 5 == 0) & (F.col("idx") == 1), 1).otherwise(0)
+    rows = _plan(spark, d).where(~((F.col("conv_id") % 3 == 0) & (F.col("idx") == 2))).withColumn("core_start_ms", F.col("core_start_ms") + late)
+    return intervals.contiguous(rows, "conv_id", total="duration_ms")
 
 
 _SEG = "seg AS (SELECT conv_id, turn, CAST(sum(length(text)) OVER w * 1000 - length(text) * 1000 AS BIGINT) AS start_ms, CAST(sum(length(text)) OVER w * 1000 AS BIGINT) AS end_ms, text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
@@ -472,10 +484,12 @@ def merge_segments(spark, d):
     return intervals.merge_segments(one.union(two.select(one.columns)))
 
 
-@query("""WITH s AS (SELECT user_id, CAST(epoch_ms(ts) AS DOUBLE) / 1000 AS t FROM events) SELECT user_id, count(*) AS n_events, CAST(count(DISTINCT t) AS BIGINT) AS n_times FROM s GROUP BY user_id""")
+# Times that lie 1800 seconds or more after the last one kept; the SQL folds the sorted times as well.
+@query("""WITH s AS (SELECT user_id, list_sort(list(CAST(epoch_ms(ts) AS DOUBLE) / 1000)) AS t FROM events GROUP BY user_id)
+SELECT user_id, CAST(len(t) AS BIGINT) AS n_events, CAST(len(list_reduce(list_transform(t, lambda x: [x]), lambda a, b: CASE WHEN b[1] - a[-1] > 1800 THEN list_concat(a, b) ELSE a END)) AS BIGINT) AS n_times FROM s""")
 def event_times(spark, d):
     rows = table(spark, d, "events").withColumn("t", F.unix_millis(F.col("ts").cast("timestamp")) / 1000)
-    return rows.groupBy("user_id").agg(F.count("*").alias("n_events"), F.size(intervals.thin(F.collect_set("t"), 0.0)).cast("long").alias("n_times"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n_events"), F.size(intervals.thin(F.collect_list("t"), 1800.0)).cast("long").alias("n_times"))
 
 
 # ---- fidelity
@@ -522,10 +536,10 @@ def coverage_units(spark, d):
 # unit's kind are spoilt, and the final text of every fifth lacks its end.
 @query(f"""WITH {_CUT}, units AS (SELECT doc_id, idx, chunk, {_LEAST} AS least, {_NUMBERS} AS numbers, {_QUESTIONS} AS questions FROM cut),
 parts AS (
-  SELECT doc_id, idx, k, least, regexp_replace(substr(chunk, CAST(k * ceil(length(chunk) / least) AS BIGINT) + 1, CAST(ceil(length(chunk) / least) AS BIGINT)), '\s+', '', 'g') AS part
+  SELECT doc_id, idx, k, least, regexp_replace(substr(chunk, CAST(k * ceil(length(chunk) / least) AS BIGINT) + 1, CAST(ceil(length(chunk) / least) AS BIGINT)), '\\s+', '', 'g') AS part
   FROM (SELECT *, unnest(range(0, least)) AS k FROM units)
 ),
-finals AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, greatest(0, length(text) - 300)) ELSE text END, '\s+', '', 'g') AS final FROM documents),
+finals AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, greatest(0, length(text) - 300)) ELSE text END, '\\s+', '', 'g') AS final FROM documents),
 bad AS (SELECT doc_id, idx, bool_or(length(part) < 8) AS short, bool_or(length(part) < 8 OR NOT contains(final, part)) AS lost FROM parts JOIN finals USING (doc_id) GROUP BY doc_id, idx),
 again AS (SELECT doc_id, count(DISTINCT part) < count(*) AS twice FROM parts GROUP BY doc_id),
 marked AS (SELECT *, max(idx) OVER (PARTITION BY doc_id) AS last FROM units JOIN bad USING (doc_id, idx)),
@@ -559,16 +573,22 @@ def coverage_audit(spark, d):
     return out.select(F.col("id").alias("doc_id"), "units", "information_units", "numbers", "questions", "omissions", F.array_join("issues", "|").alias("issues"))
 
 
-@query("SELECT doc_id, sha256(text) AS full_sha256, true AS intact FROM documents")
+# Of every third record the full text is changed after it was assembled.
+@query("SELECT doc_id, sha256(text) AS full_sha256, doc_id % 3 <> 0 AS intact FROM documents")
 def assemble_and_verify(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), "source").alias("head"), F.col("lang").alias("body"), F.col("text").alias("full_text"))
     marks = ("<!-- full text -->", "<!-- end of full text -->")
-    return fidelity.verify_full_text(fidelity.assemble(docs, *marks), *marks).select("doc_id", "full_sha256", "intact")
+    made = fidelity.assemble(docs, *marks)
+    made = made.withColumn("record", F.when(F.col("doc_id") % 3 == 0, F.replace("record", F.lit("\n" + marks[1]), F.lit(" more\n" + marks[1]))).otherwise(F.col("record")))
+    return fidelity.verify_full_text(made, *marks).select("doc_id", "full_sha256", "intact")
 
 
-@query("SELECT doc_id, sha256('kept' || chr(10) || chr(10) || '<!-- b -->' || chr(10) || text || chr(10) || '<!-- e -->' || chr(10)) AS once, true AS same FROM documents")
+# Texts without the section, with an older one, and with a begin that has no end.
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN sha256('kept' || chr(10) || chr(10) || '<!-- b -->' || chr(10) || text || chr(10) || '<!-- e -->' || chr(10))
+  WHEN 1 THEN sha256('kept' || chr(10) || '<!-- b -->' || chr(10) || text || chr(10) || '<!-- e -->' || chr(10) || 'tail') END AS once, CASE WHEN doc_id % 3 < 2 THEN true END AS same FROM documents""")
 def managed_section(spark, d):
-    docs = table(spark, d, "documents").withColumn("once", T.replace_section(F.lit("kept"), "<!-- b -->", "<!-- e -->", F.col("text")))
+    before = F.element_at(F.array(F.lit("kept\n "), F.lit("kept\n<!-- b -->\nold\nlines\n<!-- e -->\ntail"), F.lit("kept\n<!-- b -->\nopen")), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = table(spark, d, "documents").withColumn("once", T.replace_section(before, "<!-- b -->", "<!-- e -->", F.col("text")))
     again = T.replace_section(F.col("once"), "<!-- b -->", "<!-- e -->", F.col("text"))
     return docs.select("doc_id", F.sha2("once", 256).alias("once"), (again == F.col("once")).alias("same"))
 
@@ -587,18 +607,36 @@ def dhash(spark, d):
     return _hashes(spark, d).select(F.col("id").alias("vec_id"), "hash", frames.hex_hash(F.col("hash")).alias("hex"))
 
 
-@query(f"WITH {_DHASH} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS hamming FROM hashes a JOIN hashes b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <= 5")
+# The vectors' hashes lie far apart; of their last 16 bits some are near each other.
+_SHORT = f"{_DHASH}, short AS (SELECT vec_id, hash & 65535 AS h FROM hashes)"
+
+
+def _short_hashes(spark, d):
+    return _hashes(spark, d).select("id", F.col("hash").bitwiseAND(F.lit(65535)).alias("hash"))
+
+
+@query(f"WITH {_SHORT} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS hamming FROM short a JOIN short b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 2")
 def hamming_pairs(spark, d):
-    return frames.near_pairs(_hashes(spark, d))
+    return frames.near_pairs(_short_hashes(spark, d), 2, bits=16)
 
 
-@query()
+# The SQL goes through the vectors one by one, as the rule is stated.
+_GREEDY = f"""WITH RECURSIVE {_SHORT}, items AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, h FROM short), g AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, h BIGINT)[]) AS kept, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS first
+  UNION ALL
+  SELECT n + 1, CASE WHEN len(near) = 0 THEN list_append(kept, {{'id': v, 'h': h}}) ELSE kept END, v, near[1].id
+  FROM (SELECT g.n, g.kept, items.vec_id AS v, items.h AS h, list_filter(g.kept, lambda x: bit_count(xor(x.h, items.h)) <= 2) AS near FROM g JOIN items ON items.n = g.n + 1)
+)"""
+
+
+@query(_GREEDY + " SELECT vec_id, first IS NULL AS kept, coalesce(first, -1) AS duplicate_of FROM g WHERE n > 0")
 def greedy_dedup(spark, d):
-    rows = _hashes(spark, d)
-    return frames.greedy_keep(rows, frames.near_pairs(rows, 12)).withColumnRenamed("id", "vec_id")
+    rows = _short_hashes(spark, d)
+    out = frames.greedy_keep(rows, frames.near_pairs(rows, 2, bits=16))
+    return out.select(F.col("id").alias("vec_id"), "kept", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"))
 
 
-@query()
+@query(_GREEDY + " SELECT count(*) FILTER (WHERE first IS NULL) AS kept, count(first) AS duplicates FROM g WHERE n > 0")
 def dedup_status_counts(spark, d):
     return greedy_dedup(spark, d).agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("duplicates"))
 
@@ -621,20 +659,30 @@ def information_score(spark, d):
 
 # ---- workflows
 
-_LOG = """log AS (SELECT CAST(user_id AS VARCHAR) AS workflow_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'run' WHEN 'click' THEN 'chunk_done' WHEN 'error' THEN 'chunk_failed' WHEN 'signup' THEN 'approve' ELSE 'note' END AS event, CAST(event_id % 40 + 1 AS INTEGER) AS chunk_index FROM events),
-agg AS (SELECT workflow_id, count(DISTINCT chunk_index) FILTER (WHERE event = 'chunk_done') AS done, count(*) FILTER (WHERE event = 'run') AS attempts,
-  coalesce(max(seq) FILTER (WHERE event = 'run'), -1) AS r, coalesce(max(seq) FILTER (WHERE event = 'chunk_done'), -1) AS k, coalesce(max(seq) FILTER (WHERE event = 'chunk_failed'), -1) AS f, coalesce(max(seq) FILTER (WHERE event = 'approve'), -1) AS a, max(seq) AS revision FROM log GROUP BY workflow_id),
-state AS (SELECT *, CASE WHEN done >= 30 THEN 'ready_to_merge' WHEN r > k AND r > f THEN 'chunk_running' WHEN f > greatest(k, r) THEN 'failed_recoverable' WHEN k >= 0 AND k > a THEN 'awaiting_continue' ELSE 'ready' END AS stage1 FROM agg)"""
+# Logs full of events out of place; the SQL goes through them one by one.
+_LOG = """RECURSIVE log AS (SELECT CAST(user_id AS VARCHAR) AS workflow_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'run' WHEN 'click' THEN 'chunk_done' WHEN 'error' THEN 'chunk_failed' WHEN 'signup' THEN 'approve' WHEN 'purchase' THEN 'merge_ok' ELSE 'note' END AS event, CAST(event_id % 9 + 1 AS INTEGER) AS chunk_index FROM events),
+placed AS (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY seq) AS n FROM log),
+f AS (
+  SELECT workflow_id, CAST(0 AS BIGINT) AS n, 'ready' AS stage1, CAST([] AS INTEGER[]) AS done, CAST(0 AS BIGINT) AS attempts, CAST(0 AS BIGINT) AS revision FROM (SELECT DISTINCT workflow_id FROM log)
+  UNION ALL
+  SELECT workflow_id, n, CASE WHEN NOT ok THEN stage1 WHEN event = 'run' THEN 'chunk_running' WHEN event = 'chunk_done' THEN CASE WHEN len(d) >= 6 THEN 'ready_to_merge' ELSE 'awaiting_continue' END
+    WHEN event = 'chunk_failed' THEN 'failed_recoverable' WHEN event = 'approve' THEN 'ready' WHEN event = 'merge_ok' THEN 'complete' ELSE stage1 END, d, attempts + CASE WHEN ok AND event = 'run' THEN 1 ELSE 0 END, seq
+  FROM (SELECT *, CASE WHEN ok AND event = 'chunk_done' THEN list_sort(list_distinct(list_append(done, chunk_index))) ELSE done END AS d FROM (
+    SELECT f.workflow_id, p.n, stage1, done, attempts, p.seq, p.event, p.chunk_index, CASE p.event WHEN 'run' THEN stage1 IN ('ready', 'failed_recoverable', 'chunk_running') WHEN 'chunk_done' THEN stage1 = 'chunk_running'
+      WHEN 'chunk_failed' THEN stage1 = 'chunk_running' WHEN 'approve' THEN stage1 = 'awaiting_continue' WHEN 'merge_ok' THEN stage1 = 'ready_to_merge' ELSE true END AS ok
+    FROM f JOIN placed p ON p.workflow_id = f.workflow_id AND p.n = f.n + 1))
+), state AS (SELECT workflow_id, stage1, len(done) AS done, done AS completed, attempts, revision FROM f QUALIFY row_number() OVER (PARTITION BY workflow_id ORDER BY n DESC) = 1)"""
 
 
 def _log(spark, d):
-    kind = F.when(F.col("event_type") == "view", "run").when(F.col("event_type") == "click", "chunk_done").when(F.col("event_type") == "error", "chunk_failed").when(F.col("event_type") == "signup", "approve").otherwise("note")
-    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("workflow_id"), F.col("event_id").alias("seq"), kind.alias("event"), (F.col("event_id") % 40 + 1).cast("int").alias("chunk_index"))
+    names = {"view": "run", "click": "chunk_done", "error": "chunk_failed", "signup": "approve", "purchase": "merge_ok"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()], F.lit("note"))
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("workflow_id"), F.col("event_id").alias("seq"), kind.alias("event"), (F.col("event_id") % 9 + 1).cast("int").alias("chunk_index"))
 
 
 def _states(spark, d):
     log = _log(spark, d)
-    plans = log.select("workflow_id").distinct().withColumns({"chunks": F.lit(30), "staged": F.lit(True)})
+    plans = log.select("workflow_id").distinct().withColumns({"chunks": F.lit(6), "staged": F.lit(True)})
     return workflow.fold(log, plans)
 
 
@@ -643,7 +691,7 @@ def workflow_fold(spark, d):
     return _states(spark, d).select("workflow_id", "stage1", "done", "attempts", "revision")
 
 
-@query(f"WITH {_LOG} SELECT workflow_id, CASE stage1 WHEN 'awaiting_continue' THEN 'approve' WHEN 'ready_to_merge' THEN 'merge' WHEN 'chunk_running' THEN 'resume_chunk' ELSE 'run_chunk' END AS action FROM state")
+@query(f"WITH {_LOG} SELECT workflow_id, CASE stage1 WHEN 'awaiting_continue' THEN 'approve' WHEN 'ready_to_merge' THEN 'merge' WHEN 'chunk_running' THEN 'resume_chunk' WHEN 'complete' THEN 'compact' ELSE 'run_chunk' END AS action FROM state")
 def next_action(spark, d):
     return _states(spark, d).select("workflow_id", workflow.next_action().alias("action"))
 
@@ -653,8 +701,8 @@ def resume_from_failure(spark, d):
     return workflow.reset_interrupted(_states(spark, d)).select("workflow_id", "stage1")
 
 
-@query(f"""WITH {_LOG}, c AS (SELECT workflow_id, count(DISTINCT chunk_index) AS n, max(chunk_index) AS m FROM log WHERE event = 'chunk_done' GROUP BY workflow_id)
-SELECT workflow_id, concat_ws('|', CASE WHEN s.done > 30 THEN 'more chunks done than planned' END, CASE WHEN coalesce(n, 0) <> coalesce(m, 0) THEN 'chunks done out of order' END) AS issues FROM state s LEFT JOIN c USING (workflow_id)""")
+@query(f"""WITH {_LOG} SELECT workflow_id, concat_ws('|', CASE WHEN done > 6 THEN 'more chunks done than planned' END, CASE WHEN len(completed) <> coalesce(list_max(completed), 0) THEN 'chunks done out of order' END,
+  CASE WHEN list_max(completed) > 6 THEN 'a chunk outside the plan' END, CASE WHEN stage1 = 'ready_to_merge' AND done < 6 THEN 'ready to merge with chunks to do' END) AS issues FROM state""")
 def state_issues(spark, d):
     return workflow.state_issues(_states(spark, d)).withColumn("issues", F.array_join("issues", "|"))
 
@@ -698,8 +746,8 @@ _AGAIN = '<article data-testid="tweet"><div data-testid="User-Name">E</div><a hr
   ('p1', '77', NULL, 'see this', 'reply', 0, NULL, 3, NULL, '11', NULL, 0),
   ('p1', NULL, NULL, 'no id', 'repost', 0, 'a card without a post id or permalink', 4, NULL, NULL, NULL, 0),
   ('p1', '11', 'aone', 'hi y', 'unknown', 0, 'another snapshot of the same post', 5, 'https://x.com/aone/status/11', NULL, '2024-01-01', 0),
-  ('p2', NULL, NULL, NULL, NULL, 0, 'no posts found', NULL, NULL, NULL, NULL, 0),
-  ('p3', NULL, NULL, NULL, NULL, 0, 'a card without text or photo', NULL, NULL, NULL, NULL, 0),
+  ('p2', NULL, NULL, NULL, NULL, 0, 'no posts found', 0, NULL, NULL, NULL, 0),
+  ('p3', NULL, NULL, NULL, NULL, 0, 'a card without text or photo', 0, NULL, NULL, NULL, 0),
   ('p4', '13', 'c', '', 'unknown', 0, NULL, 1, 'https://x.com/c/status/13', NULL, NULL, 1)
 ) t(page_id, post_id, author_account, text, relation, n_quotes, warning, page_order, permalink, reply_to_id, published_at, n_media)""")
 def extract_posts(spark, d):
@@ -707,7 +755,7 @@ def extract_posts(spark, d):
     rows = [("p1", _CARD + _CARD + _QUOTE + _LOOSE + _AGAIN + _CARD.replace(">x<", ">y<")), ("p2", "<div>shell</div>"), ("p3", _CARD + '<article data-testid="tweet"><p>x</p></article>'), ("p4", photo)]
     found = posts.extract_posts(spark.createDataFrame(rows, "page_id string, html string"))
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
-    return found.select("page_id", "post_id", "author_account", "text", "relation", size("quoted_posts").alias("n_quotes"), "warning", "page_order", "permalink", "reply_to_id", "published_at", size("media").alias("n_media"))
+    return found.select("page_id", "post_id", "author_account", "text", "relation", size("quoted_posts").alias("n_quotes"), "warning", F.coalesce("page_order", F.lit(0)).alias("page_order"), "permalink", "reply_to_id", "published_at", size("media").alias("n_media"))
 
 
 # ---- planning
@@ -810,3 +858,176 @@ def prefer_audio(spark, d):
 @query("""SELECT conv_id, sha256('[' || string_agg('{"role":"' || role || '","turn":' || turn || '}', ',' ORDER BY turn) || ']') AS sha256 FROM conversations GROUP BY conv_id""")
 def plan_hash(spark, d):
     return runs.plan_hash(table(spark, d, "conversations"), "conv_id", "turn", ["turn", "role"])
+
+
+# ---- records and bundles
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 5 <> 3 THEN role END AS role, CASE WHEN turn % 5 <> 3 THEN text END AS text, CASE WHEN turn % 5 = 3 THEN 'not a JSON object' END AS error FROM conversations""")
+def json_records(spark, d):
+    """Lines of JSON, the first of each conversation with a byte order mark, every fifth one cut off."""
+    rows = table(spark, d, "conversations")
+    line = F.to_json(F.struct("role", "text"))
+    line = F.when(F.col("turn") == 0, F.concat(F.lit("\ufeff"), line)).when(F.col("turn") % 5 == 3, F.left(line, F.length(line) - 2)).otherwise(line)
+    out = records.parse_json(rows.select("conv_id", "turn", line.alias("line")), "line", "role string, text string")
+    return out.select("conv_id", "turn", "record.role", "record.text", "error")
+
+
+@query("SELECT doc_id, CAST(least(strlen(text), 1000) AS BIGINT) AS n_bytes, strlen(text) > 1000 AS cut FROM documents")
+def file_prefix(spark, d):
+    part = records.prefix(F.encode("text", "UTF-8"), 1000)
+    return table(spark, d, "documents").select("doc_id", F.length(part).cast("long").alias("n_bytes"), (F.octet_length("text") > F.length(part)).alias("cut"))
+
+
+_PATHS_SQL = "p AS (SELECT page_id, regexp_extract(url, '^https?://(.*)$', 1) || '/' || (page_id % 3) || '/x.html' AS path FROM pages)"
+
+
+@query(f"""WITH {_PATHS_SQL}, d AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM p), m AS (SELECT DISTINCT CASE WHEN page_id % 20 = 0 THEN regexp_extract(path, '^[^/]*') ELSE regexp_replace(dir, '/[^/]*$', '') END AS dir FROM d WHERE page_id % 5 = 0)
+SELECT page_id, max_by(m.dir, length(m.dir)) AS root FROM d LEFT JOIN m ON d.dir = m.dir OR starts_with(d.dir, m.dir || '/') GROUP BY page_id""")
+def library_roots(spark, d):
+    path = F.concat(F.regexp_extract("url", "^https?://(.*)$", 1), F.lit("/"), (F.col("page_id") % 3).cast("string"), F.lit("/x.html"))
+    rows = table(spark, d, "pages").select("page_id", path.alias("path"))
+    up = F.regexp_replace("path", "/[^/]*/[^/]*$", "")
+    marks = rows.where("page_id % 5 = 0").select(F.when(F.col("page_id") % 20 == 0, F.regexp_extract("path", "^[^/]*", 0)).otherwise(up).alias("dir"))
+    return rows.join(planning.nearest_root(rows, marks).distinct(), "path").select("page_id", "root")
+
+
+@query("""WITH m AS (SELECT doc_id, lang, '# ' || source || chr(10) || chr(10) || '- source: ' || source || chr(10) || '- lang: ' || lang || chr(10) || chr(10) || text || chr(10) AS body, source FROM documents)
+SELECT doc_id, sha256(body) AS body_sha256, '{"doc_id":' || doc_id || ',"source":"' || source || '","lang":"' || lang || '","output_bytes":' || strlen(body) || ',"output_sha256":"' || sha256(body) || '"}' AS metadata_json FROM m""")
+def article_pairs(spark, d):
+    out = records.article_pair(table(spark, d, "documents"), "doc_id", F.col("source"), {"source": F.col("source"), "lang": F.col("lang")}, F.col("text"))
+    return out.select("doc_id", F.sha2("body_markdown", 256).alias("body_sha256"), "metadata_json")
+
+
+_STAMP = "printf('%02d:%02d:%02d', CAST({0} // 3600000 AS INTEGER), CAST({0} // 60000 % 60 AS INTEGER), CAST({0} // 1000 % 60 AS INTEGER))"
+
+
+def _titled(spark, d):
+    rows = _segments(spark, d).select("conv_id", "start_ms", "end_ms", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    return rows, F.lit("Transcript"), [F.concat(F.lit("- conversation: "), F.col("conv_id").cast("string")), F.lit("- by machine")]
+
+
+@query(f"""WITH {_SEG} SELECT conv_id, sha256(regexp_replace('# Transcript' || chr(10) || chr(10) || '- conversation: ' || conv_id || chr(10) || '- by machine' || chr(10) || chr(10)
+  || string_agg('**[' || {_STAMP.format("start_ms")} || '–' || {_STAMP.format("end_ms")} || ']** ' || regexp_replace(text, '\\s+', ' ', 'g'), chr(10) || chr(10) ORDER BY start_ms, end_ms), '\\s+$', '') || chr(10)) AS sha256 FROM seg GROUP BY conv_id""")
+def transcript_markdown(spark, d):
+    out = records.transcript_markdown(*_titled(spark, d)[:1], "conv_id", *_titled(spark, d)[1:])
+    return out.select("conv_id", F.sha2("markdown", 256).alias("sha256"))
+
+
+@query("""SELECT conv_id, CAST(5 AS INTEGER) AS n_files, CAST(count(*) AS BIGINT) AS segments, CASE conv_id % 4 WHEN 1 THEN 'transcript.srt is missing' WHEN 2 THEN 'transcript.json has changed' WHEN 3 THEN 'no manifest' ELSE '' END AS issues FROM conversations GROUP BY conv_id""")
+def transcript_bundles(spark, d):
+    """Bundles, and what is found after a file went, changed, or the manifest went."""
+    rows, title, lines = _titled(spark, d)
+    made = records.bundle(rows, "conv_id", title, lines)
+    kind = F.col("conv_id") % 4
+    gone = F.when(kind == 1, "transcript.srt").when(kind == 3, "manifest.json").otherwise("")
+    kept = F.filter("files", lambda x: x["name"] != gone)
+    spoilt = F.transform(kept, lambda x: x.withField("content", F.when((kind == 2) & (x["name"] == "transcript.json"), F.concat(x["content"], F.lit(" "))).otherwise(x["content"])))
+    found = records.bundle_issues(made.select("conv_id", spoilt.alias("files")), "conv_id")
+    count = F.from_json(F.element_at("files", -1)["content"], "segment_count long")["segment_count"]
+    return made.select("conv_id", F.size("files").alias("n_files"), count.alias("segments")).join(found.select("conv_id", F.array_join("issues", "|").alias("issues")), "conv_id")
+
+
+@query("""SELECT 'R' || lpad(CAST(item_id AS VARCHAR), 3, '0') AS id, '| R' || lpad(CAST(item_id AS VARCHAR), 3, '0') || ' | ' || replace(regexp_replace(text, chr(10), ' ', 'g'), '|', chr(92) || '|') || ' / not given | ' ||
+  CASE WHEN item_id % 2 = 0 THEN 'not given' ELSE '[source](<https://e.org/' || item_id || '>)' END || ' | [file 1](<a.md>); [file 2](<b.png>) |' AS line FROM benchmark""")
+def reference_index(spark, d):
+    url = F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("https://e.org/"), F.col("item_id").cast("string")))
+    rows = table(spark, d, "benchmark").select(F.concat(F.lit("R"), F.lpad(F.col("item_id").cast("string"), 3, "0")).alias("id"), F.col("text").alias("title"), F.lit("").alias("publisher"), url.alias("url"), F.array(F.lit("a.md"), F.lit("b.png")).alias("files"))
+    return records.reference_index(rows)
+
+
+@query(f"""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings)
+SELECT vec_id, CASE WHEN round(abs(e[1]), 6) < 0.015 THEN 'low_information' END AS status, 'a.md|b.pdf' AS refs FROM x""")
+def frame_status(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.round(F.abs(F.get("embedding", F.lit(0)).cast("double")), 6).alias("score"))
+    return frames.with_references(frames.informative(rows), ["a.md", "b.pdf"]).select("vec_id", "status", F.array_join("references", "|").alias("refs"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'pending' WHEN vec_id % 5 = 0 OR vec_id % 7 = 0 THEN 'refused' ELSE 'done' END AS action FROM embeddings""")
+def frame_resume(spark, d):
+    """Frames of an extraction that is taken up again: of some the source changed, others had another threshold."""
+    sign = lambda x: frames.signature({"threshold": x, "hamming": 5, "retention": "keep"})
+    rows = table(spark, d, "embeddings").select("vec_id", F.lit("a").alias("source_sha256"), sign(0.28).alias("signature"))
+    other = F.when(F.col("vec_id") % 7 == 0, sign(0.3)).otherwise(F.col("signature"))
+    done = rows.where("vec_id % 3 <> 0").select("vec_id", F.when(F.col("vec_id") % 5 == 0, "b").otherwise("a").alias("source_sha256"), other.alias("signature"))
+    return frames.resume(rows, done, "vec_id").select("vec_id", "action")
+
+
+_FILES = "f AS (SELECT 'p' || (doc_id // 10) AS project, 'p' || (doc_id // 10) || '/n' || (doc_id % 4) || CASE doc_id % 6 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MP3' WHEN 2 THEN '.wav' WHEN 3 THEN '.srt' ELSE '.md' END AS path, n_chars, doc_id FROM documents)"
+
+
+def _files(spark, d):
+    project = F.concat(F.lit("p"), F.expr("doc_id div 10").cast("string"))
+    ends = F.element_at(F.array(*map(F.lit, (".mp4", ".MP3", ".wav", ".srt", ".md", ".md"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, d, "documents").select(project.alias("project"), F.concat(project, F.lit("/n"), (F.col("doc_id") % 4).cast("string"), ends).alias("path"), F.col("n_chars").cast("long").alias("size"), "doc_id")
+
+
+@query(f"""WITH {_FILES}, k AS (SELECT project, regexp_replace(lower(path), '[.][^./]*$', '') AS stem, CASE WHEN path LIKE '%.mp4' THEN 'v' WHEN path LIKE '%.MP3' OR path LIKE '%.wav' THEN 'a' ELSE 't' END AS kind, path LIKE '%.srt' AS t FROM f)
+SELECT project, count(*) FILTER (WHERE kind = 'v') AS videos, count(*) FILTER (WHERE kind = 'a') AS audios, count(*) FILTER (WHERE t) AS transcripts,
+  count(*) FILTER (WHERE kind = 'a' AND NOT EXISTS (SELECT 1 FROM k o WHERE o.project = k.project AND o.stem = k.stem AND o.kind = 'v')) AS independent_audios FROM k GROUP BY project""")
+def material_counts(spark, d):
+    rows = _files(spark, d)
+    return planning.material_counts(rows.withColumn("transcript", F.col("path").endswith(".srt")))
+
+
+@query(f"WITH {_FILES} SELECT project AS root, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM f GROUP BY project")
+def tree_totals(spark, d):
+    return planning.tree_totals(_files(spark, d), F.col("project"))
+
+
+@query(f"WITH {_FILES} SELECT path, row_number() OVER (ORDER BY lower(path), path) AS place FROM (SELECT DISTINCT path FROM f)")
+def sorted_paths(spark, d):
+    """The paths of the first hundreds of files; a total order is the feature, so one window numbers them."""
+    return _files(spark, d).select("path").distinct().select("path", F.row_number().over(Window.orderBy(*planning.path_order(F.col("path")))).cast("long").alias("place"))
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT path FROM f WHERE path NOT LIKE '%.md' AND path NOT IN (SELECT path FROM f WHERE doc_id % 2 = 0)")
+def missing_outputs(spark, d):
+    rows = _files(spark, d)
+    return planning.missing_outputs(rows.select("path").distinct(), rows.where("doc_id % 2 = 0").select("path"), F.col("path").endswith(".md"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w, string_split(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ' ') AS c FROM conversations),
+n AS (SELECT *, CASE WHEN c IS NULL THEN 0 ELSE 6 END AS k FROM t)
+SELECT conv_id, turn, array_to_string(CASE WHEN len(w) > 16 - k THEN list_concat(list_slice(w, 1, (16 - k + 1) // 2), list_slice(w, len(w) - (16 - k) // 2 + 1, len(w))) ELSE w END, ' ') AS terms,
+  array_to_string(CASE WHEN len(c) > k THEN list_slice(c, len(c) - k + 1, len(c)) ELSE c END, ' ') AS context FROM n""")
+def prompt_budget(spark, d):
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("t"), F.split(before, " ").alias("c"))
+    out = planning.bounded_prompt(rows, "t", "c", 16)
+    return out.select("conv_id", "turn", F.array_join("terms_used", " ").alias("terms"), F.array_join("context_used", " ").alias("context"))
+
+
+@query(f"""WITH {_LOG} SELECT workflow_id, concat_ws('|', CASE WHEN stage1 <> 'complete' THEN 'stage 1 is not complete' END, 'stage 2 is not running', CASE WHEN CAST(workflow_id AS INTEGER) % 5 = 0 THEN 'no audit' END,
+  CASE WHEN CAST(workflow_id AS INTEGER) % 5 = 1 THEN 'the audit has issues' END, CASE WHEN CAST(workflow_id AS INTEGER) % 2 = 0 THEN 'the archive is not verified' END, CASE WHEN attempts > 3 THEN 'something depends on temporary files' END) AS blocked_by FROM state""")
+def completion_gate(spark, d):
+    states = _states(spark, d)
+    number = F.col("workflow_id").cast("int")
+    audits = states.where(number % 5 != 0).select("workflow_id", F.when(number % 5 == 1, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("issues"))
+    archives = states.select("workflow_id", (number % 2 == 1).alias("verified"))
+    left = states.where("attempts > 3").select("workflow_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("path"))
+    return workflow.completion_gate(states, audits, archives, left).select("workflow_id", F.array_join("blocked_by", "|").alias("blocked_by"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS workflow_id, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 7 END AS chunks, CASE WHEN doc_id % 4 = 0 AND doc_id % 8 = 0 THEN 'old' ELSE sha256(text) END AS source_sha256, CASE WHEN doc_id % 8 = 0 THEN 'refused' WHEN doc_id % 4 = 0 THEN 'existing' ELSE 'created' END AS status FROM documents")
+def initial_states(spark, d):
+    plans = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("workflow_id"), F.lit(7).alias("chunks"), F.sha2("text", 256).alias("source_sha256"))
+    number = F.col("workflow_id").cast("long")
+    old = plans.where(number % 4 == 0).select("workflow_id", F.lit(3).alias("chunks"), F.when(number % 8 == 0, "old").otherwise(F.col("source_sha256")).alias("source_sha256"))
+    return workflow.initial_states(plans, old)
+
+
+@query(f"""WITH {_SEG}, c AS (SELECT conv_id, turn // 4 AS chunk_index, start_ms, end_ms, text FROM seg WHERE NOT (conv_id % 3 = 0 AND turn // 4 = 1)),
+n AS (SELECT conv_id, count(DISTINCT turn // 4) AS chunks FROM seg GROUP BY conv_id)
+SELECT conv_id, count(*) AS segment_count, sha256(string_agg(start_ms || ' ' || end_ms || ' ' || text, chr(10) ORDER BY start_ms, end_ms, chunk_index)) AS sha256 FROM c GROUP BY conv_id HAVING count(DISTINCT chunk_index) = (SELECT chunks FROM n WHERE n.conv_id = c.conv_id)""")
+def merged_parts(spark, d):
+    rows = _segments(spark, d).withColumn("chunk_index", F.expr("turn div 4"))
+    parts = rows.groupBy("conv_id").agg(F.countDistinct("chunk_index").alias("chunks"))
+    return workflow.merge_parts(rows.where(~((F.col("conv_id") % 3 == 0) & (F.col("chunk_index") == 1))), parts, "conv_id")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS size, sha256(text) AS sha256, CASE WHEN lang <> 'en' THEN 'left_out' WHEN (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND lang = 'en') > 0 THEN 'blocked' ELSE 'export' END AS status FROM documents""")
+def export_gate(spark, d):
+    rows = table(spark, d, "documents").select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), "text", "doc_id", "lang")
+    bad = rows.join(table(spark, d, "labels").where("toxic = 1"), "doc_id").select("path")
+    return planning.findings_gate(bad, rows, ["en"]).select(F.substring_index("path", "/", -1).alias("path"), "size", "sha256", "status")

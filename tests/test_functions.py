@@ -312,3 +312,28 @@ def test_posts_on_saved_pages(spark):
     assert (card["post_id"], card["text"], [q["post_id"] for q in card["quoted_posts"]], card["published_at"]) == ("9", "outer", ["2"], None)
     rows = spark.createDataFrame([("a", '<x data-testid="tweet">'), ("b", "<p>tweet"), ("c", '<meta property="og:url" content="https://x.com/u">')], "id string, html string")
     assert [r[0] for r in rows.select(posts.is_post_page(F.col("html"))).collect()] == [True, False, True]
+
+
+def test_logs_out_of_place(spark):
+    events = [("w", 1, "chunk_done", 1), ("w", 2, "run", 1), ("w", 2, "run", 1), ("w", 3, "approve", None), ("w", 4, "chunk_done", 1), ("w", 5, "run", 2), ("w", 6, "merge_ok", None), ("w", 7, "chunk_failed", 2), ("w", 8, "stage2_start", None)]
+    plans = spark.createDataFrame([("w", 2, False), ("v", 1, False)], "workflow_id string, chunks int, staged boolean")
+    states = workflow.fold(spark.createDataFrame(events, "workflow_id string, seq long, event string, chunk_index int"), plans)
+    got = {r["workflow_id"]: (r["stage1"], r["completed"], r["attempts"], r["merge"], r["stage2"], r["revision"]) for r in states.collect()}
+    assert got == {"w": ("failed_recoverable", [1], 2, "pending", "pending", 8), "v": ("ready", [], 0, "pending", "pending", 0)}
+
+
+def test_json_files_and_pairs(spark, tmp_path):
+    from corpusmill.sources import records
+
+    (tmp_path / "a.jsonl").write_bytes("﻿{\"x\": 1}\n\n{\"x\": 2\n[3]\n{\"x\": 4}\n".encode())
+    (tmp_path / "b.json").write_bytes("﻿{\n \"x\": 5\n}\n".encode())
+    lines = records.read_jsonl(spark, str(tmp_path / "a.jsonl"), "x int").collect()
+    assert [(r["record"] and r["record"]["x"], r["error"]) for r in lines] == [(1, None), (None, "not a JSON object"), (None, "not a JSON object"), (4, None)]
+    assert [r["record"]["x"] for r in records.read_json(spark, str(tmp_path / "b.json"), "x int").collect()] == [5]
+    pairs = records.article_pair(spark.createDataFrame([(1, "T", None, "body")], "id long, t string, a string, b string"), "id", F.col("t"), {"author": F.col("a")}, F.col("b"))
+    records.write_article_pairs(pairs, str(tmp_path / "out"), "id")
+    row = spark.read.parquet(str(tmp_path / "out" / "metadata")).join(spark.read.parquet(str(tmp_path / "out" / "bodies")), "id").first()
+    assert row["body_markdown"] == "# T\n\nbody\n" and '"author":null' in row["metadata_json"] and '"output_bytes":10' in row["metadata_json"]
+    with pytest.raises(Exception):
+        records.write_article_pairs(pairs, str(tmp_path / "out"), "id")
+    assert spark.range(1).select(workflow.now_iso()).first()[0].endswith("Z")
