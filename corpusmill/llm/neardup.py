@@ -357,8 +357,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     # a class goes by a short hash here; where two share one, both are candidates, which verification settles
     short = F.xxhash64("cls").alias("h")
     bands = reps.select(F.explode("keys").alias("key"), short)
-    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor("h").alias("x")).where("size > 1")
-    buckets = buckets.groupBy("size", "x").agg(F.min("key").alias("key")).select("key", "size")
+    # buckets are the same if their sizes and two sums of their members' hashes are, of 64 and of 34 bits and more
+    buckets = bands.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 30)).alias("y")).where("size > 1")
+    buckets = buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     # merge joins at every size: what is small on one input is not on the next
     members = bands.join(buckets.hint("merge"), "key").join(reps.select(short, "cls", "rep", "n", "sig").hint("merge"), "h").drop("h")
     found = scratch.keep(clusters(members, percent), "clusters")
