@@ -95,7 +95,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, id_col
     long_texts(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed", "n_runs")
-    gone = removed_lines(docs, min_lines, min_words, scratch, id_col, text_col).withColumnRenamed("copies", "_gone")
+    gone = scratch.keep(removed_lines(docs, min_lines, min_words, scratch, id_col, text_col).withColumnRenamed("copies", "_gone"), "copies")
+    scratch.sweep(gone)
     on: Column = F.col(f"d.{id_col}").eqNullSafe(F.col("g._doc")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("g._version"))
     both = docs.alias("d").join(gone.alias("g"), on, "left").select("d.*", "g._gone")
     names = docs.columns

@@ -23,7 +23,7 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -53,19 +53,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS: dict[bytes, bytes] = {}
+def hashed_words(texts: list[str], most: int = 1 << 23) -> tuple[list[bytes], list[np.ndarray]]:
+    """Of each text its words (A-Z lower-cased, split at ASCII blanks) joined by blanks, and a 64-bit hash of each word.
 
-
-def word_hashes(docs: list[list[bytes]], limit: int = 300_000) -> list[np.ndarray]:
-    """A 64-bit hash of each word; the first different words that a worker meets are kept."""
+    ``most`` characters at a time, or one text; the different words of a part are found by Arrow and hashed once.
+    """
     import xxhash
 
-    new = list(set().union(*docs).difference(_WORDS))
-    _WORDS.update((w, xxhash.xxh3_64_intdigest(w).to_bytes(8, "little")) for w in new)
-    out = [np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), "<u8") for words in docs]
-    for w in new[: max(0, len(_WORDS) - limit)]:
-        del _WORDS[w]
-    return out
+    joined, hashes, first, size = [], [], 0, 0
+    for k in range(len(texts) + 1):
+        if k < len(texts) and (k == first or size + len(texts[k]) <= most):
+            size += len(texts[k])
+            continue
+        if first < k:
+            trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts[first:k], pa.large_string())))
+            split = pc.ascii_split_whitespace(trimmed)
+            each = split.flatten().dictionary_encode()
+            known = np.array([xxhash.xxh3_64_intdigest(w) for w in each.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64)
+            all_words, ends = known[each.indices.to_numpy()] if len(known) else np.zeros(0, np.uint64), split.offsets.to_numpy()
+            joined += pc.binary_join(split, pa.scalar(" ", pa.large_string())).cast(pa.large_binary()).to_pylist()
+            hashes += [all_words[x:y] if j else all_words[:0] for x, y, j in zip(ends[:-1].tolist(), ends[1:].tolist(), joined[-(k - first) :])]
+        first, size = k, len(texts[k]) if k < len(texts) else 0
+    return joined, hashes
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -88,11 +97,6 @@ def minhashes(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(text: str) -> list[bytes]:
-    """A-Z lower-cased, split at ASCII blanks."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def banding(percent: int) -> np.ndarray:
     """The hashes of each band: the longest bands with which a pair at this similarity is missed BAND_MISS times at most."""
     bands, rows = BANDS, ROWS
@@ -108,10 +112,10 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def each(batch: pa.RecordBatch):
         import xxhash
 
-        words = [words_of(t) for t in texts_of(batch, "text")]
-        cls = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+        joined, hashes = hashed_words(texts_of(batch, "text"))
+        cls = [xxhash.xxh3_128_digest(w) for w in joined]
         n, sigs, keys = [], [], []
-        for h in word_hashes(words):
+        for h in hashes:
             found = shingles(h, size)
             n.append(len(found))
             if not len(found):
@@ -197,7 +201,7 @@ def groups(batches, key: list[str], rows: int = 20_000):
         change = np.zeros(held.num_rows - 1, bool)
         for k in key:
             c = held.column(k).combine_chunks()
-            change |= ~np.asarray(pa.compute.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
+            change |= ~np.asarray(pc.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
         at = np.flatnonzero(change)
         if len(at):
             cut = int(at[-1]) + 1
@@ -211,7 +215,7 @@ def sizes_of(table: pa.Table, key: list[str]) -> np.ndarray:
     change = np.zeros(table.num_rows - 1, bool)
     for k in key:
         c = table.column(k).combine_chunks()
-        change |= ~np.asarray(pa.compute.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
+        change |= ~np.asarray(pc.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
     return np.diff(np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]]))
 
 
@@ -266,11 +270,11 @@ def links(members: DataFrame, percent: int, size: int) -> DataFrame:
         for table in groups(batches, ["sub"], 256):
             again = sizes_of(table, ["sub", "cls"])  # rows of one class, from repeated rows of the input, count once
             table = table.take(pa.array(np.cumsum(again) - again))
-            words = [words_of(t) for t in texts_of(table, "text")]
+            joined, hashes = hashed_words(texts_of(table, "text"))
             cls = table.column("cls").to_pylist()
             # another text under the same id is no member
-            same = np.array([xxhash.xxh3_128_digest(b" ".join(w)) == c for w, c in zip(words, cls)])
-            grams = [shingles(h, size) for h in word_hashes(words)]
+            same = np.array([xxhash.xxh3_128_digest(w) == c for w, c in zip(joined, cls)])
+            grams = [shingles(h, size) for h in hashes]
             rep, out_a, out_b, at = table.column("rep").to_numpy(), [], [], 0
             for m in sizes_of(table, ["sub"]).tolist():
                 own = at + np.flatnonzero(same[at : at + m])
@@ -369,6 +373,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, id_col: s
     true = links(texts.withColumnRenamed("doc_id", "rep"), percent, size)
     copies = seen.join(classes, "cls").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     linked_ids = components(true.union(copies), scratch).withColumnRenamed("node", "doc_id")
+    scratch.sweep(seen, linked_ids)
     out = seen.select("doc_id", F.col("n").alias("n_shingles")).join(linked_ids, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

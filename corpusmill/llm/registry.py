@@ -35,14 +35,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: source/thousands/hundreds/id.txt; each hundredth is the licence file of its directory."""
-    path = F.concat_ws("/", "source", F.concat(F.lit("t"), F.floor(F.col("doc_id") / 1000)), F.concat(F.lit("h"), F.floor(F.col("doc_id") / 100)), F.concat(F.col("doc_id"), F.lit(".txt")))
+    """Documents as files: source/thousands/hundreds/id.txt; each hundredth is a licence file, that of its hundreds, or
+    of its thousands if it is a thousandth, or of all if it is a hundred thousandth."""
+    number = F.col("doc_id")
+    part = lambda letter, n: F.concat(F.lit(letter), F.floor(number / n))
+    path = F.concat_ws("/", F.lit("source"), F.when(number % 100_000 != 0, part("t", 1000)), F.when(number % 1000 != 0, part("h", 100)), F.concat(number, F.lit(".txt")))
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     found = licenses.scan(files, F.col("doc_id") % 100 == 0)
     return found.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "path", "own_license", "own_score", "license", "from_dir")
 
 
-OP3_FILES = """SELECT source || '/t' || (doc_id // 1000) || '/h' || (doc_id // 100) || '/' || doc_id || '.txt' AS path, text, doc_id % 100 = 0 AS is_file FROM documents"""
+OP3_FILES = """SELECT 'source/' || CASE WHEN doc_id % 100000 <> 0 THEN 't' || (doc_id // 1000) || '/' ELSE '' END || CASE WHEN doc_id % 1000 <> 0 THEN 'h' || (doc_id // 100) || '/' ELSE '' END || doc_id || '.txt' AS path,
+  text, doc_id % 100 = 0 AS is_file FROM documents"""
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +56,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def packing_under_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's packing where all three capacities bind: 1024 tokens, 4 documents, and an attention cost that leaves a piece of 600 tokens no more than one of 300."""
+    from . import packing
+
+    limits = packing.Limits(tokens=1024, documents=4, attention=450_000, weights=(1.0, 0.5, 0.5), rule="dot")
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokens=600)
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length"), limits)
+
+
 def op8_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_files
     from .shared import Scratch
@@ -108,8 +121,6 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import licenses, line_dedup, quality
-
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
 
 
@@ -118,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "packing_under_capacities": packing_under_capacities,
     "op5_reply_trees": op5_reply_trees,
     "op6_distribution_divergence": op6_distribution_divergence,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,

@@ -40,6 +40,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.kept: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
@@ -48,6 +49,7 @@ class Scratch:
         """Write df and read it back."""
         where = self.path(name)
         df.write.parquet(where)
+        self.kept.append(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, df: DataFrame) -> None:
@@ -56,6 +58,14 @@ class Scratch:
             delete(self.spark, file)
 
 
+    def sweep(self, *needed: DataFrame) -> None:
+        """Delete all tables that keep() returned but those that these frames read."""
+        read = {f.rpartition("/")[0].rpartition("/")[2] for df in needed for f in df.inputFiles()}
+        for where in self.kept:
+            if where.rpartition("/")[2] not in read:
+                delete(self.spark, where)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -74,6 +74,24 @@ def test_packing(spark, docs, none):
     assert [(r["doc_id"], r["offset"]) for r in packing.pack(odd).orderBy("doc_id").collect()] == [(1, 0), (2, None), (3, None)]
 
 
+def test_packing_under_capacities(spark):
+    from corpusmill.llm.registry import packing_under_capacities
+
+    bins = {}
+    for r in packing_under_capacities(spark, "/root/testdata/sf0.001").collect():
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    full = [0, 0, 0]
+    for rows in bins.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        cost = sum(n * n for _, n in rows)
+        assert at <= 1024 and len(rows) <= 4 and cost <= 450_000
+        full = [full[0] + (at > 1000), full[1] + (len(rows) == 4), full[2] + (cost > 440_000)]
+    assert all(full)
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
