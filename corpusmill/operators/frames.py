@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def difference_hash(values: Column, bits: int = 63) -> Column:
     """Bit i is set if value i is greater than its right neighbour; least significant bit first."""
@@ -79,16 +81,14 @@ def greedy_keep(items: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataF
     of them is kept; the representative is the earliest kept neighbour.  Items in no pair are kept at once and
     never enter the rounds.
     """
-    spark = items.sparkSession
     ids = items.select(F.col(id_col).alias("id")).distinct()
-    edges = pairs.select("a", "b").where("a < b").distinct()
-    edges = edges.checkpoint() if spark.sparkContext.getCheckpointDir() else edges.persist()
+    edges = cut(pairs.select("a", "b").where("a < b").distinct())
     state = edges.select(F.col("b").alias("id")).union(edges.select(F.col("a").alias("id"))).distinct().withColumn("s", F.lit(0))
     while True:
         # s: 0 open, 1 kept, 2 rejected
         before = edges.join(state.select(F.col("id").alias("a"), "s"), "a").groupBy(F.col("b").alias("id")).agg(F.max((F.col("s") == 1).cast("int")).alias("near"), F.min((F.col("s") == 2).cast("int")).alias("free"))
         new = state.join(before, "id", "left").select("id", F.when(F.col("s") != 0, F.col("s")).when(F.col("near") == 1, 2).when(F.coalesce("free", F.lit(1)) == 1, 1).otherwise(0).alias("s"))
-        state = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
+        state = cut(new)
         if not state.where("s = 0").limit(1).count():
             break
     kept = edges.join(state.where("s = 1").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 _FENCE = re.compile(r"^[ ]{0,3}(`{3,}|~{3,})[^\n]*\n.*?(?:^[ ]{0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 _TICKS = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _DEFINITION = re.compile(r"^[ ]{0,3}\[[^\]\n]+\]:[ \t]*(<[^>\n]*>|\S+)", re.M)
@@ -110,11 +112,9 @@ def closure(edges: DataFrame, starts: DataFrame, expand: Column | None = None, r
     """start, node: all that can be reached from each start (node) over edges (src, dst), itself included.
 
     Only nodes for which ``expand`` (a condition on ``node``) holds are followed.  Each round follows what the last one
-    reached for the first time, so circles end; rounds are written to the checkpoint folder where there is one.
+    reached for the first time, so circles end; rounds are written to the checkpoint folder.
     ``rounds`` bounds them: if the last one still reaches new nodes, that is an error.
     """
-    spark = edges.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
     edges = edges.select("src", "dst").distinct()
     seen = front = cut(starts.select(F.col("node").alias("start"), "node").distinct())
     for n in itertools.count(1):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "corpusmill", **conf: str) -> SparkSession:
@@ -15,3 +17,17 @@ def session(app: str = "corpusmill", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset a local session gets a folder of its own, and a cluster an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="corpusmill-"))
+    return df.checkpoint()

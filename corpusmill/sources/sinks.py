@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -28,8 +30,7 @@ def write_new(df: DataFrame, path: str, key: str, content: str, kind: str = "par
     run = f"{path.rstrip('/')}_manifest"
     n = len(spark.read.parquet(run).select("run").distinct().collect()) if exists(spark, run) else 0
     receipt = marked.select(F.lit(n).alias("run"), F.col(key).cast("string").alias("key"), F.col("_sha").alias("sha256"), "status")
-    staged = receipt.checkpoint() if spark.sparkContext.getCheckpointDir() else receipt.persist()
-    staged.count()
+    staged = cut(receipt)
     marked.where("status = 'created'").select(df.columns).write.format(kind).mode("append").save(path)
     staged.write.mode("append").parquet(run)
     return staged
