@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import Scratch, components, long_texts, map_arrow, texts_of
+from .shared import Scratch, components, give_back, long_texts, map_arrow, texts_of
 
 HASHES, BANDS, ROWS = 256, 36, 7
 BATCH = 32
@@ -53,7 +53,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(texts: list[str], most: int = 1 << 23) -> tuple[list[bytes], list[np.ndarray]]:
+def hashed_words(texts: list[str], most: int = 1 << 22) -> tuple[list[bytes], list[np.ndarray]]:
     """Of each text its words (A-Z lower-cased, split at ASCII blanks) joined by blanks, and a 64-bit hash of each word.
 
     ``most`` characters at a time, or one text; the different words of a part are found by Arrow and hashed once.
@@ -256,6 +256,7 @@ def clusters(members: DataFrame, percent: int) -> DataFrame:
                 name = hashlib.blake2b(b"".join(sorted(cls[k] for k in used[x:y])), digest_size=16).digest()
                 subs[x:y] = [name] * (y - x)
             yield pa.RecordBatch.from_arrays([pa.array(subs, pa.binary()), pa.array([cls[k] for k in used], pa.binary()), pa.array(rep[used])], ["sub", "cls", "rep"])
+        give_back()
 
     in_order = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return in_order.mapInArrow(bucket, "sub binary, cls binary, rep long").distinct()
@@ -291,6 +292,7 @@ def links(members: DataFrame, percent: int, size: int) -> DataFrame:
                     out_a.extend(rep[own[root[ok]]].tolist()), out_b.extend(rep[own[ok]].tolist())
                 at += m
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        give_back()
 
     return members.repartition("sub").sortWithinPartitions("sub", "cls").mapInArrow(verify, "a long, b long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -81,6 +82,15 @@ def long_texts(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", small)
 
 
+def give_back() -> None:
+    """Give freed memory back at the end of a task: idle Python workers stay, and count, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 
@@ -88,7 +98,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBat
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(each, schema)
 
@@ -164,17 +174,18 @@ class WordCodes:
             runs = [k for k in runs if new[k][0] != "\n"]
             for k in bare:
                 codes[k] = self.feed + np.array([t.id for t in self.model.tokenize(new[k][1:].translate(self.letters))], "<u2").tobytes()
-        if runs:
-            text = " ".join(map(new.__getitem__, runs))
+        for start in range(0, len(runs), 20_000):  # the library's record of a text takes far more than its ids
+            some = runs[start : start + 20_000]
+            text = " ".join(map(new.__getitem__, some))
             text = " ".join(self.blank + x for x in text.translate(self.letters).split(" ")) if self.join else text.lower().translate(self.letters)
             ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
             at = np.flatnonzero(self.at_border[ids])
             at = [*at.tolist(), len(ids)] if self.join else [0, *(at + 1).tolist()]
+            if len(at) != len(some) + 1:
+                raise ValueError("a vocabulary whose words have no borders")
             flat = ids.tobytes()
-            for k, x, y in zip(runs, at, at[1:]):
+            for k, x, y in zip(some, at, at[1:]):
                 codes[k] = flat[2 * x : 2 * y]
-            if len(at) != len(runs) + 1:
-                raise ValueError("a vocabulary whose words have no borders")
         pieces = [new[k] if not self.join or new[k][0] == "\n" else " " + new[k] for k in hard]
         for k, code in zip(hard, self.whole(pieces)):
             codes[k] = code
