@@ -133,9 +133,10 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), length_col: str = "length
     counts = {r["_n"]: r["k"] for r in rows.where("_n > 0").groupBy("_n").agg(F.count("*").alias("k")).collect()}
     runs = plan(counts, limits)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    lengths = rows.sparkSession.createDataFrame([(int(n), int(-(-k // 20_000))) for n, k in counts.items()], "_n long, _salts int")
+    salts = [(int(n), int(-(-k // max(2_000, -(-k // 10_000))))) for n, k in counts.items()]
+    lengths = rows.sparkSession.createDataFrame(salts, "_n long, _salts int")
     # The number of a piece within its length: a salted count, so that a length that a third of all pieces has
-    # is counted by many tasks.  lengths has a row for each length at most.
+    # is counted by many tasks, 2000 pieces and more by each and by at most 10,000.  lengths has a row for each length.
     salted = rows.join(F.broadcast(lengths), "_n", "left").withColumn("_salt", F.pmod(F.xxhash64(*order), F.coalesce("_salts", F.lit(1))))
     before = Window.partitionBy("_n").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("_n", "_salt").agg(F.count("*").alias("_k")).withColumn("_base", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
