@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, quality
+from . import licenses, line_dedup, quality, repair
 
 
 def tokenizer_file(name: str) -> str:
@@ -124,6 +124,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of all conversations after a fixed damage."""
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_projection_forest": op1_projection_forest,
     "op2_token_counts": op2_token_counts,
@@ -136,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_huffman_token_files": op8_huffman_token_files,
     "op9_piece_codec": op9_piece_codec,
     "op10_line_dedup": op10_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 #: By query, SQL for the same rows.
@@ -147,4 +153,5 @@ ORACLES: dict[str, str] = {
     + """SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE f.kept_text END AS text, CAST(coalesce(f.n_lines, 0) AS BIGINT) AS n_lines,
     CAST(coalesce(f.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(f.n_runs, 0) AS BIGINT) AS n_runs
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id""",
+    "op12_conversation_repair": repair.SQL,
 }
