@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, quality, repair
+from . import licenses, line_dedup, negatives, quality, repair
 
 
 def tokenizer_file(name: str) -> str:
@@ -129,6 +129,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each hundredth row, with each seventh label off by one."""
+    return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_projection_forest": op1_projection_forest,
     "op2_token_counts": op2_token_counts,
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_codec": op9_piece_codec,
     "op10_line_dedup": op10_line_dedup,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: By query, SQL for the same rows.
@@ -154,4 +160,5 @@ ORACLES: dict[str, str] = {
     CAST(coalesce(f.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(f.n_runs, 0) AS BIGINT) AS n_runs
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id""",
     "op12_conversation_repair": repair.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
