@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, negatives, quality, repair
+from . import language, licenses, line_dedup, negatives, quality, repair
 
 
 def tokenizer_file(name: str) -> str:
@@ -124,6 +124,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "n_runs")
 
 
+def op11_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the text and language of two thirds of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out().alias("held_out"))
+    model = language.fit(docs.where("NOT held_out"))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of all conversations after a fixed damage."""
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
@@ -146,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_huffman_token_files": op8_huffman_token_files,
     "op9_piece_codec": op9_piece_codec,
     "op10_line_dedup": op10_line_dedup,
+    "op11_byte_network": op11_byte_network,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
