@@ -1,41 +1,93 @@
 """Ranked search over an archive by weighted term overlap.
 
-terms -> frequencies -> document frequencies and norms -> score against one query -> top k.  The query's vector
-is one row per term of one text and is broadcast; so nothing else of the corpus is moved than partial sums.
+All terms of a document lie in its row, so they are counted there: frequencies, the document's norm and which terms stand in
+its title need no shuffle.  What is moved are the terms that a query shares.  operators/postings.py answers many
+queries from an index that lasts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_TERMS, headings, term_length_weight
 from ..functions.unicode import with_folded
+from ..session import cut
 
 LATIN = r"([a-z][a-z0-9._+\-]+|(?:19|20)[0-9]{2}|[0-9]+(?:\.[0-9]+)?(?:亿元|万元|万|亿|%|％|年|月|日|人|次|家|岁))"
 CJK_RUN = r"([㐀-鿿]{2,})"
 
 
-def weighted_terms(folded: Column) -> Column:
-    """array of (term, weight) of a folded text: Latin words, years and numbers with units count 1; a run of 2 to 8
-    CJK characters counts 2, and each of its pairs, triples and quadruples 1."""
-    plain = F.transform(F.regexp_extract_all(folded, F.lit(LATIN), F.lit(1)), lambda t: F.struct(t.alias("term"), F.lit(1).alias("w")))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once for all its uses inside f."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def term_list(folded: Column) -> Column:
+    """The terms of a folded text, each as often as it counts: Latin words, years and numbers with units once; a run of 2 to 8
+    CJK characters twice, and each of its pairs, triples and quadruples once."""
+    plain = F.regexp_extract_all(folded, F.lit(LATIN), F.lit(1))
     runs = F.regexp_extract_all(folded, F.lit(CJK_RUN), F.lit(1))
-    whole = F.transform(F.filter(runs, lambda r: F.length(r) <= 8), lambda r: F.struct(r.alias("term"), F.lit(2).alias("w")))
+    whole = F.filter(runs, lambda r: F.length(r) <= 8)
 
     def grams(r: Column, n: int) -> Column:
         at = F.when(F.length(r) >= n, F.sequence(F.lit(1), F.length(r) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda k: F.struct(F.substring(r, k, F.lit(n)).alias("term"), F.lit(1).alias("w")))
+        return F.transform(at, lambda k: F.substring(r, k, F.lit(n)))
 
     parts = F.flatten(F.transform(runs, lambda r: F.concat(grams(r, 2), grams(r, 3), grams(r, 4))))
-    return F.filter(F.concat(plain, whole, parts), lambda x: ~x["term"].isin(*STOP_TERMS))
+    # a text without CJK characters, known by one look, has neither runs nor stop terms
+    cjk = F.filter(F.concat(plain, whole, whole, parts), lambda t: ~t.isin(*STOP_TERMS))
+    return F.when(folded.rlike(CJK_RUN), cjk).otherwise(plain)
+
+
+#: Behind a term that stands in the title; no term holds it, so a marked term comes right after its plain copies.
+MARK = "\x01"
+
+
+def counted(terms: Column, title: Column | None = None) -> Column:
+    """array of (term, tf, titled) for a list of terms: sorted, so that equal ones are neighbours.  titled: is it among
+    ``title``, another list?"""
+    body = terms if title is None else F.concat(terms, F.transform(F.array_distinct(title), lambda t: F.concat(t, F.lit(MARK))))
+
+    def runs(s: Column) -> Column:
+        at = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def each(b: Column) -> Column:
+            def one(i: Column, k: Column) -> Column:
+                stop = F.get(b, k + 1)
+                titled = F.coalesce(F.get(s, stop) == F.concat(F.get(s, i), F.lit(MARK)), F.lit(False)) if title is not None else F.lit(False)
+                return F.struct(F.get(s, i).alias("term"), (F.coalesce(stop, F.size(s)) - i).cast("long").alias("tf"), titled.alias("titled"))
+
+            found = F.transform(b, one)
+            return found if title is None else F.filter(found, lambda x: ~F.endswith(x["term"], F.lit(MARK)))
+
+        return _let(F.filter(at, lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1))), each)
+
+    return F.coalesce(_let(F.sort_array(body), runs), F.array().cast("array<struct<term:string,tf:bigint,titled:boolean>>"))
+
+
+def root_of_squares(terms: Column) -> Column:
+    """Root of the sum of squared damped frequencies."""
+    return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.pow(1 + F.ln(t["tf"]), F.lit(2.0))))
+
+
+def documents_with_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None) -> DataFrame:
+    """id, norm, terms array<struct<term, tf, titled>> of each document.  Null texts have no terms."""
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), *([title.alias("_h")] if title is not None else []))
+    folded = with_folded(plain, "_t", "_x")
+    if title is None:
+        terms = counted(term_list(F.col("_x")))
+    else:
+        folded = with_folded(folded, "_h", "_y")
+        terms = counted(term_list(F.col("_x")), F.coalesce(term_list(F.col("_y")), F.array().cast("array<string>")))
+    return folded.select("id", terms.alias("terms")).select("id", root_of_squares(F.col("terms")).alias("norm"), "terms")
 
 
 def term_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, term, tf long.  Null texts have no terms."""
-    folded = with_folded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), "_t", "_x")
-    terms = folded.select("id", F.explode(weighted_terms(F.col("_x"))).alias("e")).select("id", "e.term", "e.w")
-    return terms.groupBy("id", "term").agg(F.sum("w").cast("long").alias("tf"))
+    """id, term, tf long: a row for each term of each row of docs."""
+    return documents_with_terms(docs, id_col, text_col).select("id", F.explode("terms").alias("e")).select("id", "e.term", "e.tf")
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -49,49 +101,69 @@ def norms(tf: DataFrame) -> DataFrame:
     return tf.groupBy("id").agg(F.sqrt(F.sum(damped * damped)).alias("norm"))
 
 
-def contributions(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None) -> DataFrame:
-    """id, term, value, norm: what each term shared with the query adds to a document's score.
+def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """query_id, term, q_tf, q_norm of each query."""
+    each = documents_with_terms(queries, id_col, text_col)
+    return each.select(F.col("id").alias("query_id"), F.col("norm").alias("q_norm"), F.explode("terms").alias("e")).select("query_id", "e.term", F.col("e.tf").alias("q_tf"), "q_norm")
+
 
-    query: one row with column ``text``.  title: the text whose terms count 2.5 times, by default the headings.
+def default_title(text_col: str) -> Column:
+    return F.array_join(headings(F.col(text_col)), "\n")
+
+
+def contributions(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None) -> DataFrame:
+    """query_id, id, term, value, norm: what each term that a document shares with a query adds to its score.
+
+    queries: query_id, text.  title: the text whose terms count 2.5 times, by default the headings.
     """
-    title = title if title is not None else F.array_join(headings(F.col(text_col)), "\n")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), title.alias("_h"))
-    q = term_frequency(query.select(F.lit(0).alias("id"), F.col("text")), "id", "text").select("term", F.col("tf").alias("q_tf"))
-    q_norm = q.agg(F.sqrt(F.sum((1 + F.ln("q_tf")) * (1 + F.ln("q_tf")))).alias("q_norm"))
-    # one pass makes the terms, their frequencies by document and the document's norm
-    tf = term_frequency(rows, "id", "_t")
-    norm = norms(tf)
-    # only terms of the query are counted over documents: a filter by the broadcast query comes first
-    shared = tf.join(F.broadcast(q), "term")
+    each = documents_with_terms(docs, id_col, text_col, title if title is not None else default_title(text_col))
+    tf = each.select("id", "norm", F.explode("terms").alias("e")).select("id", "norm", "e.*")
+    asked = cut(query_terms(queries))
+    # only terms of a query are counted over documents
+    shared = cut(tf.join(asked.select("term").distinct(), "term", "left_semi"))
     df = shared.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n"))
-    in_title = term_frequency(rows.where(F.length("_h") > 0), "id", "_h").join(F.broadcast(q.select("term")), "term", "left_semi").select("id", "term", F.lit(True).alias("titled"))
-    weighed = shared.join(F.broadcast(df.crossJoin(F.broadcast(total))), "term").join(in_title, ["id", "term"], "left").join(norm, "id").crossJoin(F.broadcast(q_norm))
-    value = (
-        (1 + F.ln("q_tf")) * (1 + F.ln("tf")) * (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1) * F.when(F.col("titled"), 2.5).otherwise(1.0) * term_length_weight(F.col("term"))
-    )
-    return weighed.select("id", "term", value.alias("value"), (F.col("q_norm") * F.col("norm")).alias("norm"))
+    total = docs.count()
+    value = (1 + F.ln("q_tf")) * (1 + F.ln("tf")) * (F.ln((F.lit(total) + 1) / (F.col("df") + 1)) + 1) * F.when(F.col("titled"), 2.5).otherwise(1.0) * term_length_weight(F.col("term"))
+    return shared.join(asked.join(df, "term"), "term").select("query_id", "id", "term", value.alias("value"), (F.col("q_norm") * F.col("norm")).alias("norm"))
 
 
-def search(docs: DataFrame, query: DataFrame, limit: int = 8, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, shared: int = 20) -> DataFrame:
-    """id, score, shared_terms: the best documents, best first, ties by id; documents that share no term are left out.
+def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, shared: int = 20) -> DataFrame:
+    """query_id, id, score, shared_terms for each query and each document that shares a term with it.
 
-    The limit (1 to 50) is the feature.  shared_terms: the terms that add most, then the longer, then in order.
+    shared_terms: the terms that add most, then the longer, then in order.
     """
-    if not 1 <= limit <= 50:
-        raise ValueError("limit is from 1 to 50")
-    found = scores(docs, query, id_col, text_col, title, shared)
-    return found.orderBy(F.desc("score"), "id").limit(limit)
+    return summed(contributions(docs, queries, id_col, text_col, title), shared)
 
 
-def scores(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, shared: int = 20) -> DataFrame:
-    each = contributions(docs, query, id_col, text_col, title)
+def summed(each: DataFrame, shared: int = 20) -> DataFrame:
     best = F.sort_array(F.collect_list(F.struct((-F.round("value", 9)).alias("v"), (-F.length("term")).alias("n"), "term")))
-    return each.groupBy("id").agg(
+    return each.groupBy("query_id", "id").agg(
         F.round(F.sum("value") / F.greatest(F.max("norm"), F.lit(1.0)), 6).alias("score"), F.transform(F.slice(best, 1, shared), lambda x: x["term"]).alias("shared_terms")
     )
 
 
+def ranked(found: DataFrame, paths: DataFrame, limit: int) -> DataFrame:
+    """found with rank: the best of each query, ties by the path's case-folded form.  paths: id, path."""
+    if not 1 <= limit <= 50:
+        raise ValueError("limit is from 1 to 50")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.lower("path"), "path", "id")
+    placed = found.join(paths.select("id", "path"), "id").withColumn("rank", F.row_number().over(order))
+    return placed.where(F.col("rank") <= limit).select("query_id", "rank", "id", "path", "score", "shared_terms")
+
+
+def search(docs: DataFrame, queries: DataFrame, limit: int = 8, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, shared: int = 20, path: Column | None = None) -> DataFrame:
+    """query_id, rank, id, path, score, shared_terms: the best documents of each query without an index.
+
+    queries: query_id and text, or text alone if there is one; documents that share no term are left out.  The limit
+    (1 to 50) is the feature.  path: by default the id as text.
+    """
+    if not 1 <= limit <= 50:
+        raise ValueError("limit is from 1 to 50")
+    asked = queries if "query_id" in queries.columns else queries.withColumn("query_id", F.lit(0))
+    paths = docs.select(F.col(id_col).alias("id"), (path if path is not None else F.col(id_col).cast("string")).alias("path"))
+    return ranked(scores(docs, asked, id_col, text_col, title, shared), paths, limit).orderBy("query_id", "rank")
+
+
 def excluding(docs: DataFrame, excluded: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without those of another table (the query itself, excluded paths, links)."""
     return docs.join(excluded.select(key).distinct(), key, "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times as M
-from ..operators import attribution, fidelity, frames, integrity, intervals, links, planning, runs, search, workflow
+from ..operators import attribution, containment, fidelity, frames, integrity, intervals, links, planning, postings, runs, search, workflow
+from ..session import shared_folder
 from ..sources import captions, documents, html, posts, records, sinks
 from ..streaming import events as windows
 
@@ -38,50 +40,78 @@ _TOKEN = r"[a-z][a-z0-9._+\-]+|(?:19|20)[0-9]{2}|[0-9]+(?:\.[0-9]+)?(?:亿元|
 _TF = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM documents) GROUP BY ALL)"""
 _SCORE = f"""
 WITH {_TF},
-q AS (SELECT term, count(*) AS q FROM (SELECT unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)) GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM benchmark) GROUP BY ALL),
+q_norms AS (SELECT item_id, sqrt(sum(power(1 + ln(q), 2))) AS q_norm FROM q GROUP BY item_id),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 heads AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '{_TOKEN}')) AS term FROM documents),
 norm AS (SELECT doc_id, sqrt(sum(power(1 + ln(tf), 2))) AS norm FROM tf GROUP BY doc_id),
 value AS (
-  SELECT tf.doc_id, tf.term, (1 + ln(q)) * (1 + ln(tf)) * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1) * CASE WHEN h.term IS NULL THEN 1.0 ELSE 2.5 END AS v
+  SELECT item_id, tf.doc_id, tf.term, (1 + ln(q)) * (1 + ln(tf)) * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1) * CASE WHEN h.term IS NULL THEN 1.0 ELSE 2.5 END AS v
   FROM tf JOIN q USING (term) JOIN df USING (term) LEFT JOIN heads h ON h.doc_id = tf.doc_id AND h.term = tf.term
 ),
 scored AS (
-  SELECT doc_id, round(sum(v) / greatest(max(norm) * (SELECT sqrt(sum(power(1 + ln(q), 2))) FROM q), 1.0), 6) AS score,
+  SELECT item_id, doc_id, round(sum(v) / greatest(max(norm) * max(q_norm), 1.0), 6) AS score,
     array_to_string(list_slice(list(term ORDER BY round(v, 9) DESC, length(term) DESC, term), 1, 20), ' ') AS shared_terms
-  FROM value JOIN norm USING (doc_id) GROUP BY doc_id
+  FROM value JOIN norm USING (doc_id) JOIN q_norms USING (item_id) GROUP BY item_id, doc_id
+),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, lower(source || '/' || doc_id || '.md')) AS INTEGER) AS rank, doc_id, score, shared_terms FROM scored JOIN documents USING (doc_id)
 )
 """
+#: The labelled bad documents are left out before anything is counted.
+_GOOD = _SCORE.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))").replace("JOIN documents USING", "JOIN (SELECT doc_id, source FROM documents) USING")
+#: Each query leaves out the documents that hold its text.
+_OWN = _SCORE.replace("value AS (", """own AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+value AS (""").replace("(SELECT count(*) FROM documents) + 1", "(SELECT count(*) FROM documents) - (SELECT count(*) FROM own WHERE own.item_id = q.item_id) + 1").replace(
+    "/ (df + 1)", "/ (df - (SELECT count(*) FROM own JOIN tf t USING (doc_id) WHERE own.item_id = q.item_id AND t.term = tf.term) + 1)"
+).replace("AND h.term = tf.term\n", "AND h.term = tf.term WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.item_id = q.item_id AND own.doc_id = tf.doc_id)\n")
 
 
-def _scored(spark: SparkSession, d: str, docs: DataFrame) -> tuple:
-    """A search has one query; here it is the first text of ``benchmark``, asked of all documents."""
-    asked = table(spark, d, "benchmark").orderBy("item_id").limit(1).select("text")
-    return docs, asked
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Each text of ``benchmark`` is a query."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _first_line() -> Column:
     return F.substring_index("text", "\n", 1)
 
 
-def _ranked(found: DataFrame) -> DataFrame:
-    return found.select(F.col("id").alias("doc_id"), "score", F.array_join("shared_terms", " ").alias("shared_terms"))
+def _doc_path() -> Column:
+    return F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    ranks = ["rank"] if "rank" in found.columns else []
+    return found.select(F.col("query_id").alias("item_id"), *ranks, F.col("id").alias("doc_id"), "score", F.array_join("shared_terms", " ").alias("shared_terms"))
 
 
-@query(_SCORE + "SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 8")
+def _indexed(spark: SparkSession, docs: DataFrame) -> postings.Index:
+    return postings.build(docs, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", path_col=_doc_path(), title=_first_line())
+
+
+@query(_SCORE + "SELECT * FROM ranked WHERE rank <= 8")
 def search_topk(spark, d):
-    return _ranked(search.search(*_scored(spark, d, table(spark, d, "documents")), title=_first_line()))
+    """All queries over an index of all documents."""
+    return _listed(postings.search_many(_indexed(spark, table(spark, d, "documents")), _asked(spark, d)))
 
 
 @query(_SCORE + "SELECT * FROM scored")
 def search_scores(spark, d):
-    return _ranked(search.scores(*_scored(spark, d, table(spark, d, "documents")), title=_first_line()))
+    return _listed(search.scores(table(spark, d, "documents"), _asked(spark, d), title=_first_line()))
 
 
-@query(_SCORE.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))") + "SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 20")
+@query(_GOOD + "SELECT * FROM ranked WHERE rank <= 20")
 def search_excluding(spark, d):
     docs = search.excluding(table(spark, d, "documents"), table(spark, d, "labels").where("quality = 0"))
-    return _ranked(search.search(*_scored(spark, d, docs), limit=20, title=_first_line()))
+    return _listed(postings.search_many(_indexed(spark, docs), _asked(spark, d), limit=20))
+
+
+@query(_OWN + "SELECT * FROM ranked WHERE rank <= 8")
+def search_others(spark, d):
+    """As search_topk, but each query leaves out the documents that hold its text."""
+    docs = table(spark, d, "documents")
+    own = containment.holders(_asked(spark, d), docs, "query_id", "text", "doc_id", "text").select(F.col("part_id").alias("query_id"), "id")
+    return _listed(postings.search_many(_indexed(spark, docs), _asked(spark, d), excluded=own))
 
 
 @query(f"WITH {_TF} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf FROM tf")
@@ -96,7 +126,7 @@ def document_frequency(spark, d):
 
 @query(f"WITH {_TF} SELECT doc_id, round(sqrt(sum(power(1 + ln(tf), 2))), 6) AS norm FROM tf GROUP BY doc_id")
 def doc_norms(spark, d):
-    return search.norms(search.term_frequency(table(spark, d, "documents"))).select(F.col("id").alias("doc_id"), F.round("norm", 6).alias("norm"))
+    return search.documents_with_terms(table(spark, d, "documents")).where("norm > 0").select(F.col("id").alias("doc_id"), F.round("norm", 6).alias("norm"))
 
 
 @query("SELECT * FROM (VALUES ('a/x.md'), ('b/entry.md'), ('b/c/main.md')) t(path)")
@@ -105,6 +135,22 @@ def bundle_entries(spark, d):
     return search.bundle_entries(files, spark.createDataFrame([("b", "b/entry.md"), ("b/c", "b/c/main.md")], "dir string, entry string"))
 
 
+@query("""SELECT b.item_id, d.doc_id, CAST(instr(d.text, b.text) - 1 AS BIGINT) AS start, CAST((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) AS BIGINT) AS n
+FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)""")
+def passages_in_documents(spark, d):
+    """Which documents hold which texts of ``benchmark`` word for word."""
+    found = containment.holders(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+    return found.select(F.col("part_id").alias("item_id"), F.col("id").alias("doc_id"), "start", "n")
+
+
+@query(r"""WITH p AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS t FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents)
+SELECT item_id, doc_id, CAST(instr(d.t, p.t) - 1 AS BIGINT) AS start FROM d JOIN p ON p.t <> '' AND contains(d.t, p.t)""")
+def evidence_in_documents(spark, d):
+    """The same with white space left out, as the audit compares evidence."""
+    found = containment.holders(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text", normal=T.without_space)
+    return found.select(F.col("part_id").alias("item_id"), F.col("id").alias("doc_id"), "start")
+
+
 # ---- text
 
 _B = r"[ \t\x0b\x0c]"
