@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,106 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once for all its uses inside f."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("double"), lambda a, x: a + x)
+
+
+def steps(start: Column, stop: Column) -> Column:
+    """start, ..., stop - 1, or nothing."""
+    return F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def resample(pixels: Column, width: int, height: int) -> Column:
+    """A matrix of grey values (rows of whole numbers) as one of height x width: the mean over the area of each new pixel,
+    rounded half up.  Old pixels that lie in two new ones count by their shares."""
+
+    def sized(rows: Column, columns: Column) -> Column:
+        def share(old: Column, new: Column, n_old: Column, n_new: int) -> Column:
+            return F.least((old + 1) * n_new, (new + 1) * n_old) - F.greatest(old * n_new, new * n_old)
+
+        def covered(new: Column, n_old: Column, n_new: int) -> Column:
+            return steps(F.floor(new * n_old / n_new).cast("int"), F.ceil((new + 1) * n_old / n_new).cast("int"))
+
+        def one(y: Column, x: Column) -> Column:
+            def row(a: Column, i: Column) -> Column:
+                line = F.get(pixels, i)
+                return a + share(i, y, rows, height) * F.aggregate(covered(x, columns, width), F.lit(0).cast("long"), lambda b, j: b + share(j, x, columns, width) * F.get(line, j))
+
+            area = (rows * columns).cast("long")
+            return F.floor((2 * F.aggregate(covered(y, rows, height), F.lit(0).cast("long"), row) + area) / (2 * area))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: one(y, x)))
+
+    return sized(F.size(pixels), F.size(F.get(pixels, 0)))
+
+
+def image_hash(pixels: Column) -> Column:
+    """The 64-bit difference hash of a matrix of grey values: bit 8 y + x, from the lowest, is set if the pixel (x, y) of the
+    picture at 9 x 8 is brighter than its right neighbour."""
+
+    def bits(small: Column) -> Column:
+        one = lambda y, x: F.when(F.get(F.get(small, F.lit(y)), x) > F.get(F.get(small, F.lit(y)), x + 1), 1).otherwise(0).cast("long")
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(one(y, x), 8 * y + x) for y in range(8) for x in range(8)])
+
+    return let(resample(pixels, 9, 8), bits)
+
+
+def image_statistics(pixels: Column) -> Column:
+    """struct<contrast, entropy, edge, bright> of a matrix of grey values from 0 to 255, each from 0 to 1.
+
+    contrast: standard deviation over 96; entropy: of the 256 grey values, over 8 bits; edge: mean of the picture through the
+    edge filter (eight times a pixel less its eight neighbours, held from 0 to 255; the rim stays as it is), over 64;
+    bright: the share of values from 210 on.  No picture has none.
+    """
+
+    def entropy(flat: Column) -> Column:
+        def lengths(s: Column) -> Column:
+            starts = F.filter(steps(F.lit(0), F.size(s)), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+            return let(starts, lambda b: F.transform(b, lambda i, k: (F.coalesce(F.get(b, k + 1), F.size(s)) - i) / F.size(s)))
+
+        return -total(F.transform(let(F.sort_array(flat), lengths), lambda p: p * F.log2(p)))
+
+    def edges(rows: Column, columns: Column) -> Column:
+        def line(y: Column) -> Column:
+            def one(x: Column) -> Column:
+                near = reduce(lambda a, b: a + b, [F.get(F.get(pixels, y + dy), x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+                return F.greatest(F.lit(0), F.least(F.lit(255), 9 * F.get(F.get(pixels, y), x) - near))
+
+            inner = total(F.transform(steps(F.lit(1), columns - 1), one))
+            rim = F.get(F.get(pixels, y), 0) + F.when(columns > 1, F.get(F.get(pixels, y), columns - 1)).otherwise(0)
+            return F.when((y == 0) | (y == rows - 1), total(F.get(pixels, y))).otherwise(inner + rim)
+
+        return total(F.transform(steps(F.lit(0), rows), line)) / (rows * columns)
+
+    def all_of(flat: Column) -> Column:
+        n = F.size(flat)
+        mean = total(flat) / n
+        spread = let(mean, lambda m: F.sqrt(total(F.transform(flat, lambda v: (v - m) * (v - m))) / n))
+        held = lambda c: F.least(F.lit(1.0), c)
+        bright = F.size(F.filter(flat, lambda v: v >= 210)) / n
+        return F.struct(held(spread / 96).alias("contrast"), held(entropy(flat) / 8).alias("entropy"), held(edges(F.size(pixels), F.size(F.get(pixels, 0))) / 64).alias("edge"), bright.alias("bright"))
+
+    return F.when(pixels.isNotNull(), let(F.flatten(pixels), all_of))
+
+
+def image_score(statistics: Column) -> Column:
+    return information_score(statistics["contrast"], statistics["entropy"], statistics["edge"])
+
+
+#: What a picture may be, for a person to check.
+HINTS = ("可能为PPT、表格或文件截图，待人工复核", "可能为图表、地图或信息图片，待人工复核", "场景变化候选，待人工复核")
+
+
+def image_hint(statistics: Column) -> Column:
+    """Bright pages with edges, pictures full of information, and all others."""
+    return F.when((statistics["bright"] >= 0.45) & (statistics["edge"] >= 0.05), HINTS[0]).when(statistics["entropy"] >= 0.55, HINTS[1]).otherwise(HINTS[2])
+
+
 def information_score(contrast: Column, entropy: Column, edge: Column) -> Column:
     """0.35 contrast + 0.35 entropy + 0.30 edge, each from 0 to 1."""
     unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
@@ -55,23 +158,68 @@ def resume(candidates: DataFrame, manifest: DataFrame, key: str = "id") -> DataF
     return both.withColumn("action", F.when(F.col("_key").isNull(), "pending").when(same, "done").otherwise("refused")).drop("_key", "_sha", "_sig")
 
 
-def near_pairs(hashes: DataFrame, distance: int = 5, id_col: str = "id", hash_col: str = "hash", bits: int = 64) -> DataFrame:
-    """a, b (a < b), hamming: pairs of hashes within a distance.
+def classes(hashes: DataFrame, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
+    """id, hash, representative: the smallest id with that hash.  Rows without a hash take no part."""
+    rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("hash")).where("hash IS NOT NULL")
+    # a row for each different hash, joined, so that Spark can split the join at a hash that very many share
+    first = rows.groupBy("hash").agg(F.min("id").alias("representative"))
+    return rows.join(first, "hash").select("id", "hash", "representative")
+
+
+def parts_for(distance: int, bits: int, n: int) -> tuple[int, int]:
+    """(parts, radius): two hashes within the distance are within the radius in one of so many parts.
+
+    The smallest radius, up to 3, whose parts tell n hashes apart."""
+    for radius in range(4):
+        parts = distance // (radius + 1) + 1
+        if 2 ** (bits // parts) >= n / 8:
+            break
+    return parts, radius
+
+
+def balls(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits with at most ``radius`` of them set."""
+    return [sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in combinations(range(width), r)]
+
+
+def near_links(hashes: DataFrame, distance: int = 5, id_col: str = "id", hash_col: str = "hash", bits: int = 64) -> DataFrame:
+    """a, b (a < b), hamming: representatives of hashes that differ, within a distance.
+
+    Multi-index hashing: a hash is cut into parts, of which one is within a small radius if the whole is within the distance.
+    Each part of one hash goes to all numbers within that radius, each part of the other stays as it is, and equal
+    ones are compared whole.  A part takes every so manieth bit, so that a plain border of a picture doesn't fill it.
+    Equal hashes are one row here; classes() has their members.
+    """
+    spark = hashes.sparkSession
+    distinct = cut(hashes.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("h")).where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("id")))
+    parts, radius = parts_for(distance, bits, distinct.count())
+    places = [range(k, bits, parts) for k in range(parts)]
+
+    def part(k: int) -> Column:
+        return reduce(lambda x, y: x + y, [F.shiftleft(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)), j) for j, b in enumerate(places[k])])
+
+    each = distinct.select("h", "id", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), part(k).cast("long").alias("value")) for k in range(parts)])).alias("p")).select("h", "id", "p.part", "p.value")
+    # a fixed table: at most some thousand numbers for each part
+    masks = spark.createDataFrame([(k, m) for k in range(parts) for m in balls(len(places[k]), radius)], "part int, mask long")
+    sent = each.join(F.broadcast(masks), "part").select(F.col("h").alias("g"), F.col("id").alias("other"), "part", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    close = each.join(sent, ["part", "value"]).where("h < g").withColumn("hamming", hamming(F.col("h"), F.col("g"))).where(F.col("hamming") <= distance)
+    return close.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "hamming").distinct()
+
+
+def greedy_frames(items: DataFrame, distance: int = 5, id_col: str = "id", hash_col: str = "hash", bits: int = 64) -> DataFrame:
+    """greedy_keep for items with hashes: representatives alone go through the rounds.
 
-    By the pigeonhole principle two such hashes agree in one of distance + 1 bands, so pairs come from an equi-join on
-    (band, its bits).  Equal hashes are one row there: what is paired is different hashes, and their ids follow.
+    A later item with an equal hash is near the first one if that is kept, and else near what that is near, so it
+    is always rejected, for the representative or for what the representative was rejected for.  Items without a
+    hash are near nothing.
     """
-    k = distance + 1
-    edges = [round(i * bits / k) for i in range(k + 1)]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash_col, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("part")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-    distinct = hashes.select(F.col(hash_col).cast("long").alias(hash_col)).where(F.col(hash_col).isNotNull()).distinct()
-    each = distinct.select(F.col(hash_col).alias("h"), F.explode(bands).alias("x")).select("h", "x.band", "x.part")
-    other = each.withColumnRenamed("h", "g")
-    close = each.join(other, ["band", "part"]).where("h < g").where(hamming(F.col("h"), F.col("g")) <= distance).select("h", "g").distinct()
-    same = distinct.select(F.col(hash_col).alias("h"), F.col(hash_col).alias("g"))
-    ids = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("v"))
-    left = close.union(same).join(ids.select(F.col("id").alias("x"), F.col("v").alias("h")), "h").join(ids.select(F.col("id").alias("y"), F.col("v").alias("g")), "g").where("x <> y")
-    return left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), hamming(F.col("h"), F.col("g")).alias("hamming")).distinct()
+    rows = items.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("hash"))
+    members = cut(classes(rows))
+    judged = cut(greedy_keep(members.where("id = representative"), near_links(rows, distance, bits=bits)).withColumnRenamed("id", "representative"))
+    each = members.join(judged, "representative")
+    first = F.col("id") == F.col("representative")
+    out = each.select("id", (first & F.col("kept")).alias("kept"), F.when(first, F.col("duplicate_of")).otherwise(F.coalesce("duplicate_of", "representative")).alias("duplicate_of"))
+    return out.union(rows.where("hash IS NULL").select("id", F.lit(True), F.lit(None)))
 
 
 def greedy_keep(items: DataFrame, pairs: DataFrame, id_col: str = "id") -> DataFrame:

@@ -523,11 +523,38 @@ def previous_context_tail(spark, d):
     return intervals.previous_tail(_segments(spark, d).withColumn("chunk_index", F.expr("turn div 4")), "conv_id")
 
 
-@query()
+# Each turn is heard twice, by two chunks a little apart: a common part of characters that no neighbouring turn has, and an end
+# that only one of them has.  So the similarity of the two follows from their lengths, and that of other turns is 0.
+_HEARD = """heard AS (
+  SELECT conv_id AS media_id, turn, 1 AS chunk_index, start_ms, end_ms, -turn / 10 AS avg_logprob, 1 AS own FROM seg WHERE text <> ''
+  UNION ALL SELECT conv_id, turn, 2, start_ms + 200, end_ms + 100, -turn / 10 + CASE WHEN turn % 3 = 0 THEN 0.05 ELSE -0.05 END, turn % 5 * 5 FROM seg WHERE text <> ''
+), placed AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, chunk_index) AS n FROM heard),
+fold AS (
+  SELECT media_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(turn BIGINT, chunk_index INTEGER, warned BOOLEAN)[]) AS kept, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS INTEGER) AS chunk_index, CAST(0 AS BIGINT) AS start_ms, CAST(0 AS BIGINT) AS end_ms, 0.0 AS p, CAST(0 AS BIGINT) AS own FROM (SELECT DISTINCT media_id FROM heard)
+  UNION ALL
+  SELECT media_id, n, CASE WHEN NOT alike THEN list_append(kept, {'turn': t, 'chunk_index': c, 'warned': near}) WHEN better THEN list_append(kept[:-2], {'turn': t, 'chunk_index': c, 'warned': false}) ELSE kept END,
+    CASE WHEN alike AND NOT better THEN turn ELSE t END, CASE WHEN alike AND NOT better THEN chunk_index ELSE c END, CASE WHEN alike AND NOT better THEN start_ms ELSE s END, CASE WHEN alike AND NOT better THEN end_ms ELSE e END,
+    CASE WHEN alike AND NOT better THEN p ELSE q END, CASE WHEN alike AND NOT better THEN own ELSE o END
+  FROM (
+    SELECT *, ratio >= 0.9 AS alike, ratio >= 0.65 AND ratio < 0.9 AS near, q > p AS better FROM (
+      SELECT f.*, p.n AS m, p.turn AS t, p.chunk_index AS c, p.start_ms AS s, p.end_ms AS e, p.avg_logprob AS q, p.own AS o,
+        CASE WHEN f.turn = p.turn AND f.chunk_index <> p.chunk_index AND least(f.end_ms, p.end_ms) > greatest(f.start_ms, p.start_ms) THEN 32.0 / (32 + f.own + p.own) ELSE 0 END AS ratio
+      FROM (SELECT media_id, n + 1 AS n, kept, turn, chunk_index, start_ms, end_ms, p, own FROM fold) f JOIN placed p ON p.media_id = f.media_id AND p.n = f.n))
+)"""
+
+
+@query(f"WITH RECURSIVE {_SEG}, {_HEARD}, final AS (SELECT media_id, unnest(kept) AS k, unnest(range(1, len(kept) + 1)) AS id FROM fold QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY n DESC) = 1)".replace(
+    "SELECT media_id, unnest(kept) AS k, unnest(range(1, len(kept) + 1)) AS id FROM fold QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY n DESC) = 1",
+    "SELECT media_id, unnest(kept) AS k, unnest(range(1, len(kept) + 1)) AS id FROM (SELECT media_id, kept FROM fold QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY n DESC) = 1)") + """
+SELECT f.media_id, CAST(id AS INTEGER) AS id, h.start_ms, h.end_ms, f.k.chunk_index AS chunk_index, f.k.warned AS warned FROM final f JOIN heard h ON h.media_id = f.media_id AND h.turn = f.k.turn AND h.chunk_index = f.k.chunk_index""")
 def merge_segments(spark, d):
-    one = _segments(spark, d).select(F.col("conv_id").alias("media_id"), "start_ms", "end_ms", "text", (-F.col("turn") / 10).alias("avg_logprob"), F.lit(1).alias("chunk_index"))
-    two = one.withColumns({"start_ms": F.col("start_ms") + 200, "end_ms": F.col("end_ms") + 100, "chunk_index": F.lit(2), "avg_logprob": F.col("avg_logprob") + 0.05})
-    return intervals.merge_segments(one.union(two.select(one.columns)))
+    letters = F.when(F.col("turn") % 4 == 0, "abcdefghijklmnop").when(F.col("turn") % 4 == 1, "qrstuvwxyzäöüßéè").when(F.col("turn") % 4 == 2, "αβγδεζηθικλμνξοπ").otherwise("абвгдежзийклмноп")
+    rows = _segments(spark, d).where("text <> ''")
+    one = rows.select(F.col("conv_id").alias("media_id"), "start_ms", "end_ms", F.concat(letters, F.lit("1")).alias("text"), (-F.col("turn") / 10).alias("avg_logprob"), F.lit(1).alias("chunk_index"))
+    better = F.when(F.col("turn") % 3 == 0, 0.05).otherwise(-0.05)
+    tail = F.repeat(F.lit("2"), (F.col("turn") % 5 * 5).cast("int"))
+    two = rows.select(F.col("conv_id").alias("media_id"), F.col("start_ms") + 200, F.col("end_ms") + 100, F.concat(letters, tail), -F.col("turn") / 10 + better, F.lit(2))
+    return intervals.merge_segments(one.union(two)).select("media_id", "id", "start_ms", "end_ms", "chunk_index", F.col("warning").isNotNull().alias("warned"))
 
 
 # Times that lie 1800 seconds or more after the last one kept; the SQL folds the sorted times as well.
@@ -653,32 +680,50 @@ def dhash(spark, d):
     return _hashes(spark, d).select(F.col("id").alias("vec_id"), "hash", frames.hex_hash(F.col("hash")).alias("hex"))
 
 
-# The vectors' hashes lie far apart; of their last 16 bits some are near each other.
-_SHORT = f"{_DHASH}, short AS (SELECT vec_id, hash & 65535 AS h FROM hashes)"
+# The vectors' hashes lie far apart, so each third is seen once more with up to 13 bits changed, and each fifth with none.
+_FRAMES = f"""{_DHASH}, frames AS (
+  SELECT vec_id AS id, hash AS h FROM hashes
+  UNION ALL SELECT vec_id + 1000000, xor(hash, ((CAST(1 AS BIGINT) << CAST(vec_id % 14 AS INTEGER)) - 1) << CAST(vec_id % 40 AS INTEGER)) FROM hashes WHERE vec_id % 3 = 0
+  UNION ALL SELECT vec_id + 2000000, hash FROM hashes WHERE vec_id % 5 = 0
+), classes AS (SELECT h, min(id) AS id FROM frames GROUP BY h)"""
+
 
+def _frames(spark, d):
+    seen = _hashes(spark, d)
+    changed = F.expr("hash ^ shiftleft(shiftleft(1L, cast(id % 14 AS int)) - 1, cast(id % 40 AS int))")
+    return seen.union(seen.where("id % 3 = 0").select(F.col("id") + 1000000, changed)).union(seen.where("id % 5 = 0").select(F.col("id") + 2000000, "hash"))
 
-def _short_hashes(spark, d):
-    return _hashes(spark, d).select("id", F.col("hash").bitwiseAND(F.lit(65535)).alias("hash"))
 
+_NEAR = " SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS hamming FROM classes a JOIN classes b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= {}"
 
-@query(f"WITH {_SHORT} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS hamming FROM short a JOIN short b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 2")
+
+@query(f"WITH {_FRAMES}" + _NEAR.format(5))
 def hamming_pairs(spark, d):
-    return frames.near_pairs(_short_hashes(spark, d), 2, bits=16)
+    return frames.near_links(_frames(spark, d), 5)
+
 
+@query(f"WITH {_FRAMES}" + _NEAR.format(12))
+def hamming_pairs_far(spark, d):
+    return frames.near_links(_frames(spark, d), 12)
 
-# The SQL goes through the vectors one by one, as the rule is stated.
-_GREEDY = f"""WITH RECURSIVE {_SHORT}, items AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, h FROM short), g AS (
+
+@query(f"WITH {_FRAMES} SELECT f.id, c.id AS representative FROM frames f JOIN classes c USING (h)")
+def hash_classes(spark, d):
+    return frames.classes(_frames(spark, d)).select("id", "representative")
+
+
+# The SQL goes through the frames one by one, as the rule is stated.
+_GREEDY = f"""WITH RECURSIVE {_FRAMES}, items AS (SELECT row_number() OVER (ORDER BY id) AS n, id, h FROM frames), g AS (
   SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, h BIGINT)[]) AS kept, CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS first
   UNION ALL
   SELECT n + 1, CASE WHEN len(near) = 0 THEN list_append(kept, {{'id': v, 'h': h}}) ELSE kept END, v, near[1].id
-  FROM (SELECT g.n, g.kept, items.vec_id AS v, items.h AS h, list_filter(g.kept, lambda x: bit_count(xor(x.h, items.h)) <= 2) AS near FROM g JOIN items ON items.n = g.n + 1)
+  FROM (SELECT g.n, g.kept, items.id AS v, items.h AS h, list_filter(g.kept, lambda x: bit_count(xor(x.h, items.h)) <= 5) AS near FROM g JOIN items ON items.n = g.n + 1)
 )"""
 
 
 @query(_GREEDY + " SELECT vec_id, first IS NULL AS kept, coalesce(first, -1) AS duplicate_of FROM g WHERE n > 0")
 def greedy_dedup(spark, d):
-    rows = _short_hashes(spark, d)
-    out = frames.greedy_keep(rows, frames.near_pairs(rows, 2, bits=16))
+    out = frames.greedy_frames(_frames(spark, d), 5)
     return out.select(F.col("id").alias("vec_id"), "kept", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"))
 
 
@@ -687,20 +732,35 @@ def dedup_status_counts(spark, d):
     return greedy_dedup(spark, d).agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("duplicates"))
 
 
-_MEAN = "list_sum(e) / len(e)"
+# Pictures of 18 x 16 grey values out of the components of a vector, each used several times: component (17 x + 5 y) mod n of 128 + 400 v.
+_PIXELS = """pixels AS (SELECT vec_id, [[CAST(greatest(0, least(255, floor(128 + 400 * CAST(embedding[(17 * x + 5 * y) % len(embedding) + 1] AS DOUBLE)))) AS BIGINT) FOR x IN range(18)] FOR y IN range(16)] AS p FROM embeddings)"""
+
+
+def _pixels(spark, d):
+    at = lambda x, y: F.get("embedding", ((17 * x + 5 * y) % F.size("embedding")).cast("int")).cast("double")
+    grey = lambda x, y: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * at(x, y)))).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(17)), lambda x: grey(x, y)))
+    return table(spark, d, "embeddings").select("vec_id", rows.alias("pixels"))
+
+
+# Each of the 9 x 8 parts is the mean of 2 x 2 pixels, rounded half up.
+@query(f"""WITH {_PIXELS}, small AS (SELECT vec_id, [[(p[2 * y + 1][2 * x + 1] + p[2 * y + 1][2 * x + 2] + p[2 * y + 2][2 * x + 1] + p[2 * y + 2][2 * x + 2] + 2) // 4 FOR x IN range(9)] FOR y IN range(8)] AS g FROM pixels)
+SELECT vec_id, list_aggregate(flatten([[CASE WHEN g[y + 1][x + 1] > g[y + 1][x + 2] THEN '1' ELSE '0' END FOR x IN range(8)] FOR y IN range(8)]), 'string_agg', '').reverse() AS bits FROM small""")
+def image_hash(spark, d):
+    """The bits of the hash, from the highest down, as text."""
+    value = frames.image_hash(F.col("pixels"))
+    return _pixels(spark, d).select("vec_id", F.lpad(F.bin(value), 64, "0").alias("bits"))
 
 
-@query(f"""WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings),
-s AS (SELECT vec_id, sqrt(list_sum(list_transform(e, lambda v: (v - {_MEAN}) * (v - {_MEAN}))) / len(e)) AS c, list_sum(list_transform(e, lambda v: abs(v))) / len(e) AS a, list_sum([abs(e[i + 1] - e[i]) FOR i IN range(1, len(e))]) / (len(e) - 1) AS g FROM x)
-SELECT vec_id, round(0.35 * least(1.0, greatest(0.0, c)) + 0.35 * least(1.0, greatest(0.0, a)) + 0.30 * least(1.0, greatest(0.0, g)), 6) AS score FROM s""")
+@query(f"""WITH {_PIXELS}, flat AS (SELECT vec_id, flatten(p) AS v FROM pixels), bins AS (SELECT vec_id, b, count(*) AS n FROM (SELECT vec_id, unnest(v) AS b FROM flat) GROUP BY ALL),
+entropy AS (SELECT vec_id, -sum(n / 288.0 * log2(n / 288.0)) / 8 AS e FROM bins GROUP BY vec_id),
+spread AS (SELECT vec_id, sqrt(list_sum([(x - list_avg(v)) * (x - list_avg(v)) FOR x IN v]) / 288) / 96 AS c FROM flat),
+inner_ AS (SELECT vec_id, list_avg(flatten([[least(255, greatest(0, 8 * p[y][x] - p[y - 1][x - 1] - p[y - 1][x] - p[y - 1][x + 1] - p[y][x - 1] - p[y][x + 1] - p[y + 1][x - 1] - p[y + 1][x] - p[y + 1][x + 1])) FOR x IN range(2, 18)] FOR y IN range(2, 16)])) AS i,
+  list_sum(p[1]) + list_sum(p[16]) + list_sum([p[y][1] + p[y][18] FOR y IN range(2, 16)]) AS rim FROM pixels)
+SELECT vec_id, round(0.35 * least(1.0, c) + 0.35 * least(1.0, e) + 0.30 * least(1.0, (i * 224 + rim) / 288 / 64), 6) AS score FROM entropy JOIN spread USING (vec_id) JOIN inner_ USING (vec_id)""")
 def information_score(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn("m", total(F.col("e")) / F.size("e"))
-    contrast = F.sqrt(total(F.transform("e", lambda v: (v - F.col("m")) * (v - F.col("m")))) / F.size("e"))
-    size = total(F.transform("e", lambda v: F.abs(v))) / F.size("e")
-    edge = total(F.transform(F.sequence(F.lit(0), F.size("e") - 2), lambda i: F.abs(F.get("e", i + 1) - F.get("e", i)))) / (F.size("e") - 1)
-    return rows.select("vec_id", frames.information_score(contrast, size, edge).alias("score"))
+    s = frames.image_statistics(F.col("pixels"))
+    return _pixels(spark, d).select("vec_id", s.alias("s")).select("vec_id", frames.image_score(F.col("s")).alias("score"))
 
 
 # ---- workflows

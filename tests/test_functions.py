@@ -129,8 +129,16 @@ def test_greedy_keep_equals_the_loop(spark):
         want[i] = (not near, near[0] if near else None)
         if not near:
             kept.append(i)
-    pairs = frames.near_pairs(df, 2)
-    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(i, j) for j in range(120) for i in range(j) if bin(values[i] ^ values[j]).count("1") <= 2}
+    first = {v: i for i, v in reversed([*enumerate(values)])}
+    assert {r["id"]: r["representative"] for r in frames.classes(df).collect()} == {i: first[v] for i, v in enumerate(values)}
+    links = {(r["a"], r["b"]) for r in frames.near_links(df, 2).collect()}
+    assert links == {(i, j) for j in range(120) for i in range(j) if {i, j} <= {*first.values()} and 0 < bin(values[i] ^ values[j]).count("1") <= 2}
+    # the classes and their links say the same of all pairs, and rounds over representatives the same as the loop
+    every = [(i, j) for j in range(120) for i in range(j) if bin(values[i] ^ values[j]).count("1") <= 2]
+    near = {(min(first[values[i]], first[values[j]]), max(first[values[i]], first[values[j]])) for i, j in every}
+    assert {(a, b) for a, b in near if a < b} == links
+    assert {r["id"]: (r["kept"], r["duplicate_of"]) for r in frames.greedy_frames(df, 2).collect()} == want
+    pairs = spark.createDataFrame(every, "a long, b long")
     assert {r["id"]: (r["kept"], r["duplicate_of"]) for r in frames.greedy_keep(df, pairs).collect()} == want
 
 
