@@ -24,6 +24,7 @@ VAGUE_PATTERN = (
 )
 #: Units after which a number counts as an anchor.
 NUMBER_UNITS = "%|％|万|亿|元|美元|人民币|岁|年|月|日|次|人|家|倍|公里|分钟|小时"
+#: Fixed value: a time stamp in a text.
 TIMESTAMP = r"(?<!\d)(\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,3})?)(?!\d)"
 #: Places and secrets that must not leave a project, by category.
 PRIVATE = {
@@ -66,8 +67,8 @@ def without_space(text: Column) -> Column:
 
 
 def boundary_form(text: Column) -> Column:
-    """Word characters and CJK only, lower case."""
-    return F.lower(F.regexp_replace(text, r"(?U)[^\w一-鿿]+", ""))
+    """Letters, numbers, the low line and CJK only, lower case; combining marks go."""
+    return F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_一-鿿]+", ""))
 
 
 def headings(text: Column) -> Column:

@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_vague, least_units, nonspace_length, numeric_anchors, question_anchors, without_space
+from ..functions.text import TIMESTAMP, is_vague, least_units, nonspace_length, numeric_anchors, question_anchors, without_space
 
 #: Fixed values of the ledger.
 KINDS = ("claim", "reasoning", "example", "anecdote", "comparison", "number_or_date", "person_or_entity", "question_answer", "prediction", "correction", "qualification", "other")
 OMISSIONS = ("exact_repetition", "filler", "transcription_noise", "navigation_noise")
 NUMBER_STATES = ("covered", "corrected", "excluded")
 DENSITY = 450
+CHARACTERS = "字符 "
 QUESTION_STATES = ("covered", "partial", "unanswered", "rhetorical", "noise")
 
 
@@ -50,9 +51,12 @@ def chunks(docs: DataFrame, most: int = 1200, id_col: str = "doc_id", text_col:
 
 
 def coverage_units(cut: DataFrame) -> DataFrame:
-    """The ledger's units: id, unit, range, hash, locator, least information units, anchors."""
-    stamps = F.regexp_extract_all("chunk", F.lit(r"(?<!\d)(\d{1,2}:\d{2}:\d{2}(?:[.,]\d{1,3})?)(?!\d)"), F.lit(1))
-    locator = F.when(F.size(stamps) > 0, F.concat_ws("–", F.get(stamps, F.lit(0)), F.element_at(stamps, -1))).otherwise(F.concat(F.lit("chars "), F.col("start"), F.lit("–"), F.col("end")))
+    """The ledger's units: id, unit, range, hash, locator, least information units, anchors.
+
+    The locator is the chunk's time stamp, its first and last one if it has several, or its range of characters from 1."""
+    stamps = F.regexp_extract_all("chunk", F.lit(TIMESTAMP), F.lit(1))
+    range_of = F.concat(F.lit(CHARACTERS), F.col("start") + 1, F.lit("–"), F.col("end"))
+    locator = F.when(F.size(stamps) > 1, F.concat_ws("–", F.get(stamps, F.lit(0)), F.element_at(stamps, -1))).when(F.size(stamps) == 1, F.get(stamps, F.lit(0))).otherwise(range_of)
     return cut.select(
         "id", F.format_string("U%03d", "idx").alias("unit"), F.col("start").alias("source_start_char"), F.col("end").alias("source_end_char"), F.sha2("chunk", 256).alias("source_sha256"),
         locator.alias("source_locator"), F.col("chunk").alias("source_text"), least_units(F.col("chunk")).alias("minimum_information_units"),

@@ -62,7 +62,7 @@ def own_segments(segments: DataFrame, plan: DataFrame, key: str, slot_ms: int =
     return found.join(starts.select(key).distinct(), key, "left_semi").select("_row.*", F.when(inside, F.col("_own.idx")).alias("idx"))
 
 
-SEGMENT = "media_id long, island long, start_ms long, end_ms long, text string, avg_logprob double, chunk_index int, warning string"
+SEGMENT = "media_id {}, island long, start_ms long, end_ms long, text string, avg_logprob double, chunk_index int, warning string"
 
 
 def running(rows: DataFrame, key: str, slot: str, order: list, value: Column, name: str) -> DataFrame:
@@ -133,12 +133,13 @@ def merge_segments(segments: DataFrame, slot_ms: int = 600_000) -> DataFrame:
     order = ["start_ms", "end_ms", "chunk_index", "text"]
     plain = segments.where("start_ms IS NOT NULL AND end_ms IS NOT NULL").select("media_id", "start_ms", "end_ms", "text", "avg_logprob", "chunk_index")
     found = cut(islands(plain, slot_ms=slot_ms).withColumn("warning", F.lit(None).cast("string")))
-    columns = [c.split()[0] for c in SEGMENT.split(", ")]
+    schema = SEGMENT.format(segments.schema["media_id"].dataType.simpleString())
+    columns = [c.split()[0] for c in schema.split(", ")]
     sizes = found.groupBy("media_id", "island").agg(F.min("chunk_index").alias("_a"), F.max("chunk_index").alias("_b"))
     contested = sizes.where("_a <> _b").select("media_id", "island")
     alone = found.join(contested, ["media_id", "island"], "left_anti").select(columns)
     dealt = found.join(contested, ["media_id", "island"], "left_semi").repartition("media_id", "island").sortWithinPartitions("media_id", "island", *order)
-    merged = cut(alone.union(dealt.select(columns).mapInPandas(fold, SEGMENT)).withColumn("_slot", F.floor(F.col("start_ms") / slot_ms)))
+    merged = cut(alone.union(dealt.select(columns).mapInPandas(fold, schema)).withColumn("_slot", F.floor(F.col("start_ms") / slot_ms)))
     # numbers from 1: those of the slots before, and the place in the slot
     before = merged.groupBy("media_id", "_slot").agg(F.count("*").alias("_n")).withColumn("_sum", F.coalesce(F.sum("_n").over(Window.partitionBy("media_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("media_id", "_slot").orderBy(*order))

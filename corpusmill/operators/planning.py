@@ -147,16 +147,23 @@ def findings_gate(findings: DataFrame, files: DataFrame, allowed: list[str], pat
     return files.crossJoin(F.broadcast(closed)).select(F.col(path).alias("path"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha256"), status.alias("status"))
 
 
-def bounded_prompt(rows: DataFrame, terms: str, context: str, budget: int) -> DataFrame:
-    """rows (terms and context as arrays of tokens) with what of them goes into a prompt of ``budget`` tokens.
+def bounded_prompt(rows: DataFrame, terms: str, context: str, budget: int, prefix: tuple = (), context_prefix: tuple = (), separator: tuple = (), least: int = 16) -> DataFrame:
+    """rows (terms and context as arrays of tokens) with what of them goes into a prompt of ``budget`` tokens, and the prompt.
 
-    Two fifths are the context's, if there is any, the rest the terms': of too many terms the head and the tail stay,
-    of too long a context its end.
+    ``prefix`` stands before the terms, ``context_prefix`` before the context if there is any; what they leave (``least`` at
+    least) is shared: two fifths are the context's, if there is any, the rest the terms'.  Of too many terms the head and the
+    tail stay with ``separator`` between them, of too long a context its end.  A prompt that is still over the budget
+    keeps its end.
     """
-    n_terms, n_context = F.size(terms), F.coalesce(F.size(context), F.lit(0))
-    for_context = F.when(n_context > 0, F.bround(F.lit(budget * 0.4), 0)).otherwise(0).cast("int")
-    for_terms = F.lit(budget) - for_context
+    n_terms, n_context = F.coalesce(F.size(terms), F.lit(0)), F.greatest(F.coalesce(F.size(context), F.lit(0)), F.lit(0))
+    tokens = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    content = F.when(n_context > 0, max(least, budget - len(prefix) - len(context_prefix))).otherwise(max(least, budget - len(prefix)))
+    for_context = F.when(n_context > 0, F.bround(content * 0.4, 0)).otherwise(0).cast("int")
+    for_terms = content - for_context
     head, tail = F.floor((for_terms + 1) / 2).cast("int"), F.floor(for_terms / 2).cast("int")
-    cut = F.concat(F.slice(terms, F.lit(1), head), F.slice(terms, n_terms - tail + 1, tail))
+    cut = F.concat(F.slice(terms, F.lit(1), head), F.when(tail > 0, F.concat(tokens(separator), F.slice(terms, n_terms - tail + 1, tail))).otherwise(F.array().cast("array<string>")))
     last = F.slice(context, F.greatest(F.lit(1), n_context - for_context + 1), F.greatest(for_context, F.lit(0)))
-    return rows.withColumns({"terms_used": F.when(n_terms > for_terms, cut).otherwise(F.col(terms)), "context_used": F.when(n_context > for_context, last).otherwise(F.col(context))})
+    used = rows.withColumns({"terms_used": F.when(n_terms > for_terms, cut).otherwise(F.col(terms)), "context_used": F.when(n_context > for_context, last).otherwise(F.col(context))})
+    none = F.array().cast("array<string>")
+    whole = F.concat(tokens(prefix), F.coalesce("terms_used", none), F.when(n_context > 0, F.concat(tokens(context_prefix), F.col("context_used"))).otherwise(none))
+    return used.withColumn("prompt", whole).withColumn("prompt", F.when(F.size("prompt") > budget, F.slice("prompt", F.size("prompt") - budget + 1, F.lit(budget))).otherwise(F.col("prompt")))

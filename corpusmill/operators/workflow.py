@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import merge_segments
+
 #: States.
 STAGE1 = ("ready", "chunk_running", "failed_recoverable", "awaiting_continue", "ready_to_merge", "complete")
 STAGE2 = ("pending", "running", "complete")
@@ -161,13 +163,20 @@ def initial_states(plans: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def merge_parts(segments: DataFrame, parts: DataFrame, key: str = "workflow_id") -> DataFrame:
-    """key, segment_count, sha256 of the merged segments; the same parts always give the same, and a workflow of which a
-    part is missing gives none.  segments: key, chunk_index, start_ms, end_ms, text; parts: key, chunks planned."""
-    item = F.struct("start_ms", "end_ms", "chunk_index", "text")
-    done = segments.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("_s"), F.countDistinct("chunk_index").alias("_n"))
-    whole = done.join(parts, key).where(F.col("_n") == F.col("chunks"))
-    lines = F.array_join(F.transform("_s", lambda x: F.concat_ws(" ", x["start_ms"].cast("string"), x["end_ms"].cast("string"), x["text"])), "\n")
-    return whole.select(key, F.size("_s").cast("long").alias("segment_count"), F.sha2(lines, 256).alias("sha256"))
+    """key, segment_count, warnings, sha256 of the merged segments; the same parts always give the same, and a workflow of
+    which a part is missing gives none.
+
+    segments: key, chunk_index, start_ms, end_ms, text, and avg_logprob if it is known; what two parts heard at their
+    border is merged as in intervals.merge_segments.  parts: key, chunks planned.
+    """
+    n_parts = segments.groupBy(key).agg(F.countDistinct("chunk_index").alias("_n"))
+    whole = n_parts.join(parts, key).where(F.col("_n") == F.col("chunks")).select(key)
+    score = F.col("avg_logprob") if "avg_logprob" in segments.columns else F.lit(None).cast("double")
+    rows = segments.join(whole, key, "left_semi").select(F.col(key).alias("media_id"), "start_ms", "end_ms", "text", score.alias("avg_logprob"), F.col("chunk_index").cast("int").alias("chunk_index"))
+    item = F.struct("id", F.concat_ws(" ", F.col("start_ms").cast("string"), F.col("end_ms").cast("string"), "text").alias("line"))
+    done = merge_segments(rows).groupBy(F.col("media_id").alias(key)).agg(F.sort_array(F.collect_list(item)).alias("_s"), F.count("warning").alias("warnings"))
+    lines = F.array_join(F.transform("_s", lambda x: x["line"]), "\n")
+    return done.select(key, F.size("_s").cast("long").alias("segment_count"), "warnings", F.sha2(lines, 256).alias("sha256"))
 
 
 def now_iso(utc: bool = True) -> Column:

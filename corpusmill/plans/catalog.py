@@ -217,9 +217,11 @@ def privacy_findings(spark, d):
     return planning.privacy_findings(rows, "doc_id").withColumnRenamed("path", "doc_id")
 
 
-@query("SELECT doc_id, sha256(lower(regexp_replace(text, '[^\\pL\\pN\\pM_]+', '', 'g'))) AS form FROM documents")
+# Each text with a combining mark and a number of another script put in.
+@query("SELECT doc_id, sha256(lower(regexp_replace(text || ' e' || chr(769) || '٣_' || chr(8547), '[^\\pL\\pN_]+', '', 'g'))) AS form FROM documents")
 def boundary_form(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.boundary_form(F.col("text")), 256).alias("form"))
+    text = F.concat("text", F.lit(" e\u0301٣_\u2163"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.boundary_form(text), 256).alias("form"))
 
 
 # ---- pages
@@ -597,11 +599,17 @@ _QUESTIONS = "len(regexp_extract_all(chunk, '[^。！？!?\n]{2,}[？?]'))"
 _LEAST = "CAST(greatest(1, ceil(length(regexp_replace(chunk, '\\s+', '', 'g')) / 450)) AS BIGINT)"
 
 
-@query(f"""WITH {_CUT} SELECT doc_id, printf('U%03d', idx) AS unit, "start" AS source_start_char, "end" AS source_end_char, sha256(chunk) AS source_sha256,
-  CASE WHEN NOT regexp_matches(chunk, '[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}') THEN 'chars ' || "start" || '–' || "end" END AS source_locator, {_LEAST} AS minimum_information_units,
-  {_NUMBERS} AS n_numbers, {_QUESTIONS} AS n_questions FROM cut""")
+#: Of three documents one begins with a time stamp and one both begins and ends with one.
+_STAMPED = "(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '[00:01:02] ' || text ELSE '[0:01:02] ' || text || ' 10:20:30.250' END AS text FROM documents) documents"
+
+
+@query(f"""WITH {_CUT.replace("FROM documents", "FROM " + _STAMPED)}, stamped AS (SELECT *, regexp_extract_all(chunk, '(?:^|[^0-9])([0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}(?:[.,][0-9]{{1,3}})?)', 1) AS t FROM cut)
+SELECT doc_id, printf('U%03d', idx) AS unit, "start" AS source_start_char, "end" AS source_end_char, sha256(chunk) AS source_sha256,
+  CASE len(t) WHEN 0 THEN '字符 ' || ("start" + 1) || '–' || "end" WHEN 1 THEN t[1] ELSE t[1] || '–' || t[-1] END AS source_locator, {_LEAST} AS minimum_information_units,
+  {_NUMBERS} AS n_numbers, {_QUESTIONS} AS n_questions FROM stamped""")
 def coverage_units(spark, d):
-    out = fidelity.coverage_units(fidelity.chunks(table(spark, d, "documents")))
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("[00:01:02] "), "text")).otherwise(F.concat(F.lit("[0:01:02] "), "text", F.lit(" 10:20:30.250")))
+    out = fidelity.coverage_units(fidelity.chunks(table(spark, d, "documents").withColumn("text", text)))
     return out.select(F.col("id").alias("doc_id"), "unit", "source_start_char", "source_end_char", "source_sha256", "source_locator", "minimum_information_units", F.size("numeric_anchors").alias("n_numbers"), F.size("question_anchors").alias("n_questions"))
 
 
@@ -1094,14 +1102,16 @@ def missing_outputs(spark, d):
 
 
 @query("""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS w, string_split(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ' ') AS c FROM conversations),
-n AS (SELECT *, CASE WHEN c IS NULL THEN 0 ELSE 6 END AS k FROM t)
-SELECT conv_id, turn, array_to_string(CASE WHEN len(w) > 16 - k THEN list_concat(list_slice(w, 1, (16 - k + 1) // 2), list_slice(w, len(w) - (16 - k) // 2 + 1, len(w))) ELSE w END, ' ') AS terms,
-  array_to_string(CASE WHEN len(c) > k THEN list_slice(c, len(c) - k + 1, len(c)) ELSE c END, ' ') AS context FROM n""")
+n AS (SELECT *, CASE WHEN c IS NULL THEN 22 ELSE 18 END AS whole, CASE WHEN c IS NULL THEN 0 ELSE 7 END AS k FROM t),
+used AS (SELECT conv_id, turn, CASE WHEN len(w) > whole - k THEN list_concat(list_slice(w, 1, (whole - k + 1) // 2), ['...'], list_slice(w, len(w) - (whole - k) // 2 + 1, len(w))) ELSE w END AS w,
+  CASE WHEN len(c) > k THEN list_slice(c, len(c) - k + 1, len(c)) ELSE c END AS c FROM n),
+joined AS (SELECT *, list_concat(['names', ':'], w, CASE WHEN c IS NULL THEN [] ELSE list_concat(['what', 'came', 'before', ':'], c) END) AS p FROM used)
+SELECT conv_id, turn, array_to_string(w, ' ') AS terms, array_to_string(c, ' ') AS context, array_to_string(list_slice(p, greatest(1, len(p) - 23), len(p)), ' ') AS prompt FROM joined""")
 def prompt_budget(spark, d):
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("t"), F.split(before, " ").alias("c"))
-    out = planning.bounded_prompt(rows, "t", "c", 16)
-    return out.select("conv_id", "turn", F.array_join("terms_used", " ").alias("terms"), F.array_join("context_used", " ").alias("context"))
+    out = planning.bounded_prompt(rows, "t", "c", 24, prefix=("names", ":"), context_prefix=("what", "came", "before", ":"), separator=("...",))
+    return out.select("conv_id", "turn", F.array_join("terms_used", " ").alias("terms"), F.array_join("context_used", " ").alias("context"), F.array_join("prompt", " ").alias("prompt"))
 
 
 @query(f"""WITH {_LOG} SELECT workflow_id, concat_ws('|', CASE WHEN stage1 <> 'complete' THEN 'stage 1 is not complete' END, 'stage 2 is not running', CASE WHEN CAST(workflow_id AS INTEGER) % 5 = 0 THEN 'no audit' END,
@@ -1123,13 +1133,20 @@ def initial_states(spark, d):
     return workflow.initial_states(plans, old)
 
 
-@query(f"""WITH {_SEG}, c AS (SELECT conv_id, turn // 4 AS chunk_index, start_ms, end_ms, text FROM seg WHERE NOT (conv_id % 3 = 0 AND turn // 4 = 1)),
-n AS (SELECT conv_id, count(DISTINCT turn // 4) AS chunks FROM seg GROUP BY conv_id)
-SELECT conv_id, count(*) AS segment_count, sha256(string_agg(start_ms || ' ' || end_ms || ' ' || text, chr(10) ORDER BY start_ms, end_ms, chunk_index)) AS sha256 FROM c GROUP BY conv_id HAVING count(DISTINCT chunk_index) = (SELECT chunks FROM n WHERE n.conv_id = c.conv_id)""")
+# The last turn of each chunk was heard by the next one too, 50 ms later; which of the two was heard better changes.
+@query(f"""WITH {_SEG}, heard AS (
+  SELECT conv_id, turn // 4 AS chunk_index, start_ms + b AS start_ms, end_ms + b AS end_ms, text FROM (SELECT *, CASE WHEN turn % 8 = 3 AND max(turn) OVER (PARTITION BY conv_id) > turn THEN 50 ELSE 0 END AS b FROM seg WHERE text <> '') WHERE true AND NOT (conv_id % 3 = 0 AND turn // 4 = 2)
+), n AS (SELECT conv_id, count(DISTINCT turn // 4) AS chunks FROM seg WHERE text <> '' GROUP BY conv_id)
+SELECT conv_id, count(*) AS segment_count, CAST(0 AS BIGINT) AS warnings, sha256(string_agg(start_ms || ' ' || end_ms || ' ' || text, chr(10) ORDER BY start_ms, end_ms)) AS sha256
+FROM heard GROUP BY conv_id HAVING count(DISTINCT chunk_index) = (SELECT chunks FROM n WHERE n.conv_id = heard.conv_id)""")
 def merged_parts(spark, d):
-    rows = _segments(spark, d).withColumn("chunk_index", F.expr("turn div 4"))
+    rows = _segments(spark, d).where("text <> ''").withColumns({"chunk_index": F.expr("turn div 4"), "avg_logprob": F.lit(-0.2)})
     parts = rows.groupBy("conv_id").agg(F.countDistinct("chunk_index").alias("chunks"))
-    return workflow.merge_parts(rows.where(~((F.col("conv_id") % 3 == 0) & (F.col("chunk_index") == 1))), parts, "conv_id")
+    later = {"start_ms": F.col("start_ms") + 50, "end_ms": F.col("end_ms") + 50, "chunk_index": F.col("chunk_index") + 1, "avg_logprob": F.when(F.col("turn") % 8 == 3, -0.1).otherwise(-0.3)}
+    heard = rows.where(~((F.col("conv_id") % 3 == 0) & (F.col("chunk_index") == 2)))
+    # a chunk that is there hears the end of the one before
+    again = heard.where("turn % 4 = 3").withColumns(later).join(heard.select("conv_id", "chunk_index").distinct(), ["conv_id", "chunk_index"], "left_semi").select(heard.columns)
+    return workflow.merge_parts(heard.union(again), parts, "conv_id")
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS size, sha256(text) AS sha256, CASE WHEN lang <> 'en' THEN 'left_out' WHEN (SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND lang = 'en') > 0 THEN 'blocked' ELSE 'export' END AS status FROM documents""")

@@ -345,3 +345,25 @@ def test_json_files_and_pairs(spark, tmp_path):
     with pytest.raises(Exception):
         records.write_article_pairs(pairs, str(tmp_path / "out"), "id")
     assert spark.range(1).select(workflow.now_iso()).first()[0].endswith("Z")
+
+
+def test_locators_count_from_one(spark):
+    rows = [(1, 1, 0, 3, "abc"), (2, 1, 0, 9, "[1:02:03] x"), (3, 1, 5, 40, "01:02:03,5 then 10:20:30 and 10:20:31.250")]
+    got = fidelity.coverage_units(spark.createDataFrame(rows, "id long, idx int, start long, end long, chunk string")).collect()
+    assert [r["source_locator"] for r in got] == ["字符 1–3", "1:02:03", "01:02:03,5–10:20:31.250"]
+
+
+def test_combining_marks_are_no_word_characters(spark):
+    text = "é é ٣ Ⅳ ½ _ नि A-b 你"
+    assert one(spark, text, T.boundary_form) == "".join(c for c in text if c.isalnum() or c == "_").lower()
+
+
+def test_prompts_stay_in_their_budget(spark):
+    from corpusmill.operators.planning import bounded_prompt
+
+    df = spark.createDataFrame([(1, list("abcdefghij"), list("xyz")), (2, list("abcdefghijklmnopqrstuvwxyz"), list("0123456789")), (3, None, None), (4, [], []), (5, list("abcdefghijklmnopqrstuvwxyz"), None)], "id int, t array<string>, c array<string>")
+    got = {r["id"]: r for r in bounded_prompt(df, "t", "c", 20, prefix=("P",), context_prefix=("Q", "R"), separator=("~",)).collect()}
+    assert "".join(got[1]["prompt"]) == "PabcdefghijQRxyz" and "".join(got[3]["prompt"]) == "P" == "".join(got[4]["prompt"])
+    # 17 tokens of content: 7 for the context, 10 for the terms; with the separator one too many, so the first one goes
+    assert "".join(got[2]["terms_used"]) == "abcde~vwxyz" and "".join(got[2]["context_used"]) == "3456789"
+    assert "".join(got[2]["prompt"]) == "abcde~vwxyzQR3456789" and len(got[5]["prompt"]) == 20
