@@ -2,14 +2,15 @@
 
 Base rules: too few words, or too many words inside repeated three-word windows.  Beyond them a document is held
 against its language: the Jensen-Shannon distances between its histograms of character classes and of
-common words and those of all documents of that language.  The common words are the ``n_common`` most frequent of
-the language's own documents.  A histogram of a short text says little, so each distance counts only from a
-least length on.  A document without a language, or of none of the ``languages`` with the most words, is held
-against all documents.
-
-One pass counts the words of each language (combined before the shuffle), one makes the histograms (some forty
-numbers a document, which are kept); a row of reference for each language is all that reaches the driver or is
-broadcast.
+common words and those of the language's other documents that pass the base rules.  What the judged document itself adds to
+them is left out.  The common words are the ``n_common`` most frequent in those documents, out of the ``n_candidates`` most
+frequent in all documents of the language.  A histogram of a short text says little, so each distance counts only from a
+least length on; and a few documents say little of a language, so one with fewer than ``min_documents`` or
+``min_reference_words`` that pass, like a document without a language, is held against all documents.
+
+One pass counts the words of each language (combined before the shuffle); one makes the histograms, for all languages whose
+candidates fit into one look-up, or for so many languages at a time if they don't.  What it keeps of a text are
+some numbers and its candidate words.  The references are a row for each language.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ class Rules:
     min_chars: int = 200
     min_judged_words: int = 100
     n_common: int = 32
-    languages: int = 256
+    n_candidates: int = 128
+    min_documents: int = 16
+    min_reference_words: int = 4000
+    languages_at_once: int = 256
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -81,64 +85,92 @@ def words_in(text: Column) -> Column:
     return F.array_remove(F.split(without(text, "\t\n\x0b\x0c\r", " "), " "), "")
 
 
-def common_words(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, scratch: Scratch) -> DataFrame:
-    """lang, words, all_commons: the most frequent words of each language with their counts, last that of all others.
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    A row for each of the ``languages`` with the most words, and one with a null language for all documents.
-    """
-    words = docs.select(F.col(lang_col).alias("lang"), F.explode(words_in(F.col(text_col).cast("string"))).alias("word"))
-    counts = scratch.keep(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    most = counts.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(rules.languages)
-    by_lang = counts.join(F.broadcast(most.drop("total")), "lang", "left_semi")
-    pooled = counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+def candidates(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, scratch: Scratch) -> DataFrame:
+    """lang, words: the most frequent words of each language that may have a reference, and of all documents (null lang)."""
+    rows = docs.select(F.col(lang_col).alias("lang"), words_in(F.col(text_col).cast("string")).alias("words"))
+    counts = scratch.keep(rows.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
+    large = counts.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("_n")).where(F.col("_n") >= rules.min_reference_words).drop("_n")
 
     def top(rows: DataFrame, keys: list[str]) -> DataFrame:
-        first = Window.partitionBy(*keys).orderBy(F.desc("n"), "word") if keys else None
-        few = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rules.n_common).drop("k") if keys else rows.orderBy(F.desc("n"), "word").limit(rules.n_common)
-        return few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))).alias("w"))
+        first = Window.partitionBy(*keys).orderBy(F.desc("n"), "word")
+        few = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rules.n_candidates) if keys else rows.orderBy(F.desc("n"), "word").limit(rules.n_candidates)
+        return few.groupBy(*keys).agg(F.collect_list("word").alias("words"))
 
-    listed = top(by_lang, ["lang"]).join(F.broadcast(most), "lang")
-    every = top(pooled, []).crossJoin(pooled.agg(F.sum("n").alias("total"))).select(F.lit(None).cast("string").alias("lang"), "w", "total")  # one row each
-    known = F.transform("w", lambda x: -x["m"])
-    other = F.col("total") - F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x)
-    return listed.select("lang", "w", "total").union(every).select("lang", F.col("w.word").alias("words"), F.concat(known, F.array(F.coalesce(other, F.lit(0)))).alias("all_commons"))
+    every = top(counts.groupBy("word").agg(F.sum("n").alias("n")), []).select(F.lit(None).cast("string").alias("lang"), "words")
+    return scratch.keep(top(counts.join(large, "lang", "left_semi"), ["lang"]).unionByName(every), "candidates")
 
 
-def measures(docs: DataFrame, refs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """doc_id, version, lang, the base counts, and the histograms chars and commons (by the words of the reference)."""
+def measures(docs: DataFrame, listed: DataFrame, rules: Rules, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, version, lang, the base counts, the histogram chars, and said: the words that are candidates of a language."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    # the words of all references, looked up by hash: n_common for each of the languages at most
-    known = sorted({x for r in refs.select("words").collect() for x in r["words"]})
-
-    def of_words(w: Column) -> Column:
-        joined = F.concat(F.lit("|"), F.array_join(F.filter(w, lambda x: x.isin(known)), "||"), F.lit("|"))
-        count = lambda j: F.transform("words", lambda x: ((F.length(j) - F.length(F.replace(j, F.concat(F.lit("|"), x, F.lit("|")), F.lit("")))) / (F.length(x) + 2)).cast("long"))
-        return F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), let(joined, count).alias("commons"))
-
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.length(text).cast("long")
     counts = [F.regexp_count(text, F.lit(p)).cast("long") for p in (r"[A-Z]", r"[0-9]", r"[!-/:-@\[-`{-~]")]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("lang"))
-    listed = refs.where("lang IS NOT NULL").select("lang", F.col("words").alias("_own"))
-    every = refs.where("lang IS NULL").select(F.col("words").alias("_all"))
-    # at most a row for each of the languages of the rules, and one row
-    rows = rows.join(F.broadcast(listed), "lang", "left").crossJoin(F.broadcast(every)).withColumn("words", F.coalesce("_own", "_all", F.array().cast("array<string>")))
-    return rows.select(
-        "doc_id",
-        F.xxhash64("_text").alias("version"),
-        F.when(F.col("_own").isNotNull(), F.col("lang")).alias("lang"),
-        let(words_in(text), of_words).alias("w"),
-        n.alias("n_chars"),
-        F.length(without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-        (n - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        # upper case, digits, punctuation, the bytes beyond one that characters take
-        F.array(*counts, (F.octet_length(text) - n).cast("long")).alias("marks"),
-    ).select(
-        "doc_id", "version", "lang", "n_chars", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words",
-        F.concat("marks", F.array(F.col("n_chars") - F.col("word_chars"), F.col("word_chars") - F.get("marks", F.lit(0)) - F.get("marks", F.lit(1)) - F.get("marks", F.lit(2)))).alias("chars"),
-        F.concat("w.commons", F.array(F.col("w.n_words") - F.aggregate("w.commons", F.lit(0).cast("long"), lambda a, x: a + x))).alias("commons"),
-    )
+    pooled = {x for r in listed.where("lang IS NULL").collect() for x in r["words"]}
+    own = sorted((r["lang"] for r in listed.where("lang IS NOT NULL").select("lang").collect()))
+    parts = [own[k : k + rules.languages_at_once] for k in range(0, len(own), rules.languages_at_once)]
+
+    def measured(rows: DataFrame, known: set[str]) -> DataFrame:
+        words = sorted(known)
+
+        def of_words(w: Column) -> Column:
+            said = F.concat(F.lit(" "), F.array_join(F.filter(w, lambda x: x.isin(words)), "  "), F.lit(" ")) if words else F.lit("  ")
+            return F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), said.alias("said"))
+
+        return rows.select(
+            "doc_id",
+            F.xxhash64("_text").alias("version"),
+            "lang",
+            let(words_in(text), of_words).alias("w"),
+            n.alias("n_chars"),
+            F.length(without(text, " \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
+            (n - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            # upper case, digits, punctuation, the bytes beyond one that characters take
+            F.array(*counts, (F.octet_length(text) - n).cast("long")).alias("marks"),
+        ).select(
+            "doc_id", "version", "lang", "n_chars", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", "w.said",
+            F.concat("marks", F.array(F.col("n_chars") - F.col("word_chars"), F.col("word_chars") - F.get("marks", F.lit(0)) - F.get("marks", F.lit(1)) - F.get("marks", F.lit(2)))).alias("chars"),
+        )
+
+    if len(parts) < 2:
+        return measured(rows, pooled | {x for r in listed.collect() for x in r["words"]})
+    # one look-up of all languages would be too large: each of the parts reads its own documents
+    out = measured(rows.where(F.col("lang").isNull() | ~F.col("lang").isin(own)), pooled)
+    for part in parts:
+        out = out.union(measured(rows.where(F.col("lang").isin(part)), pooled | {x for r in listed.where(F.col("lang").isin(part)).collect() for x in r["words"]}))
+    return out
+
+
+def references(seen: DataFrame, listed: DataFrame, rules: Rules) -> DataFrame:
+    """_lang, words, all_commons (last that of all other words), all_chars of the documents that pass the base rules.
+
+    A row for each language with enough of them, and one (null) for all."""
+    good = seen.where(~base_failed(rules))
+    chars = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(6)]
+    by_lang = good.groupBy("lang").agg(*chars, F.sum("n_words").alias("n_words"), F.count("*").alias("docs"))
+    enough = (F.col("docs") >= rules.min_documents) & (F.col("n_words") >= rules.min_reference_words) & F.col("lang").isNotNull()
+    pooled = by_lang.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(6)], F.sum("n_words").alias("n_words")).select(F.lit(None).cast("string").alias("lang"), *[f"c{i}" for i in range(6)], "n_words")
+    sums = by_lang.where(enough).select(pooled.columns).unionByName(pooled)
+    said = good.select("lang", F.explode(F.split(F.expr("substring(said, 2, length(said) - 2)"), "  ", -1)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).where("word <> ''")
+    own = said.where("lang IS NOT NULL").unionByName(said.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n"))
+    may = listed.select(F.col("lang").alias("l"), F.explode("words").alias("v"))
+    counted = own.join(may, F.col("lang").eqNullSafe(F.col("l")) & (F.col("word") == F.col("v"))).select("lang", "word", "n")
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    top = counted.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rules.n_common).groupBy(F.col("lang").alias("t")).agg(F.sort_array(F.collect_list(F.struct("k", "word", "n"))).alias("w"))
+    both = sums.join(top, F.col("lang").eqNullSafe(F.col("t")), "left")
+    known = F.coalesce(F.transform("w", lambda x: x["n"]), F.array().cast("array<bigint>"))
+    words = F.coalesce(F.col("w.word"), F.array().cast("array<string>"))
+    return both.select(F.col("lang").alias("_lang"), words.alias("words"), F.concat(known, F.array(F.col("n_words") - total(known))).alias("all_commons"), F.array(*[f"c{i}" for i in range(6)]).alias("all_chars"))
+
+
+def base_failed(rules: Rules) -> Column:
+    return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
 
 
 def distance(p: Column, q: Column, p_total: Column, q_total: Column) -> Column:
@@ -155,24 +187,30 @@ def distance(p: Column, q: Column, p_total: Column, q_total: Column) -> Column:
 def assess(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, version (a hash of the text), the counts, base_failed, js_chars, js_words and kept of each row.
 
-    A null text has no words and fails; a text under a guard has no distance (null) and is kept if it passes the
-    base rules; a null or rare language is held against all documents.  Repeated rows are judged alike; other
-    columns are dropped; an empty table gives an empty table.  Windows and equal texts are told by 64-bit hashes.
-    A word that holds "|" counts with what lies beside its bars.
+    A null text has no words and fails; a text under a guard, or one that nothing else can be held against, has no distance
+    (null) and is kept if it passes the base rules; a null or small language is held against all documents.  Repeated rows
+    are judged alike; other columns are dropped; an empty table gives an empty table.  Windows and equal texts are
+    told by 64-bit hashes.
     """
     scratch = Scratch(docs.sparkSession)
-    refs = scratch.keep(common_words(docs, rules, text_col, lang_col, scratch), "references")
-    seen = scratch.keep(measures(docs, refs, id_col, text_col, lang_col), "measures")
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
-    of_lang = seen.groupBy("lang").agg(*[F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(6)])
-    of_all = of_lang.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(6)]).select(F.lit(None).cast("string").alias("lang"), "*")
-    chars = of_lang.where("lang IS NOT NULL").union(of_all).select("lang", F.array(*[f"c{i}" for i in range(6)]).alias("all_chars"))
-    reference = refs.join(chars, refs["lang"].eqNullSafe(chars["lang"])).select(refs["lang"].alias("_lang"), "all_chars", "all_commons", total("all_chars").alias("chars_total"), total("all_commons").alias("commons_total"))
-    # at most a row for each of the languages of the rules, and one
-    both = seen.join(F.broadcast(reference), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumns({"c_total": total("chars"), "w_total": F.col("n_words").cast("double")})
-    chars = F.when(F.col("n_chars") >= rules.min_chars, F.round(distance(F.col("chars"), F.col("all_chars"), F.col("c_total"), F.col("chars_total")), 6))
-    words = F.when(F.col("n_words") >= rules.min_judged_words, F.round(distance(F.col("commons"), F.col("all_commons"), F.col("w_total"), F.col("commons_total")), 6))
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
+    listed = candidates(docs, rules, text_col, lang_col, scratch)
+    seen = scratch.keep(measures(docs, listed, rules, id_col, text_col, lang_col), "measures")
+    refs = scratch.keep(references(seen, listed, rules), "references")
+    pooled = refs.where("_lang IS NULL").select(F.struct("words", "all_commons", "all_chars").alias("_all"))  # one row
+    own = refs.where("_lang IS NOT NULL").select("_lang", F.struct("words", "all_commons", "all_chars").alias("_own"))
+    failed = base_failed(rules)
+    both = seen.join(own, F.col("lang") == F.col("_lang"), "left").crossJoin(F.broadcast(pooled)).withColumn("r", F.coalesce("_own", "_all"))
+    # how often each common word was said
+    often = lambda said: F.transform("r.words", lambda x: ((F.length(said) - F.length(F.replace(said, F.concat(F.lit(" "), x, F.lit(" ")), F.lit("")))) / (F.length(x) + 2)).cast("long"))
+    both = both.withColumn("c", often(F.col("said"))).withColumn("commons", F.concat("c", F.array(F.col("n_words") - total(F.col("c")))))
+    # a document that passes is in the reference: its own counts are taken out
+    others = lambda ref, mine: F.zip_with(ref, mine, lambda q, p: F.when(failed, q).otherwise(q - p))
+    both = both.withColumns({"other_chars": others("r.all_chars", "chars"), "other_commons": others("r.all_commons", "commons")})
+    size = lambda c: total(F.col(c)).cast("double")
+    both = both.withColumns({"c_total": size("chars"), "w_total": F.col("n_words").cast("double"), "chars_total": size("other_chars"), "commons_total": size("other_commons")})
+    enough = lambda n, least, others: (F.col(n) >= least) & (F.col(others) > 0)
+    chars = F.when(enough("n_chars", rules.min_chars, "chars_total"), F.round(distance(F.col("chars"), F.col("other_chars"), F.col("c_total"), F.col("chars_total")), 6))
+    words = F.when(enough("n_words", rules.min_judged_words, "commons_total"), F.round(distance(F.col("commons"), F.col("other_commons"), F.col("w_total"), F.col("commons_total")), 6))
     out = both.select("doc_id", "version", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), chars.alias("js_chars"), words.alias("js_words"))
     far = F.coalesce(F.col("js_chars") > rules.max_char_distance, F.lit(False)) | F.coalesce(F.col("js_words") > rules.max_word_distance, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
@@ -189,25 +227,18 @@ def sql(docs: str = "documents", rules: Rules = Rules()) -> str:
     blanks = r"[\x20\x09-\x0D]"
     word = r"[^\x20\x09-\x0D]+"
     js = "sqrt(greatest(list_sum([CASE WHEN {p}[i] > 0 THEN {p}[i] / {a} * log2(({p}[i] / {a}) / (({p}[i] / {a} + {q}[i] / {b}) / 2)) ELSE 0.0 END + CASE WHEN {q}[i] > 0 THEN {q}[i] / {b} * log2(({q}[i] / {b}) / (({p}[i] / {a} + {q}[i] / {b}) / 2)) ELSE 0.0 END FOR i IN range(1, {k})]) / 2, 0.0))"
-    chars = js.format(p="chars", q="all_chars", a="list_sum(chars)", b="list_sum(all_chars)", k=7)
-    words = js.format(p="commons", q="all_commons", a="n_words", b="list_sum(all_commons)", k="len(commons) + 1")
+    chars = js.format(p="chars", q="other_chars", a="list_sum(chars)", b="list_sum(other_chars)", k=7)
+    words = js.format(p="commons", q="others", a="n_words", b="list_sum(others)", k="len(commons) + 1")
     sums = ", ".join(f"sum(chars[{i}])" for i in range(1, 7))
     return f"""
 WITH base AS (
-  SELECT doc_id, lang AS own_lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM {docs}
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM {docs}
 ), tokens AS (
-  SELECT doc_id, own_lang, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM base
-), spoken AS (
-  SELECT own_lang FROM tokens WHERE own_lang IS NOT NULL GROUP BY own_lang ORDER BY count(*) DESC, own_lang LIMIT {rules.languages}
+  SELECT doc_id, lang, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM base
 ), by_lang AS (
-  SELECT own_lang AS lang, w, count(*) AS n FROM tokens WHERE own_lang IN (SELECT own_lang FROM spoken) GROUP BY own_lang, w
-  UNION ALL SELECT NULL, w, count(*) FROM tokens GROUP BY w
-), ranked AS (
-  SELECT lang, w, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS k, sum(n) OVER (PARTITION BY lang) AS total FROM by_lang
-), top AS (
-  SELECT lang, w, n, k FROM ranked WHERE k <= {rules.n_common}
-), refs AS (
-  SELECT lang, list_append(list(n ORDER BY k), CAST(max(total) - sum(n) AS BIGINT)) AS all_commons FROM ranked WHERE k <= {rules.n_common} GROUP BY lang
+  SELECT lang, w, count(*) AS n FROM tokens WHERE lang IS NOT NULL GROUP BY lang, w UNION ALL SELECT NULL, w, count(*) FROM tokens GROUP BY w
+), candidates AS (
+  SELECT lang, w FROM by_lang QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= {rules.n_candidates}
 ), windows AS (
   SELECT doc_id, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM tokens WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), twice AS (
@@ -216,25 +247,38 @@ WITH base AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest(range(0, 3)) AS k) WHERE hit GROUP BY doc_id
 ), lines AS (
   SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM base) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
-), placed AS (
-  SELECT b.*, s.own_lang AS lang FROM base b LEFT JOIN spoken s ON b.own_lang = s.own_lang
-), found AS (
-  SELECT doc_id, lang, w, count(*) AS n FROM (SELECT t.doc_id, s.own_lang AS lang, t.w FROM tokens t LEFT JOIN spoken s ON t.own_lang = s.own_lang) GROUP BY doc_id, lang, w
-), common AS (
-  SELECT p.doc_id, list(coalesce(f.n, 0) ORDER BY top.k) AS c FROM placed p JOIN top ON top.lang IS NOT DISTINCT FROM p.lang LEFT JOIN found f ON f.doc_id = p.doc_id AND f.w = top.w GROUP BY p.doc_id
 ), counted AS (
-  SELECT b.doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) AS BIGINT) AS n_chars, CAST(length(regexp_replace(t, '{blanks}', '', 'g')) AS BIGINT) AS word_chars,
+  SELECT doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) AS BIGINT) AS n_chars, CAST(length(regexp_replace(t, '{blanks}', '', 'g')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-    len(regexp_extract_all(t, '[A-Z]')) AS u, len(regexp_extract_all(t, '[0-9]')) AS d, len(regexp_extract_all(t, '[!-/:-@\\[-`{{-~]')) AS p, strlen(t) - length(t) AS x, c
-  FROM placed b LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN common USING (doc_id)
+    len(regexp_extract_all(t, '[A-Z]')) AS u, len(regexp_extract_all(t, '[0-9]')) AS d, len(regexp_extract_all(t, '[!-/:-@\\[-`{{-~]')) AS p, strlen(t) - length(t) AS x
+  FROM base LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 ), shaped AS (
-  SELECT *, [u, d, p, x, n_chars - word_chars, word_chars - u - d - p] AS chars, list_append(c, n_words - coalesce(list_sum(c), 0)) AS commons FROM counted
-), char_refs AS (
-  SELECT lang, [{sums}] AS all_chars FROM shaped WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT NULL, [{sums}] FROM shaped
+  SELECT *, [u, d, p, x, n_chars - word_chars, word_chars - u - d - p] AS chars, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words AS base_failed FROM counted
+), sums AS (
+  SELECT lang, [{sums}] AS all_chars, sum(n_words) AS said FROM shaped WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {rules.min_documents} AND sum(n_words) >= {rules.min_reference_words}
+  UNION ALL SELECT NULL, [{sums}], sum(n_words) FROM shaped WHERE NOT base_failed
+), good AS (
+  SELECT lang, w, count(*) AS n FROM tokens SEMI JOIN (SELECT doc_id FROM shaped WHERE NOT base_failed) USING (doc_id) GROUP BY lang, w
+), ranked AS (
+  SELECT g.lang, g.w, g.n, row_number() OVER (PARTITION BY g.lang ORDER BY g.n DESC, g.w) AS k
+  FROM (SELECT lang, w, n FROM good WHERE lang IS NOT NULL UNION ALL SELECT NULL, w, sum(n) FROM good GROUP BY w) g JOIN candidates c ON c.lang IS NOT DISTINCT FROM g.lang AND c.w = g.w
+), top AS (
+  SELECT lang, w, n, k FROM ranked WHERE k <= {rules.n_common}
+), refs AS (
+  SELECT s.lang, all_chars, coalesce(list_append(l, CAST(said - m AS BIGINT)), [CAST(said AS BIGINT)]) AS all_commons
+  FROM sums s LEFT JOIN (SELECT lang, list(CAST(n AS BIGINT) ORDER BY k) AS l, sum(n) AS m FROM top GROUP BY lang) t ON t.lang IS NOT DISTINCT FROM s.lang
+), placed AS (
+  SELECT shaped.*, r.lang AS ref FROM shaped LEFT JOIN refs r ON r.lang = shaped.lang
+), found AS (
+  SELECT doc_id, w, count(*) AS n FROM tokens GROUP BY doc_id, w
+), common AS (
+  SELECT p.doc_id, list(coalesce(f.n, 0) ORDER BY top.k) AS c FROM placed p JOIN top ON top.lang IS NOT DISTINCT FROM p.ref LEFT JOIN found f ON f.doc_id = p.doc_id AND f.w = top.w GROUP BY p.doc_id
+), held AS (
+  SELECT p.*, list_append(coalesce(c, []), n_words - coalesce(list_sum(c), 0)) AS commons, r.all_chars, r.all_commons FROM placed p LEFT JOIN common USING (doc_id) JOIN refs r ON r.lang IS NOT DISTINCT FROM p.ref
+), apart AS (
+  SELECT *, CASE WHEN base_failed THEN all_chars ELSE [all_chars[i] - chars[i] FOR i IN range(1, 7)] END AS other_chars, CASE WHEN base_failed THEN all_commons ELSE [all_commons[i] - commons[i] FOR i IN range(1, len(commons) + 1)] END AS others FROM held
 ), judged AS (
-  SELECT s.*, CASE WHEN n_chars >= {rules.min_chars} THEN round({chars}, 6) END AS js_chars, CASE WHEN n_words >= {rules.min_judged_words} THEN round({words}, 6) END AS js_words,
-    n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words AS base_failed
-  FROM shaped s LEFT JOIN refs r ON s.lang IS NOT DISTINCT FROM r.lang LEFT JOIN char_refs h ON s.lang IS NOT DISTINCT FROM h.lang
+  SELECT *, CASE WHEN n_chars >= {rules.min_chars} AND list_sum(other_chars) > 0 THEN round({chars}, 6) END AS js_chars, CASE WHEN n_words >= {rules.min_judged_words} AND list_sum(others) > 0 THEN round({words}, 6) END AS js_words FROM apart
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words,
   NOT base_failed AND NOT coalesce(js_chars > {rules.max_char_distance}, false) AND NOT coalesce(js_words > {rules.max_word_distance}, false) AS kept
