@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PRIVATE
+from ..session import cut
 
 #: Suffixes by kind.
 VIDEO = (".mp4", ".mkv", ".mov", ".avi", ".webm", ".m4v", ".flv")
@@ -147,6 +148,16 @@ def findings_gate(findings: DataFrame, files: DataFrame, allowed: list[str], pat
     return files.crossJoin(F.broadcast(closed)).select(F.col(path).alias("path"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("sha256"), status.alias("status"))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their places (from 1) in a total order: dealt by ranges of it, numbered within each range, and moved on by how many
+    rows the ranges before hold (a number for each range is all that is gathered)."""
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_in": F.monotonically_increasing_id()}))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
+    before = sizes.withColumn("_sum", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = ranged.join(F.broadcast(before.drop("_n")), "_range").withColumn(name, F.col("_sum") + F.col("_in") - F.col("_first") + 1)
+    return out.drop("_range", "_in", "_first", "_sum")
+
+
 def bounded_prompt(rows: DataFrame, terms: str, context: str, budget: int, prefix: tuple = (), context_prefix: tuple = (), separator: tuple = (), least: int = 16) -> DataFrame:
     """rows (terms and context as arrays of tokens) with what of them goes into a prompt of ``budget`` tokens, and the prompt.
 

@@ -129,10 +129,24 @@ def doc_norms(spark, d):
     return search.documents_with_terms(table(spark, d, "documents")).where("norm > 0").select(F.col("id").alias("doc_id"), F.round("norm", 6).alias("norm"))
 
 
-@query("SELECT * FROM (VALUES ('a/x.md'), ('b/entry.md'), ('b/c/main.md')) t(path)")
+# Every second hundred of documents is a bundle whose entry is its first file; in every third hundred the folder p3 is a
+# bundle of its own, whose entry is its last file.
+_BUNDLED = "SELECT doc_id, 'b' || (doc_id // 100) AS outer_dir, 'b' || (doc_id // 100) || '/p' || (doc_id // 10 % 10) AS inner_dir, 'b' || (doc_id // 100) || '/p' || (doc_id // 10 % 10) || '/' || doc_id || '.md' AS path FROM documents"
+
+
+@query(f"""WITH f AS ({_BUNDLED}), m AS (
+  SELECT outer_dir AS dir, arg_min(path, doc_id) AS entry FROM f WHERE doc_id // 100 % 2 = 0 GROUP BY outer_dir
+  UNION ALL SELECT inner_dir, arg_max(path, doc_id) FROM f WHERE doc_id // 100 % 3 = 0 AND doc_id // 10 % 10 = 3 GROUP BY inner_dir
+), nearest AS (SELECT path, arg_max(entry, length(dir)) AS entry FROM f JOIN m ON dir IN (outer_dir, inner_dir) GROUP BY path)
+SELECT path FROM f LEFT JOIN nearest USING (path) WHERE entry IS NULL OR entry = path""")
 def bundle_entries(spark, d):
-    files = spark.createDataFrame([("a/x.md",), ("b/entry.md",), ("b/other.md",), ("b/c/main.md",), ("b/c/part.md",)], "path string")
-    return search.bundle_entries(files, spark.createDataFrame([("b", "b/entry.md"), ("b/c", "b/c/main.md")], "dir string, entry string"))
+    hundred, ten = F.expr("doc_id div 100"), F.expr("doc_id div 10 % 10")
+    outer = F.concat(F.lit("b"), hundred)
+    inner = F.concat(outer, F.lit("/p"), ten)
+    files = table(spark, d, "documents").select("doc_id", hundred.alias("h"), ten.alias("t"), outer.alias("outer_dir"), inner.alias("inner_dir"), F.concat(inner, F.lit("/"), F.col("doc_id"), F.lit(".md")).alias("path"))
+    whole = files.where("h % 2 = 0").groupBy(F.col("outer_dir").alias("dir")).agg(F.min_by("path", "doc_id").alias("entry"))
+    part = files.where("h % 3 = 0 AND t = 3").groupBy(F.col("inner_dir").alias("dir")).agg(F.max_by("path", "doc_id").alias("entry"))
+    return search.bundle_entries(files.select("path"), whole.union(part))
 
 
 @query("""SELECT b.item_id, d.doc_id, CAST(instr(d.text, b.text) - 1 AS BIGINT) AS start, CAST((length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) AS BIGINT) AS n
@@ -402,12 +416,18 @@ def link_closure(spark, d):
 _MD = [("a/x.md", "see [b](../b/y%20z.md#part) and ![i](<img one.png>) `[no](no.md)`\n[id]: ../b/y%20z.md\n<img src=\"p.png\"> [w](https://e.org/a_(b)) [c](c(1).md)"), ("b/y z.md", "back [a](../a/x.md)")]
 
 
-@query(
-    "SELECT * FROM (VALUES ('a/x.md', '../b/y%20z.md#part', 'inline', 'b/y z.md', 'found'), ('a/x.md', 'img one.png', 'inline', 'a/img one.png', 'missing'), ('a/x.md', '../b/y%20z.md', 'definition', 'b/y z.md', 'found'), "
-    "('a/x.md', 'p.png', 'attribute', 'a/p.png', 'missing'), ('a/x.md', 'https://e.org/a_(b)', 'inline', NULL, 'remote'), ('a/x.md', 'c(1).md', 'inline', 'a/c(1).md', 'missing'), ('b/y z.md', '../a/x.md', 'inline', 'a/x.md', 'found')) t(src, dest, form, resolved, status)"
-)
+# Each document as a file that links to the next one in all forms, in code (which is none), and to what isn't there.
+@query("""WITH f AS (SELECT doc_id, 'd' || (doc_id % 7) AS dir, 'd' || (doc_id % 7) || '/' || doc_id || '.md' AS src, 'd' || ((doc_id + 1) % 7) || '/' || (doc_id + 1) || '.md' AS nxt FROM documents)
+SELECT src, '../' || nxt || '#part' AS dest, 'inline' AS form, nxt AS resolved, CASE WHEN EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = f.doc_id + 1) THEN 'found' ELSE 'missing' END AS status FROM f
+UNION ALL SELECT src, 'img%20' || doc_id || '.png', 'inline', dir || '/img ' || doc_id || '.png', 'missing' FROM f
+UNION ALL SELECT src, 'two words.md', 'inline', dir || '/two words.md', 'missing' FROM f
+UNION ALL SELECT src, './' || doc_id || '.md', 'definition', src, 'found' FROM f
+UNION ALL SELECT src, 'p' || doc_id || '.png', 'attribute', dir || '/p' || doc_id || '.png', 'missing' FROM f
+UNION ALL SELECT src, 'https://e.org/a_(b)', 'inline', NULL, 'remote' FROM f
+UNION ALL SELECT src, 'c(1).md', 'inline', dir || '/c(1).md', 'missing' FROM f""")
 def markdown_links(spark, d):
-    files = spark.createDataFrame(_MD, "path string, text string")
+    text = F.format_string("see [b](../d%d/%d.md#part) and ![i](img%%20%d.png) `[no](no.md)` [t](<two words.md>)\n[id]: ./%d.md\n<img src=\"p%d.png\"> [w](https://e.org/a_(b)) [c](c(1).md)\n", (F.col("doc_id") + 1) % 7, F.col("doc_id") + 1, "doc_id", "doc_id", "doc_id")
+    files = table(spark, d, "documents").select(F.format_string("d%d/%d.md", F.col("doc_id") % 7, "doc_id").alias("path"), F.concat(text, "text").alias("text"))
     return links.resolve(links.link_spans(files), files).select("src", "dest", "form", "resolved", "status")
 
 
@@ -848,28 +868,32 @@ def post_relations(spark, d):
     return rows.select("conv_id", "turn", posts.relation(F.instr("text", "\n"), F.lit(None).cast("string"), parent).alias("relation"))
 
 
-_CARD = '<article data-testid="tweet"><div data-testid="User-Name">A One</div><a href="/aone/status/11"><span><time datetime="2024-01-01"></time></span></a><div data-testid="tweetText">hi <a href="/evil/status/99">x</a></div></article>'
-_QUOTE = '<article data-testid="tweet" data-in-reply-to-status-id="7"><a href="https://x.com/b/status/12/photo/1"><time></time></a><div data-testid="tweetText">see<br>it</div><div role="link"><div data-testid="User-Name">C</div><a href="/c/status/13"><time></time></a><div data-testid="tweetPhoto"><img src="https://p/1.jpg" alt="pic"></div></div></article>'
-_LOOSE = '<article data-testid="tweet" data-tweet-id="77" data-in-reply-to-status-id="11"><div data-testid="tweetText">see <a href="/somebody/status/444">this</a></div></article>'
-_AGAIN = '<article data-testid="tweet"><div data-testid="User-Name">E</div><a href="https://mobile.twitter.com/e/status/5"><time></time></a><div data-testid="tweetText">no id</div><div data-testid="socialContext">E reposted</div></article>'
-
-
-@query("""SELECT * FROM (VALUES
-  ('p1', '11', 'aone', 'hi x', 'unknown', 0, CAST(NULL AS VARCHAR), 1, 'https://x.com/aone/status/11', CAST(NULL AS VARCHAR), '2024-01-01', 0),
-  ('p1', '12', 'b', 'see' || chr(10) || 'it', 'quote', 1, NULL, 2, 'https://x.com/b/status/12', '7', NULL, 0),
-  ('p1', '77', NULL, 'see this', 'reply', 0, NULL, 3, NULL, '11', NULL, 0),
-  ('p1', NULL, NULL, 'no id', 'repost', 0, 'a card without a post id or permalink', 4, NULL, NULL, NULL, 0),
-  ('p1', '11', 'aone', 'hi y', 'unknown', 0, 'another snapshot of the same post', 5, 'https://x.com/aone/status/11', NULL, '2024-01-01', 0),
-  ('p2', NULL, NULL, NULL, NULL, 0, 'no posts found', 0, NULL, NULL, NULL, 0),
-  ('p3', NULL, NULL, NULL, NULL, 0, 'a card without text or photo', 0, NULL, NULL, NULL, 0),
-  ('p4', '13', 'c', '', 'unknown', 0, NULL, 1, 'https://x.com/c/status/13', NULL, NULL, 1)
-) t(page_id, post_id, author_account, text, relation, n_quotes, warning, page_order, permalink, reply_to_id, published_at, n_media)""")
+# Each conversation as a page of cards: a turn answers the one before, each fifth shows a context, each fourth quotes the
+# first turn, each seventh has a photo, each sixth no link around its time (and so no account), each ninth comes twice.
+@query("""WITH t AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS said, conv_id * 100 + turn AS id FROM conversations),
+bad AS (SELECT DISTINCT conv_id FROM t WHERE said = '' AND turn % 7 <> 6 OR conv_id % 11 = 10)
+SELECT CAST(conv_id AS VARCHAR) AS page_id, CASE WHEN turn % 6 <> 5 THEN CAST(id AS VARCHAR) END AS post_id, CASE WHEN turn % 6 <> 5 THEN role END AS account, said AS text, CASE WHEN turn % 4 = 3 THEN 'quote' WHEN turn % 5 = 4 THEN 'repost' WHEN turn > 0 THEN 'reply' ELSE 'unknown' END AS relation,
+  CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END AS n_quotes, CASE WHEN turn % 6 = 5 THEN 'a card without a post id or permalink' END AS warning, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS page_order,
+  CASE WHEN turn % 6 <> 5 THEN 'https://x.com/' || role || '/status/' || id END AS permalink, CASE WHEN turn > 0 THEN CAST(id - 1 AS VARCHAR) END AS reply_to_id, CASE WHEN turn % 7 = 6 THEN 1 ELSE 0 END AS n_media
+FROM t WHERE conv_id NOT IN (SELECT conv_id FROM bad)
+UNION ALL SELECT CAST(conv_id AS VARCHAR), NULL, NULL, NULL, NULL, 0, CASE WHEN conv_id % 11 = 10 THEN 'no posts found' ELSE 'a card without text or photo' END, 0, NULL, NULL, 0 FROM bad""")
 def extract_posts(spark, d):
-    photo = '<article data-testid="tweet"><a href="/c/status/13"><time></time></a><img src="avatar.png"><div data-testid="tweetPhoto"><img src="a.png"></div></article>'
-    rows = [("p1", _CARD + _CARD + _QUOTE + _LOOSE + _AGAIN + _CARD.replace(">x<", ">y<")), ("p2", "<div>shell</div>"), ("p3", _CARD + '<article data-testid="tweet"><p>x</p></article>'), ("p4", photo)]
-    found = posts.extract_posts(spark.createDataFrame(rows, "page_id string, html string"))
+    said = F.trim(F.regexp_replace("text", r"\s+", " "))
+    safe = F.replace(F.replace(said, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    number = F.col("conv_id") * 100 + F.col("turn")
+    turn = F.col("turn")
+    parent = F.when(turn > 0, F.concat(F.lit(' data-in-reply-to-status-id="'), number - 1, F.lit('"'))).otherwise("")
+    time = F.when(turn % 6 == 5, "<time></time>").otherwise(F.concat(F.lit('<a href="/'), "role", F.lit("/status/"), number, F.lit('"><time></time></a>')))
+    quote = F.when(turn % 4 == 3, F.concat(F.lit('<article data-testid="tweet"><a href="/q/status/1"><time></time></a><div data-testid="tweetText">what was said: '), "first", F.lit("</div></article>"))).otherwise("")
+    context = F.when(turn % 5 == 4, '<div data-testid="socialContext">E reposted</div>').otherwise("")
+    photo = F.when(turn % 7 == 6, '<div data-testid="tweetPhoto"><img src="https://p/1.jpg" alt="pic"></div>').otherwise("")
+    card = F.concat(F.lit('<article data-testid="tweet"'), parent, F.lit(">"), time, F.lit('<div data-testid="tweetText">'), safe, F.lit("</div>"), quote, context, photo, F.lit("</article>"))
+    rows = table(spark, d, "conversations").withColumn("first", F.first(safe).over(Window.partitionBy("conv_id").orderBy("turn")))
+    cards = rows.select("conv_id", "turn", F.repeat(card, F.when(turn % 9 == 8, 2).otherwise(1)).alias("card")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "card"))).alias("c"))
+    html = F.when(F.col("conv_id") % 11 == 10, "<div>shell</div>").otherwise(F.array_join(F.transform("c", lambda x: x["card"]), "\n"))
+    found = posts.extract_posts(cards.select(F.col("conv_id").cast("string").alias("page_id"), html.alias("html")))
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
-    return found.select("page_id", "post_id", "author_account", "text", "relation", size("quoted_posts").alias("n_quotes"), "warning", F.coalesce("page_order", F.lit(0)).alias("page_order"), "permalink", "reply_to_id", "published_at", size("media").alias("n_media"))
+    return found.select("page_id", "post_id", F.col("author_account").alias("account"), "text", "relation", size("quoted_posts").alias("n_quotes"), "warning", F.coalesce("page_order", F.lit(0)).alias("page_order"), "permalink", "reply_to_id", size("media").alias("n_media"))
 
 
 # ---- planning
@@ -877,29 +901,46 @@ def extract_posts(spark, d):
 _PATHS = ["a/v.MP4", "a/s.srt", "b/transcript.txt", "b/notes.md", "b/pic.png", "c/page.HTML", "c/d.docx", "noext"]
 
 
-@query(
-    "SELECT * FROM (VALUES ('a/v.MP4', 'video', CAST(NULL AS VARCHAR), false, CAST(NULL AS VARCHAR)), ('a/s.srt', 'text', 'caption', true, 'high'), ('b/transcript.txt', 'text', 'text', true, 'high'), ('b/notes.md', 'text', 'markdown', true, 'possible'), "
-    "('b/pic.png', 'other', NULL, false, NULL), ('c/page.HTML', 'text', 'html', false, NULL), ('c/d.docx', 'text', 'docx', false, NULL), ('noext', 'other', NULL, false, NULL)) t(path, kind, reader, candidate, confidence)"
-)
+_NAMES = ["clip.MP4", "talk.srt", "transcript.txt", "notes.md", "pic.png", "page.HTML", "text.docx", "noext"]
+#: Each document as a file of one of eight kinds; every second one of the notes begins with a time stamp.
+_FILED = "SELECT doc_id, source || '/' || doc_id || '/' || ['clip.MP4', 'talk.srt', 'transcript.txt', 'notes.md', 'pic.png', 'page.HTML', 'text.docx', 'noext'][doc_id % 8 + 1] AS path, CASE WHEN doc_id % 16 = 3 THEN '00:01:02 ' ELSE '' END || text AS sample FROM documents"
+_KINDS = f"""SELECT doc_id, path, CASE doc_id % 8 WHEN 0 THEN 'video' WHEN 4 THEN 'other' WHEN 7 THEN 'other' ELSE 'text' END AS kind, [NULL, 'caption', 'text', 'markdown', NULL, 'html', 'docx', NULL][doc_id % 8 + 1] AS reader,
+  doc_id % 8 IN (1, 2) OR (doc_id % 8 = 3 AND regexp_matches(sample, '[0-9]{{1,2}}:[0-9]{{2}}')) AS candidate, CASE WHEN doc_id % 8 IN (1, 2) THEN 'high' WHEN doc_id % 8 = 3 AND regexp_matches(sample, '[0-9]{{1,2}}:[0-9]{{2}}') THEN 'possible' END AS confidence FROM ({_FILED})"""
+
+
+def _filed(spark, d):
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % 8 + 1).cast("int"))
+    sample = F.concat(F.when(F.col("doc_id") % 16 == 3, "00:01:02 ").otherwise(""), "text")
+    rows = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), sample.alias("sample"))
+    told = rows.withColumn("t", planning.transcript_candidate(F.col("path"), F.col("sample")))
+    return told.select("doc_id", "path", planning.material_kind(F.col("path")).alias("kind"), planning.reader_for(F.col("path")).alias("reader"), "t.candidate", "t.confidence")
+
+
+@query(f"SELECT path, kind, reader, candidate, confidence FROM ({_KINDS})")
 def file_routing(spark, d):
-    rows = spark.createDataFrame([(p, "00:01:02 hello" if p == "b/notes.md" else "x") for p in _PATHS], "path string, sample string")
-    t = planning.transcript_candidate(F.col("path"), F.col("sample"))
-    return rows.withColumn("t", t).select("path", planning.material_kind(F.col("path")).alias("kind"), planning.reader_for(F.col("path")).alias("reader"), "t.candidate", "t.confidence")
+    return _filed(spark, d).drop("doc_id")
 
 
-@query(
-    "SELECT * FROM (VALUES ('one', false, '', 0, CAST(NULL AS VARCHAR)), ('media+t', true, 'media_and_transcript_coexist', 5, 'reuse_transcript_selective_verification'), ('va', true, 'multiple_media_candidates', 4, 'use_existing_audio'), "
-    "('ts', true, 'multiple_transcript_candidates', 3, 'select_one_transcript'), ('vv', true, 'multiple_media_candidates', 3, 'select_one_media')) t(project, required, reasons, options, recommended)"
-)
+# Projects of one to five files.
+@query(f"""WITH f AS (SELECT CAST(doc_id // CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 17 END AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS project, kind, candidate FROM ({_KINDS})),
+c AS (SELECT project, count(*) FILTER (WHERE kind = 'video') AS v, count(*) FILTER (WHERE candidate) AS t FROM f GROUP BY project)
+SELECT project, v + t > 1 AS required, CASE WHEN v + t > 1 THEN array_to_string(list_filter([CASE WHEN t > 1 THEN 'multiple_transcript_candidates' END, CASE WHEN v > 1 THEN 'multiple_media_candidates' END, CASE WHEN v > 0 AND t > 0 THEN 'media_and_transcript_coexist' END], lambda x: x IS NOT NULL), '|') ELSE '' END AS reasons,
+  CASE WHEN v + t <= 1 THEN 0 WHEN v > 0 AND t > 0 THEN 5 ELSE 3 END AS options, CASE WHEN v + t <= 1 THEN NULL WHEN v > 0 AND t > 0 THEN 'reuse_transcript_selective_verification' WHEN t > 1 THEN 'select_one_transcript' ELSE 'select_one_media' END AS recommended FROM c""")
 def material_options(spark, d):
-    rows = spark.createDataFrame([("one", 1, 0, 0), ("media+t", 1, 0, 1), ("va", 1, 1, 0), ("ts", 0, 0, 2), ("vv", 2, 0, 0)], "project string, video int, audio int, transcript int")
-    return planning.material_options(rows).select("project", "required", F.array_join("reasons", "|").alias("reasons"), F.coalesce("options", F.lit(0)).alias("options"), "recommended")
+    project = F.when(F.col("doc_id") % 2 == 0, F.concat(F.expr("doc_id div 3"), F.lit("a"))).otherwise(F.concat(F.expr("doc_id div 17"), F.lit("b")))
+    counts = _filed(spark, d).groupBy(project.alias("project")).agg(*[F.count_if(F.col("kind") == k).cast("int").alias(k) for k in ("video", "audio")], F.count_if("candidate").cast("int").alias("transcript"))
+    return planning.material_options(counts).select("project", "required", F.array_join("reasons", "|").alias("reasons"), F.coalesce("options", F.lit(0)).alias("options"), "recommended")
 
 
-@query("SELECT * FROM (VALUES ('/p/a.md', '/p', true, 'explicit_task_request'), ('/q/dir', '/q/dir', false, 'database_unavailable'), ('/lib/x.md', '/out', false, 'not_requested')) t(source, project_dir, ingest_allowed, basis)")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '/out/' || lang WHEN doc_id % 5 = 0 THEN '/' || source || '/' || doc_id ELSE '/' || source END AS project_dir, doc_id % 4 <> 0 AND doc_id % 2 = 0 AS ingest_allowed,
+  CASE WHEN doc_id % 4 = 0 THEN 'not_requested' WHEN doc_id % 2 = 0 THEN 'explicit_task_request' ELSE 'database_unavailable' END AS basis FROM documents""")
 def output_plan(spark, d):
-    rows = spark.createDataFrame([("/p/a.md", False, None, "/lib", False, True), ("/q/dir", True, None, None, False, True), ("/lib/x.md", False, "/out", "/lib", True, False)], "source string, is_dir boolean, output_dir string, root string, inside_root boolean, confirmed boolean")
-    return planning.output_plan(rows).select("source", "project_dir", "ingest_allowed", "basis")
+    n = F.col("doc_id")
+    tasks = table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("/"), "source", F.lit("/"), n.cast("string")).alias("source"), (n % 5 == 0).alias("is_dir"), F.when(n % 7 == 0, F.concat(F.lit("/out/"), "lang")).alias("output_dir"),
+        F.when(n % 2 == 0, "/lib").alias("root"), (n % 3 == 0).alias("inside_root"), (n % 4 != 0).alias("confirmed"),
+    )
+    return planning.output_plan(tasks).select("doc_id", "project_dir", "ingest_allowed", "basis")
 
 
 @query("SELECT count(*) AS count, count(*) <= 80 AS allowed FROM embeddings")
@@ -907,20 +948,29 @@ def candidate_overflow(spark, d):
     return planning.overflow(table(spark, d, "embeddings"), 80)
 
 
-@query(
-    "SELECT * FROM (VALUES (0, 'remote_not_saved', CAST(NULL AS VARCHAR)), (1, 'decoded', 'image-001-2cf24dba5fb0.png'), (2, 'invalid_data', NULL), (3, 'unsupported', NULL), (4, 'local', NULL)) t(idx, status, name)"
-)
+# What a page may hold as its source: an address, the text itself as data, data that is none, another type, a file.
+@query("""SELECT doc_id, ['remote_not_saved', 'decoded', 'invalid_data', 'unsupported', 'local'][doc_id % 5 + 1] AS status, CASE WHEN doc_id % 5 = 1 THEN printf('image-%03d-', doc_id % 1000) || left(sha256(text), 12) || CASE WHEN doc_id % 2 = 0 THEN '.png' ELSE '.jpg' END END AS name,
+  CASE WHEN doc_id % 5 = 1 THEN CAST(strlen(text) AS INTEGER) END AS size FROM documents""")
 def image_candidates(spark, d):
-    src = ["https://e.org/a.png", "data:image/png;base64,aGVsbG8=", "data:image/png;base64,@@@", "data:text/plain,x", "img/b.png"]
-    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate(src)], "doc_id int, idx int, src string")
-    return sinks.image_candidates(rows).select("idx", "status", "name")
+    n = F.col("doc_id")
+    data = F.concat(F.lit("data:image/"), F.when(n % 2 == 0, "png").otherwise("jpeg"), F.lit(";base64,"), F.base64(F.col("text").cast("binary")))
+    src = F.when(n % 5 == 0, F.concat(F.lit("https://e.org/"), n)).when(n % 5 == 1, data).when(n % 5 == 2, "data:image/png;base64,@@@").when(n % 5 == 3, "data:text/plain,x").otherwise(F.concat(F.lit("img/"), n, F.lit(".png")))
+    rows = table(spark, d, "documents").select("doc_id", (n % 1000).cast("int").alias("idx"), src.alias("src"))
+    return sinks.image_candidates(rows).select("doc_id", "status", "name", "size")
 
 
-@query("SELECT * FROM (VALUES ('a/page.html', 'a/page_files', 2, 30), ('b/q.htm', 'b/q.files', 1, 5)) t(page, dir, file_count, total_bytes)")
+# Of ten files the first is a page, six lie in its folder, two in another of its kinds, and one in a folder without a page.
+@query("""WITH f AS (SELECT *, 'w' || (doc_id // 100) || '/p' || (doc_id // 10 * 10) AS stem FROM documents), pages AS (SELECT DISTINCT stem, stem || '.html' AS page FROM f WHERE doc_id % 10 = 0),
+inner_ AS (SELECT stem, CASE WHEN doc_id % 10 <= 6 THEN stem || '_files' ELSE stem || '.files' END AS dir, n_chars, sha256(text) AS sha, CASE WHEN doc_id % 3 = 0 THEN 's/' ELSE '' END || doc_id || '.png' AS rel FROM f WHERE doc_id % 10 BETWEEN 1 AND 8)
+SELECT page, dir, count(*) AS file_count, CAST(sum(n_chars) AS BIGINT) AS total_bytes, sha256(string_agg(rel || ' ' || sha, chr(10) ORDER BY rel)) AS listed FROM inner_ JOIN pages USING (stem) GROUP BY page, dir""")
 def companion_dirs(spark, d):
-    files = [("a/page.html", 1), ("a/page_files/i.png", 10), ("a/page_files/s/j.png", 20), ("b/q.htm", 1), ("b/q.files/k.css", 5), ("c/lone_files/x", 9)]
-    rows = spark.createDataFrame([(p, n, "") for p, n in files], "path string, size long, sha256 string")
-    return integrity.companion_dirs(rows).select("page", "dir", F.col("file_count").cast("int").alias("file_count"), F.col("total_bytes").cast("int").alias("total_bytes"))
+    n = F.col("doc_id")
+    stem = F.concat(F.lit("w"), F.expr("doc_id div 100"), F.lit("/p"), F.expr("doc_id div 10 * 10"))
+    inner = F.concat(F.when(n % 3 == 0, "s/").otherwise(""), n, F.lit(".png"))
+    path = F.when(n % 10 == 0, F.concat(stem, F.lit(".html"))).when(n % 10 <= 6, F.concat(stem, F.lit("_files/"), inner)).when(n % 10 <= 8, F.concat(stem, F.lit(".files/"), inner)).otherwise(F.concat(F.lit("lone_files/"), n))
+    rows = table(spark, d, "documents").select(path.alias("path"), F.col("n_chars").alias("size"), F.sha2("text", 256).alias("sha256"))
+    listed = F.array_join(F.transform("files", lambda x: F.concat_ws(" ", x["relative_path"], x["sha256"])), "\n")
+    return integrity.companion_dirs(rows).select("page", "dir", "file_count", "total_bytes", F.sha2(listed, 256).alias("listed"))
 
 
 @query("SELECT doc_id, '# ' || source || chr(10) || chr(10) || '- lang: ' || lang || chr(10) || '- chars: ' || n_chars || chr(10) || chr(10) || text || chr(10) AS markdown FROM documents")
@@ -1091,8 +1141,7 @@ def tree_totals(spark, d):
 
 @query(f"WITH {_FILES} SELECT path, row_number() OVER (ORDER BY lower(path), path) AS place FROM (SELECT DISTINCT path FROM f)")
 def sorted_paths(spark, d):
-    """The paths of the first hundreds of files; a total order is the feature, so one window numbers them."""
-    return _files(spark, d).select("path").distinct().select("path", F.row_number().over(Window.orderBy(*planning.path_order(F.col("path")))).cast("long").alias("place"))
+    return planning.numbered(_files(spark, d).select("path").distinct(), planning.path_order(F.col("path")), "place")
 
 
 @query(f"WITH {_FILES} SELECT DISTINCT path FROM f WHERE path NOT LIKE '%.md' AND path NOT IN (SELECT path FROM f WHERE doc_id % 2 = 0)")

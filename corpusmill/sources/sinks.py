@@ -58,7 +58,7 @@ def image_candidates(images: DataFrame) -> DataFrame:
 
     Images over 40 MiB are an error; names are image-NNN- and the first 12 digits of the hash.
     """
-    data = F.regexp_extract("src", r"(?i)^data:image/(png|jpe?g|gif|webp|bmp);base64,(.*)$", 2)
+    data = F.regexp_extract("src", r"(?is)^data:image/(png|jpe?g|gif|webp|bmp);base64,(.*)$", 2)
     kind = F.lower(F.regexp_extract("src", r"(?i)^data:image/(png|jpe?g|gif|webp|bmp);base64,", 1))
     raw = F.when(kind != "", F.try_to_binary(F.regexp_replace(data, r"\s", ""), F.lit("base64")))
     status = (
