@@ -184,7 +184,7 @@ def test_blocks_split_large_buckets(spark, monkeypatch):
 
 
 def brute_lines(rows, min_lines, min_words):
-    """By document, the lines to remove and the places where a copied run of min_lines begins.
+    """By document, the lines to remove and the copied run that begins at each place: (place, lines), the longest one.
 
     Every run of every length is looked for in all that comes before it.  Rows with equal id and text count once;
     order is id (null first), then, as here, one text for each id.
@@ -192,44 +192,88 @@ def brute_lines(rows, min_lines, min_words):
     texts = sorted(((i, t.split("\n")) for i, t in {(i, t) for i, t in rows} if t is not None), key=lambda x: (x[0] is not None, x[0] or 0))
     out, first = {}, {}
     for at, (i, ls) in enumerate(texts):
-        gone, begins = out.setdefault(i, (set(), set()))
+        gone, runs = out.setdefault(i, (set(), {}))
         for k in range(len(ls)):
             for n in range(1, len(ls) - k + 1):
                 doc, place = first.setdefault(tuple(ls[k : k + n]), (at, k))
                 if (n >= min_lines or n == 1 and len(ls[k].split()) >= min_words) and (doc != at or place + n <= k):
                     gone.update(range(k, k + n))
                     if n >= min_lines:
-                        begins.add(k)
+                        runs[k] = n
     return out
 
 
-def brute_runs(gone, begins, min_lines):
-    covered = {k + j for k in begins for j in range(min_lines)}
-    return sum(k - 1 not in begins for k in begins) + len(gone - covered)
+def brute_runs(gone, runs):
+    """The copied runs that no other one holds, and the lines that go alone."""
+    maximal = [(k, n) for k, n in runs.items() if not any(j < k and j + m >= k + n for j, m in runs.items())]
+    covered = {k + j for k, n in runs.items() for j in range(n)}
+    return len(maximal) + len(gone - covered)
 
 
-@pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
-def test_line_dedup(spark, docs, none, min_lines):
+@pytest.mark.parametrize("min_lines, piece", [(1, 1 << 16), (2, 1 << 16), (3, 1 << 16), (2, 7), (2, 3), (5, 11)])
+def test_line_dedup(spark, docs, none, min_lines, piece):
     rng = np.random.default_rng(min_lines)
     lines = [f"line {k}" for k in range(4)] + [sentence(90, 55), ""]
     rows = list(ROWS) + [(100 + k, "\n".join(lines[i] for i in rng.integers(0, 6, rng.integers(1, 12)))) for k in range(40)]
     rows += [(200, "X\nX"), (201, "Y\nY\nY"), (202, "A\nZ\nZ\nZ\nB"), (203, "W\nW\nW\nW\nW"), (204, "\n".join(f"copied {k}" for k in range(37))), (205, "\n".join(["own", *(f"copied {k}" for k in range(3, 37)), "end"]))]
+    # ABC and BCD were said before, ABCD was not: two runs that overlap; a depth of two lines alone would see one
+    rows += [(300, "A1\nB1\nC1"), (301, "B1\nC1\nD1"), (302, "A1\nB1\nC1\nD1"), (303, "A1\nB1\nown\nC1\nD1")]
     df = spark.createDataFrame([(i, t, "en", "s", 0, "x", 1, 2, 3) for i, t in rows], SCHEMA)
     want = brute_lines(rows, min_lines, 50)
-    for r in line_dedup.dedup_lines(df, min_lines, 50).collect():
+    for r in line_dedup.dedup_lines(df, min_lines, 50, piece=piece).collect():
         text = next(t for i, t in rows if i == r["doc_id"])
         if text is None:
             assert r["text"] is None and r["n_lines"] == 0
             continue
-        gone, begins = want[r["doc_id"]]
+        gone, runs = want[r["doc_id"]]
         assert r["text"] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
         assert (r["n_lines"], r["n_removed"]) == (text.count("\n") + 1, len(gone))
-        assert r["n_runs"] == brute_runs(gone, begins, min_lines)
-        if min_lines == 2 and r["doc_id"] in (200, 201, 202, 203):
-            assert r["text"] == {200: "X\nX", 201: "Y\nY\nY", 202: "A\nZ\nZ\nZ\nB", 203: "W\nW"}[r["doc_id"]]
+        assert r["n_runs"] == brute_runs(gone, runs)
+        if min_lines == 2 and r["doc_id"] in (200, 201, 202, 203, 302):
+            assert r["text"] == {200: "X\nX", 201: "Y\nY\nY", 202: "A\nZ\nZ\nZ\nB", 203: "W\nW", 302: ""}[r["doc_id"]]
+        if min_lines == 2 and r["doc_id"] in (302, 303):
+            assert r["n_runs"] == 2
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_suffix_array(spark):
+    """Ranks are the order of all suffixes with a repeated line, and neighbours share what they share."""
+    rng = np.random.default_rng(4)
+    rows = [(k, "\n".join(f"l{x}" for x in rng.integers(0, 4, rng.integers(1, 30)))) for k in range(25)]
+    scratch = Scratch(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup.repeated_lines(line_dedup.line_ids(df, "doc_id", "text", 50), scratch)
+    array, levels = line_dedup.ranked(lines, scratch)
+    place = {r["pos"]: (r["_doc"], r["_line"]) for r in lines.collect()}
+    text = dict((i, t.split("\n")) for i, t in rows)
+    suffix = lambda p: text[place[p][0]][place[p][1] :]
+    order = [r["pos"] for r in array.orderBy("rank").collect()]
+    assert [r["rank"] for r in array.orderBy("rank").collect()] == list(range(len(place))) and sorted(order) == sorted(place)
+
+    def shared(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return n
+
+    common = [0] + [shared(suffix(a), suffix(b)) for a, b in zip(order, order[1:])]
+    # a suffix shares as much with a neighbour as with any other one
+    for k, p in enumerate(order):
+        best = max(shared(suffix(p), suffix(q)) for q in order if q != p)
+        assert max(common[k], common[k + 1] if k + 1 < len(order) else 0) == best
+    got = {r["rank"]: r["h"] for r in line_dedup.common_prefixes(array, levels, 2, scratch).collect()}
+    assert all(h == common[k] for k, h in got.items() if h >= 2) and {k for k, h in enumerate(common) if h >= 2} <= set(got)
+    assert len(levels) > 3
+
+
+def test_copied_runs_of_one_line_many_times():
+    """A document of one line again and again: linear, and half of it is a copy."""
+    n = 20_000
+    order = list(range(n - 1, -1, -1))
+    runs = line_dedup.copied(order, [0] * n, [0, *range(1, n)], [], [], 2)
+    assert dict(zip(order, runs))[n // 2] == n // 2 and max(runs) == n // 2
+
+
 def brute_quality(text):
     import re
 
