@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import times as M
 from ..operators import attribution, containment, fidelity, frames, integrity, intervals, links, planning, postings, runs, search, workflow
 from ..session import shared_folder
-from ..sources import captions, documents, html, posts, records, sinks
+from ..sources import captions, documents, html, posts, publication, records, sinks
 from ..streaming import events as windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,30 @@ def evidence_in_documents(spark, d):
     return found.select(F.col("part_id").alias("item_id"), F.col("id").alias("doc_id"), "start")
 
 
+# Each document as a file that links to the next one, up to the fourth of five; the first of five is the entry of an archive.
+@query("""WITH f AS (SELECT doc_id, 'd' || (doc_id % 7) || '/' || doc_id || '.md' AS path, CASE WHEN doc_id % 5 < 4 THEN '[next](../d' || ((doc_id + 1) % 7) || '/' || (doc_id + 1) || '.md)' ELSE 'end' END || chr(10) || text AS content FROM documents)
+SELECT e.path AS entry, f.path, CAST(strlen(f.content) AS BIGINT) AS size, sha256(f.content) AS sha256 FROM f e JOIN f ON f.doc_id // 5 = e.doc_id // 5
+WHERE e.doc_id % 5 = 0 AND (SELECT count(*) FROM f g WHERE g.doc_id BETWEEN e.doc_id AND f.doc_id) = f.doc_id - e.doc_id + 1""")
+def bundle_archives(spark, d):
+    """What each archive holds: its entry and all that it reaches."""
+    n = F.col("doc_id")
+    after = F.when(n % 5 < 4, F.format_string("[next](../d%d/%d.md)", (n + 1) % 7, n + 1)).otherwise("end")
+    files = table(spark, d, "documents").select(n, F.format_string("d%d/%d.md", n % 7, n).alias("path"), F.concat(after, F.lit("\n"), "text").alias("content"))
+    rows, _ = publication.archive_bundles(files.select("path", "content"), files.where("doc_id % 5 = 0").select(F.col("path").alias("node")))
+    return rows.where("path <> '00_manifest.json'").select("entry", "path", "size", "sha256")
+
+
+@query("SELECT doc_id, sha256(t) AS body, sha256(t) AS told, CAST(strlen(t) AS BIGINT) AS bytes FROM (SELECT doc_id, '# ' || source || chr(10) || chr(10) || '- lang: ' || lang || chr(10) || chr(10) || text || chr(10) AS t FROM documents)")
+def published_articles(spark, d):
+    """Bodies and records published as one, and read back from there."""
+    pairs = records.article_pair(table(spark, d, "documents"), "doc_id", F.col("source"), {"lang": F.col("lang")}, F.col("text"))
+    target = f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}"
+    publication.publish_pairs(pairs, target, "doc_id")
+    back = publication.published(spark, target)
+    told = back["metadata"].select("doc_id", F.get_json_object("metadata_json", "$.output_sha256").alias("told"), F.get_json_object("metadata_json", "$.output_bytes").cast("long").alias("bytes"))
+    return back["bodies"].select("doc_id", F.sha2("body_markdown", 256).alias("body")).join(told, "doc_id")
+
+
 # ---- text
 
 _B = r"[ \t\x0b\x0c]"

@@ -105,9 +105,11 @@ def article_pair(articles: DataFrame, key: str, title: Column, fields: dict[str,
 
 
 def write_article_pairs(pairs: DataFrame, folder: str, key: str) -> None:
-    """Bodies first, then the records that commit them: a record that is there has its body."""
-    pairs.select(key, "body_markdown").write.mode("errorifexists").parquet(f"{folder}/bodies")
-    pairs.select(key, "metadata_json").write.mode("errorifexists").parquet(f"{folder}/metadata")
+    """Bodies and the records that hold their hashes, as one publication; a folder that is there is refused."""
+    from .publication import Refused, publish_pairs
+
+    if publish_pairs(pairs, folder, key) != "created":
+        raise Refused(f"{folder} is there already")
 
 
 def reference_index(registry: DataFrame) -> DataFrame:
