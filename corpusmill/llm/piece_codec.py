@@ -6,7 +6,7 @@ the characters of both never joins across their border, which is remembered for
 then read from the table backwards, in time proportional to the text.
 
 A word is what stands after blanks: no piece holds a blank after another character, so words are encoded apart,
-and each worker keeps the ids of the first ``LIMIT`` different words it meets.  Pieces of blanks alone are merged
+and each worker keeps the ids of the first ``LIMIT`` different words of at most ``LONGEST`` characters.  Pieces of blanks alone are merged
 after all others, so of a run of blanks the last one goes with the word if it can, and the rest have a table of their
 own, of as many rows as the longest such piece is long: longer runs start with that piece.  The constructor checks
 all this of the vocabulary and refuses others.
@@ -27,6 +27,7 @@ from .shared import long_texts, map_arrow, texts_of
 
 BLANK = "▁"
 LIMIT = 400_000
+LONGEST = 64
 PAIRS = 600_000
 
 
@@ -178,7 +179,11 @@ class Pieces:
                 out.append(self.spaced(ks))
             else:
                 out.append(b"".join(map(known.__getitem__, ks)))
-        for k in fresh[: max(0, len(known) - LIMIT)] if len(known) > LIMIT else ():
+        # what is kept is bounded in bytes too: a text without blanks is one key
+        long = [k for k in fresh if len(k) > LONGEST]
+        for k in long:
+            del known[k]
+        for k in [k for k in fresh if len(k) <= LONGEST][: max(0, len(known) - LIMIT)]:
             del known[k]
         return out
 
