@@ -29,8 +29,6 @@ from .shared import Scratch, long_texts, map_arrow, texts_of, word_codes
 LIMIT = 20
 BLOCK = 512
 PAGE_BYTES = 1 << 18
-#: Shards are tasks of one job, and a row for each is broadcast; beyond this many they grow, page by page, not in memory.
-MOST_SHARDS = 20_000
 PAGES = "shard int, page int, before long, n long, data binary"
 
 
@@ -203,7 +201,7 @@ def write(tokens: DataFrame, path: str, ids_per_shard: int = 2_000_000) -> None:
     counts = count_ids(tokens)
     lengths = code_lengths(counts)
     codes = canonical(lengths)
-    shards = min(MOST_SHARDS, max(1, int(counts.sum()) // ids_per_shard))
+    shards = max(1, int(counts.sum()) // ids_per_shard)
     bounds = np.unique(tokens.approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.2 / shards)) if shards > 1 else np.zeros(0)
 
     def squeeze(batch: pa.RecordBatch):
@@ -254,10 +252,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     pages = spark.read.schema(PAGES).parquet(f"{path}/pages.parquet")
     table: list[np.ndarray] = []
 
-    # ids before each shard: a row for each shard, of which write() makes MOST_SHARDS at most
+    # ids before each shard: a row for each shard, joined as its size allows
     totals = pages.groupBy("shard").agg(F.sum("n").alias("n"))
     shards = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = pages.join(F.broadcast(shards), "shard").select((F.col("base") + F.col("before")).alias("at"), "data")
+    placed = pages.join(shards, "shard").select((F.col("base") + F.col("before")).alias("at"), "data")
 
     def unpack(batch: pa.RecordBatch):
         if not table:
