@@ -101,7 +101,8 @@ def candidates(docs: DataFrame, rules: Rules, text_col: str, lang_col: str, scra
         return few.groupBy(*keys).agg(F.collect_list("word").alias("words"))
 
     every = top(counts.groupBy("word").agg(F.sum("n").alias("n")), []).select(F.lit(None).cast("string").alias("lang"), "words")
-    return scratch.keep(top(counts.join(large, "lang", "left_semi"), ["lang"]).unionByName(every), "candidates")
+    # ranked first, since every task then sends a few words of a language alone
+    return scratch.keep(top(counts.where("lang IS NOT NULL"), ["lang"]).join(large, "lang", "left_semi").unionByName(every), "candidates")
 
 
 def measures(docs: DataFrame, listed: DataFrame, rules: Rules, id_col: str, text_col: str, lang_col: str) -> DataFrame:
