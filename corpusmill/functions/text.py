@@ -108,9 +108,12 @@ def is_vague(detail: Column) -> Column:
     return detail.isin(*VAGUE_DETAILS) | detail.rlike(VAGUE_PATTERN)
 
 
+#: Fixed value: what a comment begins with.
+COMMENT_LABEL = r"^(?:[>*#\-\s]*)?(?:(?:转发者|发布者)?(?:附言|按语|评论|导语)|编者按|转发语|我的评论)\s*[:：]?\s*"
+
+
 def strip_comment_label(line: Column) -> Column:
-    pattern = r"(?i)^(?:[>*#\-\s]*)?(?:(?:转发者|发布者)?(?:附言|按语|评论|导语)|编者按|转发语|我的评论)\s*[:：]?\s*"
-    return strip(F.regexp_replace(line, pattern, ""))
+    return strip(F.regexp_replace(line, f"(?i){COMMENT_LABEL}", ""))
 
 
 def file_component(name: Column, fallback: str = "untitled", most: int = 80) -> Column:
