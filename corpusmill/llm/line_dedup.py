@@ -41,28 +41,44 @@ def line_ids(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
     return rows.select("_doc", "_version", "_line", F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(1), "_text").alias("b"), wordy.alias("wordy"))
 
 
-def summed(rows: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
-    """rows with before: the sum of n over the rows before in a total order.
+def summed(rows: DataFrame, order: list[str], scratch: Scratch, group: str | None = None) -> DataFrame:
+    """rows with before: the sum of n over the rows before in a total order; and within: that of the rows of the same group,
+    a number by which the order begins.
 
-    Dealt by ranges and summed within each; a sum for each range is all that is gathered."""
+    Dealt by ranges and summed within each; of each range its sum and its first and last group are all that is gathered."""
 
     def each(batches):
-        total, part = 0, TaskContext.get().partitionId()
+        part, total, now, base, lead = TaskContext.get().partitionId(), 0, None, 0, None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             n = batch.column("n").to_numpy()
             ends = np.cumsum(n) + total
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n), pa.array(np.full(len(n), part, np.int32))], [*batch.schema.names, "_in", "_part"])
-            total = int(ends[-1]) if len(n) else total
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _in long, _part int"
+            before, total = ends - n, int(ends[-1])
+            g = batch.column(group).to_numpy() if group else np.zeros(len(n), np.int64)
+            lead = g[0] if lead is None else lead
+            new = np.concatenate([[now is None or g[0] != now], g[1:] != g[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
+            first = np.where(at >= 0, before[np.maximum(at, 0)], base)
+            now, base = g[-1], int(first[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(np.where(g == lead, -1, first)), pa.array(np.full(len(n), part, np.int32))], [*batch.schema.names, "_in", "_first", "_part"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _in long, _first long, _part int"
     ranged = scratch.keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(each, schema), "summed")
-    base, before = {}, 0
-    for r in ranged.groupBy("_part").agg(F.sum("n").alias("n")).orderBy("_part").collect():  # as many as ranges
-        base[r["_part"]], before = before, before + r["n"]
-    if not base:
-        return ranged.withColumn("before", F.col("_in")).drop("_in", "_part")
-    first = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("_part"))
-    return ranged.withColumn("before", F.col("_in") + first).drop("_in", "_part")
+    g = F.col(group) if group else F.lit(0)
+    parts = ranged.groupBy("_part").agg(F.sum("n").alias("n"), F.min(g).alias("a"), F.max(g).alias("b"), F.max_by("_first", g).alias("last")).orderBy("_part").collect()  # as many as ranges
+    offset, lead, before, last, carried = {}, {}, 0, None, 0
+    for r in parts:
+        offset[r["_part"]] = before
+        lead[r["_part"]] = base = carried if r["a"] == last else before
+        carried, last = base if r["a"] == r["b"] else before + r["last"], r["b"]
+        before += r["n"]
+    if not parts:
+        return ranged.withColumns({"before": F.col("_in"), "within": F.col("_in")}).drop("_in", "_first", "_part")
+    at = lambda x: F.element_at(F.create_map(*[F.lit(v) for kv in x.items() for v in kv]), F.col("_part"))
+    total = F.col("_in") + at(offset)
+    base = F.when(F.col("_first") < 0, at(lead)).otherwise(F.col("_first") + at(offset))
+    return ranged.withColumns({"before": total, "within": total - base}).drop("_in", "_first", "_part")
 
 
 def repeated_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -72,7 +88,7 @@ def repeated_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
     that is very frequent."""
     twice = scratch.keep(lines.groupBy("a", "b").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "twice")
     sizes = lines.groupBy("_doc", "_version").agg((F.max("_line") + 1).cast("long").alias("n"))
-    starts = scratch.keep(summed(sizes, ["_doc", "_version"], scratch).select(F.col("_doc").alias("d"), F.col("_version").alias("v"), F.col("before").alias("start")), "starts")
+    starts = summed(sizes, ["_doc", "_version"], scratch).select(F.col("_doc").alias("d"), F.col("_version").alias("v"), F.col("before").alias("start"))
     again = lines.join(twice.hint("merge"), ["a", "b"])
     placed = again.join(starts.hint("merge"), F.col("_doc").eqNullSafe(F.col("d")) & (F.col("_version") == F.col("v")))
     # rows that repeat a document are one
@@ -82,7 +98,7 @@ def repeated_lines(lines: DataFrame, scratch: Scratch) -> DataFrame:
 def ranked(suffixes: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
     """(pos, start, rank: the suffix array; for each depth 1, 2, 4, ... the places that share their rank there: pos, start, r, n)."""
     names = summed(suffixes.groupBy("a", "b").agg(F.count("*").alias("n")), ["a", "b"], scratch)
-    now = scratch.keep(suffixes.select("pos", "start", "a", "b").join(scratch.keep(names, "names").hint("merge"), ["a", "b"]).select("pos", "start", F.col("before").alias("r"), "n"), "depth")
+    now = scratch.keep(suffixes.select("pos", "start", "a", "b").join(names.hint("merge"), ["a", "b"]).select("pos", "start", F.col("before").alias("r"), "n"), "depth")
     done, now, depth = [now.where("n = 1").select("pos", "start", "r")], now.where("n > 1"), 1
     levels = [now]
     while not now.isEmpty():
@@ -93,11 +109,10 @@ def ranked(suffixes: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataF
         # what goes on with a line of its own, or ends, is alone; its place tells it from others
         pairs = scratch.keep(now.select("pos", "start", "r").join(behind.hint("merge"), "pos", "left").withColumn("alone", F.when(F.col("k").isNull(), F.col("pos"))), "pairs")
         counted = pairs.groupBy("r", F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("alone", F.lit(-1)).alias("alone")).agg(F.count("*").alias("n"))
-        order = scratch.keep(summed(counted, ["r", "k", "alone"], scratch), "order")
-        base = order.groupBy("r").agg(F.min("before").alias("base"))
-        moved = scratch.keep(order.join(base, "r").select("r", "k", "alone", "n", (F.col("r") + F.col("before") - F.col("base")).alias("new")), "moved")
+        moved = summed(counted, ["r", "k", "alone"], scratch, "r").withColumn("new", F.col("r") + F.col("within"))
         new = pairs.select("pos", "start", "r", F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("alone", F.lit(-1)).alias("alone")).join(moved.hint("merge"), ["r", "k", "alone"])
         new = scratch.keep(new.select("pos", "start", F.col("new").alias("r"), "n"), "depth")
+        scratch.drop(pairs), scratch.drop(moved)
         done.append(new.where("n = 1").select("pos", "start", "r"))
         now, depth = new.where("n > 1"), 2 * depth
         levels.append(now)
@@ -120,7 +135,9 @@ def common_prefixes(array: DataFrame, levels: list[DataFrame], least: int, scrat
         two = levels[k].select(F.col("pos").alias("q"), F.col("start").alias("b"), F.col("r").alias("y"))
         grown = pairs.join(one.hint("merge"), (F.col("pos") + F.col("h") == F.col("p")) & (F.col("start") == F.col("s")), "left")
         grown = grown.join(two.hint("merge"), (F.col("other") + F.col("h") == F.col("q")) & (F.col("begin") == F.col("b")), "left")
-        pairs = scratch.keep(grown.select("rank", "pos", "start", "other", "begin", (F.col("h") + F.when(F.col("x") == F.col("y"), 1 << k).otherwise(0)).alias("h")), "pairs")
+        longer = scratch.keep(grown.select("rank", "pos", "start", "other", "begin", (F.col("h") + F.when(F.col("x") == F.col("y"), 1 << k).otherwise(0)).alias("h")), "pairs")
+        scratch.drop(pairs)
+        pairs = longer
     return scratch.keep(shared.select("rank", "pos", "start").join(pairs.select("rank", "h"), "rank", "left").select("rank", "pos", "start", F.coalesce("h", F.lit(0)).alias("h")), "prefixes")
 
 
@@ -237,7 +254,9 @@ def copied_runs(prefixes: DataFrame, least: int, scratch: Scratch, piece: int =
 
 def removed_lines(docs: DataFrame, min_lines: int, min_words: int, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """_doc, _version, copies array<struct<line, depth>>: the copied runs of each document that has any."""
-    lines = repeated_lines(scratch.keep(line_ids(docs, id_col, text_col, min_words), "lines"), scratch)
+    every = scratch.keep(line_ids(docs, id_col, text_col, min_words), "lines")
+    lines = repeated_lines(every, scratch)
+    scratch.drop(every)
     array, levels = ranked(lines, scratch)
     found = lines.where("false").select("pos", F.lit(0).cast("long").alias("depth"))
     if len(levels) > 1:  # some line is in two places
