@@ -974,13 +974,13 @@ def candidate_overflow(spark, d):
 
 # What a page may hold as its source: an address, the text itself as data, data that is none, another type, a file.
 @query("""SELECT doc_id, ['remote_not_saved', 'decoded', 'invalid_data', 'unsupported', 'local'][doc_id % 5 + 1] AS status, CASE WHEN doc_id % 5 = 1 THEN printf('image-%03d-', doc_id % 1000) || left(sha256(text), 12) || CASE WHEN doc_id % 2 = 0 THEN '.png' ELSE '.jpg' END END AS name,
-  CASE WHEN doc_id % 5 = 1 THEN CAST(strlen(text) AS INTEGER) END AS size FROM documents""")
+  CASE WHEN doc_id % 5 = 1 THEN CAST(strlen(text) AS INTEGER) ELSE -1 END AS size FROM documents""")
 def image_candidates(spark, d):
     n = F.col("doc_id")
     data = F.concat(F.lit("data:image/"), F.when(n % 2 == 0, "png").otherwise("jpeg"), F.lit(";base64,"), F.base64(F.col("text").cast("binary")))
     src = F.when(n % 5 == 0, F.concat(F.lit("https://e.org/"), n)).when(n % 5 == 1, data).when(n % 5 == 2, "data:image/png;base64,@@@").when(n % 5 == 3, "data:text/plain,x").otherwise(F.concat(F.lit("img/"), n, F.lit(".png")))
     rows = table(spark, d, "documents").select("doc_id", (n % 1000).cast("int").alias("idx"), src.alias("src"))
-    return sinks.image_candidates(rows).select("doc_id", "status", "name", "size")
+    return sinks.image_candidates(rows).select("doc_id", "status", "name", F.coalesce("size", F.lit(-1)).alias("size"))
 
 
 # Of ten files the first is a page, six lie in its folder, two in another of its kinds, and one in a folder without a page.
