@@ -289,7 +289,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50, id_col
     gone = scratch.keep(removed_lines(docs, min_lines, min_words, scratch, id_col, text_col, piece).withColumnRenamed("copies", "_gone"), "copies")
     scratch.sweep(gone)
     on: Column = F.col(f"d.{id_col}").eqNullSafe(F.col("g._doc")) & (F.xxhash64(F.col(f"d.{text_col}")) == F.col("g._version"))
-    both = docs.alias("d").join(gone.alias("g"), on, "left").select("d.*", "g._gone")
+    # what goes grows with the documents, so it is never sent to all tasks
+    both = docs.alias("d").join(gone.alias("g").hint("merge"), on, "left").select("d.*", "g._gone")
     names = docs.columns
     schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("n_lines", "n_removed", "n_runs"))])
 
