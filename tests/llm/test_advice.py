@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusmill.llm import licenses, neardup
+from corpusmill.llm import licenses, neardup, quality
 
 
 COMMON = {
@@ -93,3 +93,13 @@ def test_licences_by_name_tag_header_and_whole_text(spark):
     assert got == {p: name for p, _, name in rows}
     assert all(re.search(licenses.HINT, x) for texts in FORMS.values() for x in texts)
     assert all(text in FORMS[name] for name, text in licenses.TEMPLATES.items())
+
+
+def test_rules_that_filter_stay_small(spark, tmp_path):
+    """The distances are computed once, before the filter: the plan of what is kept holds none of them."""
+    rows = [(k, " ".join(f"w{(k * j) % 37} and" for j in range(60)), "en") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = quality.keep_good(docs)
+    assert "log2" not in kept._jdf.queryExecution().analyzed().toString().lower()
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality.assess(docs).collect() if r["kept"]}
