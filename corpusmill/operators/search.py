@@ -8,6 +8,7 @@ queries from an index that lasts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,20 +112,53 @@ def default_title(text_col: str) -> Column:
     return F.array_join(headings(F.col(text_col)), "\n")
 
 
-def contributions(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None) -> DataFrame:
-    """query_id, id, term, value, norm: what each term that a document shares with a query adds to its score.
+#: How many rows of query terms are sent to all tasks at once; more queries are answered in several passes.
+ASKED_AT_ONCE = 100_000
 
-    queries: query_id, text.  title: the text whose terms count 2.5 times, by default the headings.
+
+def contributions(
+    docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, path: Column | None = None, excluded: DataFrame | None = None, pairs: int = 100_000
+) -> list[DataFrame]:
+    """query_id, id, path, term, value, norm (a frame for each slice of the queries): what each term that a document shares with a query adds to its score.
+
+    queries: query_id, text.  title: the text whose terms count 2.5 times, by default the headings.  path: by default the id
+    as text.  excluded: query_id, id of documents that don't count for a query, neither in numbers of documents.
+
+    Of a document only the terms that any query asks for are moved, once and by its id; what the queries add to them stays in
+    that partition, so sums by query and document need no shuffle.  ``pairs``: of queries and documents in a partition.
     """
-    each = documents_with_terms(docs, id_col, text_col, title if title is not None else default_title(text_col))
-    tf = each.select("id", "norm", F.explode("terms").alias("e")).select("id", "norm", "e.*")
+    named = docs.withColumn("_id", F.struct(F.col(id_col).alias("id"), (path if path is not None else F.col(id_col).cast("string")).alias("path")))
+    each = documents_with_terms(named, "_id", text_col, title if title is not None else default_title(text_col))
+    tf = each.select("id.id", "id.path", "norm", F.explode("terms").alias("e")).select("id", "path", "norm", "e.*")
     asked = cut(query_terms(queries))
     # only terms of a query are counted over documents
     shared = cut(tf.join(asked.select("term").distinct(), "term", "left_semi"))
-    df = shared.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.count()
-    value = (1 + F.ln("q_tf")) * (1 + F.ln("tf")) * (F.ln((F.lit(total) + 1) / (F.col("df") + 1)) + 1) * F.when(F.col("titled"), 2.5).otherwise(1.0) * term_length_weight(F.col("term"))
-    return shared.join(asked.join(df, "term"), "term").select("query_id", "id", "term", value.alias("value"), (F.col("q_norm") * F.col("norm")).alias("norm"))
+    rows = asked.join(shared.groupBy("term").agg(F.count("*").alias("df")), "term")
+    total, n = docs.count(), F.lit(0)
+    if excluded is not None:
+        excluded = cut(excluded.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").select("query_id", "id").distinct())
+        held = shared.join(excluded, "id").groupBy("query_id", "term").agg(F.count("*").alias("df_gone"))
+        rows = rows.join(excluded.groupBy("query_id").agg(F.count("*").alias("n_gone")), "query_id", "left").join(held, ["query_id", "term"], "left")
+        rows, n = rows.withColumn("df", F.col("df") - F.coalesce("df_gone", F.lit(0))), F.coalesce("n_gone", F.lit(0))
+    weight = (1 + F.ln("q_tf")) * (F.ln((F.lit(total) - n + 1) / (F.col("df") + 1)) + 1) * term_length_weight(F.col("term"))
+    weights = cut(rows.select("query_id", "term", weight.alias("a"), "q_norm"))
+    slices = max(1, -(-weights.count() // ASKED_AT_ONCE))
+    n_pairs = total * weights.select("query_id").distinct().count()
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n_pairs // (slices * pairs)))
+    own = (1 + F.ln("tf")) * F.when(F.col("titled"), 2.5).otherwise(1.0)
+    placed = shared.select("id", "path", "norm", "term", own.alias("own")).repartition(parts, "id")
+    if excluded is not None:
+        gone = excluded.groupBy("id").agg(F.collect_list("query_id").alias("_gone"))
+        placed = placed.join(gone.repartition(parts, "id"), "id", "left")
+
+    def of_slice(k: int) -> DataFrame:
+        some = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == k) if slices > 1 else weights
+        both = placed.join(F.broadcast(some), "term")
+        if excluded is not None:
+            both = both.where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("query_id")))
+        return both.select("query_id", "id", "path", "term", (F.col("a") * F.col("own")).alias("value"), (F.col("q_norm") * F.col("norm")).alias("norm"))
+
+    return [of_slice(k) for k in range(slices)]
 
 
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, shared: int = 20) -> DataFrame:
@@ -132,7 +166,7 @@ def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col
 
     shared_terms: the terms that add most, then the longer, then in order.
     """
-    return summed(contributions(docs, queries, id_col, text_col, title), shared)
+    return reduce(DataFrame.union, [summed(x, shared) for x in contributions(docs, queries, id_col, text_col, title)])
 
 
 def summed(each: DataFrame, shared: int = 20) -> DataFrame:
@@ -151,17 +185,26 @@ def ranked(found: DataFrame, paths: DataFrame, limit: int) -> DataFrame:
     return placed.where(F.col("rank") <= limit).select("query_id", "rank", "id", "path", "score", "shared_terms")
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int = 8, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, shared: int = 20, path: Column | None = None) -> DataFrame:
+def search(
+    docs: DataFrame, queries: DataFrame, limit: int = 8, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, shared: int = 20, path: Column | None = None, excluded: DataFrame | None = None
+) -> DataFrame:
     """query_id, rank, id, path, score, shared_terms: the best documents of each query without an index.
 
     queries: query_id and text, or text alone if there is one; documents that share no term are left out.  The limit
-    (1 to 50) is the feature.  path: by default the id as text.
+    (1 to 50) is the feature.  path: by default the id as text.  excluded: query_id, id of what a query leaves out.
+    All pairs are scored where the document lies; only the best of each partition are moved, and only theirs are the terms named.
     """
     if not 1 <= limit <= 50:
         raise ValueError("limit is from 1 to 50")
     asked = queries if "query_id" in queries.columns else queries.withColumn("query_id", F.lit(0))
-    paths = docs.select(F.col(id_col).alias("id"), (path if path is not None else F.col(id_col).cast("string")).alias("path"))
-    return ranked(scores(docs, asked, id_col, text_col, title, shared), paths, limit).orderBy("query_id", "rank")
+    each = contributions(docs.where(F.col(id_col).isNotNull()), asked, id_col, text_col, title, path, excluded, pairs=1_000_000)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.lower("path"), "path", "id")
+    score = F.round(F.sum("value") / F.greatest(F.max("norm"), F.lit(1.0)), 6)
+    found = [x.groupBy("query_id", "id", "path").agg(score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit) for x in each]
+    top = cut(reduce(DataFrame.union, found))
+    terms = reduce(DataFrame.union, [summed(x.join(top.select("query_id", "id"), ["query_id", "id"], "left_semi"), shared) for x in each])
+    out = top.join(terms.drop("score"), ["query_id", "id"])
+    return out.select("query_id", "rank", "id", "path", "score", "shared_terms").orderBy("query_id", "rank")
 
 
 def excluding(docs: DataFrame, excluded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -94,3 +94,20 @@ def test_nothing_to_search(spark, index, queries, tmp_path):
     assert postings.search_many(index, queries.where("false")).collect() == []
     with pytest.raises(ValueError):
         search.search(index.documents.select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), queries, 51)
+
+
+def test_pairs_are_not_shuffled(spark, archive, queries, index):
+    """Sums by query and document stay where the document lies, in slices of queries too, and with documents left out."""
+    for most in (100_000, 40):
+        kept, search.ASKED_AT_ONCE = search.ASKED_AT_ONCE, most
+        try:
+            each = search.contributions(archive, queries, title=None)
+            assert (len(each) > 1) == (most == 40)
+            plan = search.summed(each[0])._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(query_id") == 0 and "Exchange hashpartitioning(id" in plan
+            gone = spark.createDataFrame([(1, 3), (1, 4), (2, 7), (92, 502), (92, 999)], "query_id long, id long")
+            for excluded in (None, gone):
+                want = plain(postings.search_many(index, queries, limit=9, excluded=excluded))
+                assert plain(search.search(archive, queries, limit=9, path=F.col("path"), excluded=excluded)) == want
+        finally:
+            search.ASKED_AT_ONCE = kept
