@@ -24,6 +24,9 @@ from .neardup import groups, sizes_of
 from .shared import Scratch, map_arrow
 
 BLOCK = 2048
+#: How many queries go down the trees, or are held against a block, at once, and how many visits are one batch.
+QUERIES = 64
+ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -101,6 +104,22 @@ def leaves_for(queries: np.ndarray, trees: list[Tree], held: list[np.ndarray], b
     return out
 
 
+def visits(queries: np.ndarray, trees: list[Tree], held: list[np.ndarray], budget: float, blocks: np.ndarray):
+    """(query, slot, salt) arrays of the blocks of leaves that each query visits: some queries, then some rows at a time, since
+    a query crosses all nodes and visits most leaves."""
+    for at in range(0, len(queries), QUERIES):
+        who, slot = [], []
+        for q, found in enumerate(leaves_for(queries[at : at + QUERIES], trees, held, budget)):
+            slot.append(np.array(found, np.int64)), who.append(np.full(len(found), at + q))
+        slot, who = np.concatenate(slot), np.concatenate(who)
+        times = blocks[slot]
+        ends = np.cumsum(times)
+        for a in range(0, int(ends[-1]), ROWS):
+            row = np.arange(a, min(a + ROWS, int(ends[-1])))
+            k = np.searchsorted(ends, row, "right")
+            yield who[k], slot[k], row - (ends[k] - times[k])
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, v (array<double>) of vectors that are neither null nor zero, with finite components only; no repeated rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -166,13 +185,9 @@ def nearest_of_length(rows: DataFrame, length: int, asked: DataFrame, k: int, fo
 
     def aim(batch: pa.RecordBatch):
         points = matrix(batch)
-        slot, salt, who = [], [], []
-        for q, found in enumerate(leaves_for(points, trees, held, budget)):
-            for s in found:
-                for b in range(int(blocks[s])):
-                    slot.append(s), salt.append(b), who.append(q)
         flat = pa.array([p.tobytes() for p in points], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(salt, pa.int32()), flat.take(pa.array(who, pa.int64()))], ["slot", "salt", "v"])
+        for who, slot, salt in visits(points, trees, held, budget, blocks):
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(salt.astype(np.int32)), flat.take(pa.array(who))], ["slot", "salt", "v"])
 
     def salted(batch: pa.RecordBatch):
         slot = batch.column("slot").to_numpy()
@@ -233,10 +248,12 @@ def nearest_of_length(rows: DataFrame, length: int, asked: DataFrame, k: int, fo
 
 def closest(queries: np.ndarray, points: np.ndarray, k: int):
     """(query, places of the k nearest points and of any at a tie, their exact distances)."""
-    rough = (queries * queries).sum(axis=1)[:, None] + (points * points).sum(axis=1)[None, :] - 2 * (queries @ points.T)
-    scale = 1e-9 * (1 + np.abs(rough).max())
-    for q in range(len(queries)):
-        row = rough[q]
-        near = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + scale)
-        diff = points[near] - queries[q]
-        yield q, near, np.sqrt((diff * diff).sum(axis=1))
+    norms = (points * points).sum(axis=1)
+    for at in range(0, len(queries), QUERIES):
+        some = queries[at : at + QUERIES]
+        rough = (some * some).sum(axis=1)[:, None] + norms[None, :] - 2 * (some @ points.T)
+        scale = 1e-9 * (1 + np.abs(rough).max())
+        for q, row in enumerate(rough):
+            near = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + scale)
+            diff = points[near] - some[q]
+            yield at + q, near, np.sqrt((diff * diff).sum(axis=1))

@@ -1,11 +1,12 @@
 """What the review of the first round found missing."""
 
 import re
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusmill.llm import licenses, neardup, quality
+from corpusmill.llm import ann, licenses, neardup, quality
 
 
 COMMON = {
@@ -103,3 +104,22 @@ def test_rules_that_filter_stay_small(spark, tmp_path):
     kept = quality.keep_good(docs)
     assert "log2" not in kept._jdf.queryExecution().analyzed().toString().lower()
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality.assess(docs).collect() if r["kept"]}
+
+
+def test_many_queries_take_bounded_memory():
+    """However many queries are one batch, the visits are those of each alone, and neither they nor the products pile up."""
+    rng = np.random.default_rng(3)
+    points, queries = rng.standard_normal((4096, 16)), rng.standard_normal((3000, 16))
+    trees = ann.fit(points, 60_000, ann.Forest())
+    held = [np.bincount(t.leaf_of(points), minlength=t.leaves) for t in trees]
+    blocks = 1 + np.arange(sum(t.leaves for t in trees)) % 3
+    want = [(q, s, b) for q, found in enumerate(ann.leaves_for(queries[:200], trees, held, 2000)) for s in found for b in range(int(blocks[s]))]
+    got = [x for who, slot, salt in ann.visits(queries[:200], trees, held, 2000, blocks) for x in zip(who.tolist(), slot.tolist(), salt.tolist())]
+    assert got == want
+    tracemalloc.start()
+    for who, _, _ in ann.visits(queries, trees, held, 300, blocks):
+        assert len(who) <= ann.ROWS
+    for q, near, score in ann.closest(queries, points, 5):
+        assert len(near) == len(score) == 5
+    assert q == 2999 and tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
